@@ -14,7 +14,8 @@ exchange read by both the encoding of shared chunks and the final pass).
 
 The ids equal the tokenizers library's for the whole text, special tokens in it included; decoding
 joins the tokens' bytes.  Defined results: null text is empty and has no ids; an empty table gives no
-rows; copies get equal ids; further columns are not looked at.
+rows; copies get equal ids; rows with a null key are encoded whole where they are read; rows
+repeated under one key each get their ids; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -180,16 +181,18 @@ def _agreed(ids, size_of, start, lo, hi, begin, stop) -> tuple[int, int, np.ndar
 def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids): each text's ids as little-endian unsigned 32-bit numbers."""
     spark = docs.sparkSession
-    given = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    every = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    given, unnamed = every.filter("doc is not null"), every.filter("doc is null")
     found = chunks(given)
     # one occurrence of each chunk that has several encodes it for all
     shared = found.groupBy("h1", "h2", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("owner")).filter("n > 1")
     todo = shared.select(F.col("owner.doc").alias("doc"), F.struct("h1", "h2", "size", F.col("owner.start").alias("start")).alias("p"))
-    todo = todo.groupBy("doc").agg(F.collect_list("p").alias("parts"))
+    todo = todo.groupBy("doc").agg(F.collect_set("p").alias("parts"))
     texts = packed(given).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
     coded = texts.join(todo, "doc").mapInArrow(_encode_chunks(tokenizer_file), "h1 long, h2 long, size long, ids binary, wide boolean")
-    each = found.join(coded, ["h1", "h2", "size"]).groupBy("doc").agg(F.collect_list(F.struct("start", "size", "ids", "wide")).alias("parts"))
-    return texts.join(each, "doc", "left").select("doc", "z", "parts").mapInArrow(_assemble(tokenizer_file), "doc long, ids binary").withColumnRenamed("doc", key)
+    each = found.join(coded, ["h1", "h2", "size"]).groupBy("doc").agg(F.collect_set(F.struct("start", "size", "ids", "wide")).alias("parts"))
+    both = texts.join(each, "doc", "left").select("doc", "z", "parts").unionByName(packed(unnamed), allowMissingColumns=True)
+    return both.mapInArrow(_assemble(tokenizer_file), "doc long, ids binary").withColumnRenamed("doc", key)
 
 
 @lru_cache(4)

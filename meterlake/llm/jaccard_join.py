@@ -18,11 +18,12 @@ members' bitmap signatures bound the overlap from above (each differing bit is a
 shingle), and survivors are verified by intersecting sorted arrays.  After components are formed
 from these links, a second pass pairs, within each tile, members of different components only,
 again under the bitmap bound: what it adds completes the components, and groups of near copies
-never expand into all their pairs.
+never expand into all their pairs.  Crowded tiles are dealt into blocks for it.
 
 Defined results: null, empty and word-less texts have empty sets and link with nothing; fewer than
 five words make one shingle; equal texts are always linked; ties don't matter (links are
-symmetric); an empty table gives no rows; further columns are not looked at.
+symmetric); rows repeated under one id get equal results; rows with a null id link with nothing and
+have a null component; an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -45,6 +46,8 @@ SEGMENTS = 0.8
 #: Sets below this size use one shingle a segment.
 SMALL = 24
 BITS = 512
+#: Members of a tile compared in one block with one other; ratio of sizes a step (over 100 / PERCENT).
+BLOCK, STEP = 1024, 1.26
 
 
 def set_hashes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -182,14 +185,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, n_shingles, component): every document with the smallest document it is linked to,
     directly or through others."""
-    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    every = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs, unnamed = every.filter("doc is not null"), every.filter("doc is null")
     sizes = cut(set_hashes(docs, "text", "doc"), "sets")
     weak = sizes.agg(F.bit_or("weak")).first()[0] or 0
     reps = sizes.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"))
 
     entered = tiles(docs, weak)
-    low, high = F.min("doc").over(_by_tile()), F.max("doc").over(_by_tile())
-    met = cut(entered.withColumn("low", low).withColumn("high", high).filter("low < high").select("tile", "doc", "low"), "tiles")
+    crowded = entered.groupBy("tile").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
+    met = cut(entered.join(crowded, "tile").select("tile", "doc", "low"), "tiles")
     first = met.filter("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
     sets = cut(docs.join(met.select("doc").distinct(), "doc", "left_semi"), "texts")  # texts that share a tile
     sig = cut(signatures(sets), "signatures")
@@ -199,22 +203,31 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
     # members of one tile in different components: compared in the second pass
     named = met.select("tile", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
-    named = named.withColumn("component", F.coalesce("component", "doc"))
-    w = _by_tile()
-    open_ = named.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).filter("lo < hi")
-    open_ = open_.select("tile", "doc", "component").join(sig, "doc")
-    second = cut(open_.groupBy("tile").applyInArrow(_across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "more")
+    named = cut(named.withColumn("component", F.coalesce("component", "doc")), "named")
+    mixed = named.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
+    apart = dealt(named.join(mixed, "tile").select("tile", "doc", "component", "m").join(sig, "doc"))
+    second = apart.groupBy("tile", "step", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+    second = cut(second.join(tried, ["a", "b"], "left_anti"), "more")
     more = verified(second, sets)
     comp = components(links.unionByName(cut(more, "links"))).withColumnRenamed("node", "rep")
 
     classed = sizes.filter("n > 0").join(reps.withColumnRenamed("doc", "rep"), ["s1", "s2", "n"]).select("doc", "n", "rep")
     classed = classed.join(comp, "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
-    out = classed.unionByName(sizes.filter("n = 0").select("doc", "n", F.col("doc").alias("component")))
+    out = classed.unionByName(set_hashes(unnamed, "text", "doc").select("doc", "n", F.col("doc").alias("component"))).unionByName(sizes.filter("n = 0").select("doc", "n", F.col("doc").alias("component")))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def _by_tile() -> WindowSpec:
-    return Window.partitionBy("tile")
+def dealt(members: DataFrame) -> DataFrame:
+    """A tile's members with the groups (step, i, j) in which they are compared; a tile of more than
+    `BLOCK` members is dealt into blocks, every two of which meet, by steps of size: sizes of linked
+    sets are at most one step apart."""
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    step = F.floor(F.log("n") / F.log(F.lit(STEP))).cast("int")
+    steps = F.when(blocks > 1, F.array(step - 1, step)).otherwise(F.array(F.lit(0)))
+    d = members.withColumn("own", own).withColumn("step", F.explode(steps))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return d.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "m")
 
 
 def _across(table: pa.Table) -> pa.Table:

@@ -60,7 +60,7 @@ def measure(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``row`` (the input row) beside its measures, ``base_failed`` and ``kept``."""
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     d = d.select("row", F.coalesce(F.col(f"row.`{text}`"), F.lit("")).alias("t"))
-    bare = F.expr(r"trim(BOTH ' \t\n\u000b\f\r' FROM t)")
+    bare = F.trim("t", F.lit(SPACES))
     d = d.select(
         "row", "t", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")).alias("w")
     )
@@ -105,7 +105,10 @@ def measure(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
         F.aggregate(steps, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    d = d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    # a generator of one row: a filter above would else be pushed down, and the whole projection with it, once a measure
+    out = [c for c in d.columns if c != "row"]
+    return d.select("row", F.inline(F.array(F.struct(*out))))
 
 
 def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:

@@ -14,8 +14,9 @@ Texts are shuffled once, by document; anchor generation, extension and the final
 that same exchange.  What moves besides are anchors and windows, as numbers.
 
 Defined results: null text has no words; texts below `WINDOW` words lose nothing; repeats within one
-text alone lose nothing; the smallest document keeps its copy; nothing else breaks ties, ids being
-unique; an empty table gives no rows; further columns are not looked at.
+text alone lose nothing; the smallest document keeps its copy; rows repeated under one id are alike
+and lose alike; rows with a null id have no place in the order: they lose nothing and cause no loss; an
+empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -79,6 +80,7 @@ def windows(texts: DataFrame) -> DataFrame:
             places = b.column("places")
             anchor = w.first[np.repeat(np.arange(b.num_rows), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
             anchor = anchor + places.flatten().to_numpy(zero_copy_only=False)
+            anchor = anchor[anchor < len(w.start)]
             n = len(w.start)
             mark = np.zeros(n + 1, np.int64)
             text = w.text_of()
@@ -112,7 +114,7 @@ def trimmed(texts: DataFrame) -> DataFrame:
                 found = (text or "").encode().split()
                 n, gone = len(found), 0
                 if places:
-                    cover = _covered(n, np.asarray(places))
+                    cover = _covered(n, np.asarray([p for p in places if p + WINDOW <= n], np.int64))
                     gone = int(cover.sum())
                     found = [x for x, c in zip(found, cover, strict=True) if not c]
                 rows.append((n, gone, b" ".join(found)))
@@ -125,7 +127,8 @@ def trimmed(texts: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_words, n_removed, kept) of every document."""
     spark = docs.sparkSession
-    given = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    every = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    given, unnamed = every.filter("doc is not null"), every.filter("doc is null")
     seq = cut(sequences(given), "sequences")
     smallest = seq.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
     copies = seq.join(smallest, ["s1", "s2", "n"]).filter(f"doc <> rep and n >= {WINDOW}").select("doc")
@@ -142,7 +145,8 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     gone = gone.groupBy("doc").agg(F.collect_list("at").alias("places"))
     kept = trimmed(own.join(gone, "doc", "left").select("doc", "text", "places"))
     whole = seq.join(copies, "doc", "left_semi").select("doc", F.col("n").alias("n_words"), F.col("n").alias("n_removed"), F.lit("").alias("kept"))
-    return kept.unionByName(whole).withColumnRenamed("doc", key)
+    apart = trimmed(unnamed.select("doc", "text", F.lit(None).cast("array<int>").alias("places")))
+    return kept.unionByName(whole).unionByName(apart).withColumnRenamed("doc", key)
 
 
 def digest(text: bytes) -> str:

@@ -159,17 +159,24 @@ def op9(docs):
     return out
 
 
-def op10(docs):
+def _without_repeats(docs):
     ws = {d: WORD.findall(t or "") for d, t in docs}
     first = {}
     for d in sorted(ws):
         for i in range(len(ws[d]) - 49):
             first.setdefault(tuple(ws[d][i : i + 50]), d)
-    out = {}
     for d, w in ws.items():
         gone = set()
         for i in range(len(w) - 49):
             if first[tuple(w[i : i + 50])] < d:
                 gone |= set(range(i, i + 50))
-        out[d] = (len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
-    return out
+        yield d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def op10(docs):
+    return {d: (n, gone, sha(kept)) for d, n, gone, kept in _without_repeats(docs)}
+
+
+def op10_kept(docs):
+    """Texts that lost words; None for the others."""
+    return {d: kept if gone else None for d, _, gone, kept in _without_repeats(docs)}
