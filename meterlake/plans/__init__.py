@@ -1,0 +1 @@
+"""Plans that several operators share: the rate card and its resolution."""
