@@ -36,7 +36,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     and a lost executor costs only the tasks it ran."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,12 +13,14 @@ enters that band's tiles too.  The principle needs d + 1 non-empty segments.  Ba
 and any band in which some set of the corpus falls short (a first pass notes them), have tiles of
 single shingles, of which no set has too few.  No link is lost.
 
-Within a tile each member is paired with its smallest member only.  Then bit counts of the
+Within a tile each member is paired with one leader only; tiles choose by one of `ORDERS` orders of
+the documents, so that a group with many tiles has that many leaders.  Then bit counts of the
 members' bitmap signatures bound the overlap from above (each differing bit is a differing
 shingle), and survivors are verified by intersecting sorted arrays.  After components are formed
 from these links, a second pass pairs, within each tile, members of different components only,
 again under the bitmap bound: what it adds completes the components, and groups of near copies
-never expand into all their pairs.  Crowded tiles are dealt into blocks for it.
+never expand into all their pairs.  Tiles of equal members count once, crowded ones are dealt into
+blocks.
 
 Defined results: null, empty and word-less texts have empty sets and link with nothing; fewer than
 five words make one shingle; equal texts are always linked; ties don't matter (links are
@@ -48,22 +50,27 @@ SMALL = 24
 BITS = 512
 #: Members of a tile compared in one block with one other; ratio of sizes a step (over 100 / PERCENT).
 BLOCK, STEP = 1024, 1.26
+#: Orders by which tiles choose their leaders.
+ORDERS = 3
 
 
 def set_hashes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, n, s1, s2, weak): size and 128-bit hash of each document's set; weak: a bit for each
-    band in which the set has too few segments."""
+    """(doc, n, s1, s2, weak, bits): size, 128-bit hash and bitmap signature of each document's set;
+    weak: a bit for each band in which the set has too few segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.blocks(batches):
             v, at = tk.shingles(tk.words(b.column("text")), SHINGLE)
-            sums = _set_sums(v, at)
             weak = [sum(low for low in _bands(at[i + 1] - at[i]) if _segments(v[at[i] : at[i + 1]], low) is None) for i in range(b.num_rows)]
+            bits = np.zeros((b.num_rows, BITS), bool)
+            bits[np.repeat(np.arange(b.num_rows), np.diff(at)), (tk.mix(v) % np.uint64(BITS)).astype(np.int64)] = True
+            words = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(bits, axis=1).view(np.int64).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), pa.array(np.diff(at)), *map(tk.signed, sums), pa.array(weak, pa.int64())], ["doc", "n", "s1", "s2", "weak"]
+                [b.column("doc"), pa.array(np.diff(at)), *map(tk.signed, _set_sums(v, at)), pa.array(weak, pa.int64()), words],
+                ["doc", "n", "s1", "s2", "weak", "bits"],
             )
 
-    return docs.selectExpr(f"`{key}` as doc", f"`{text}` as text").mapInArrow(run, "doc long, n long, s1 long, s2 long, weak long")
+    return docs.selectExpr(f"`{key}` as doc", f"`{text}` as text").mapInArrow(run, "doc long, n long, s1 long, s2 long, weak long, bits array<bigint>")
 
 
 def _set_sums(v: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -130,33 +137,14 @@ def tiles(docs: DataFrame, weak: int = 0) -> DataFrame:
     return reps.select(F.explode("tiles").alias("tile"), "doc")
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """(doc, n, bits): set size and bitmap signature, from (doc, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tk.blocks(batches):
-            v, at = tk.shingles(tk.words(b.column("text")), SHINGLE)
-            owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            bits = np.zeros((len(at) - 1, BITS), bool)
-            bits[owner, (tk.mix(v) % np.uint64(BITS)).astype(np.int64)] = True
-            words = np.packbits(bits, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), pa.array(np.diff(at)), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(BITS // 64))],
-                ["doc", "n", *(f"b{k}" for k in range(BITS // 64))],
-            )
-
-    return sets.select("doc", "text").mapInArrow(run, "doc long, n long, " + ", ".join(f"b{k} long" for k in range(BITS // 64)))
-
-
 def bounded(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes and bitmaps leave a link possible."""
-    width = BITS // 64
 
     def side(x: str) -> DataFrame:
-        return sig.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.array(*[f"b{k}" for k in range(width)]).alias(f"bits{x}"))
+        return sig.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.col("bitsa")[k].bitwiseXOR(F.col("bitsb")[k])) for k in range(width)), F.lit(0))
+    apart = sum((F.bit_count(F.col("bitsa")[k].bitwiseXOR(F.col("bitsb")[k])) for k in range(BITS // 64)), F.lit(0))
     # differing shingles are at least `apart`: the overlap is at most (na + nb - apart) / 2
     most = F.floor((F.col("na") + F.col("nb") - apart) / 2)
     most = F.least(most, F.col("na"), F.col("nb"))
@@ -177,8 +165,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    one = sets.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-    two = sets.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    held = cut(sets.join(wanted, "doc", "left_semi"), "texts")
+    one = held.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
+    two = held.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     return pairs.join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -192,23 +182,31 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     reps = sizes.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"))
 
     entered = tiles(docs, weak)
-    crowded = entered.groupBy("tile").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
-    met = cut(entered.join(crowded, "tile").select("tile", "doc", "low"), "tiles")
-    first = met.filter("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
-    sets = cut(docs.join(met.select("doc").distinct(), "doc", "left_semi"), "texts")  # texts that share a tile
-    sig = cut(signatures(sets), "signatures")
+    # leaders by one of several orders, so that a group with many tiles has several
+    turn = F.struct(F.xxhash64("doc", F.pmod("tile", F.lit(ORDERS))).alias("turn"), F.col("doc"))
+    crowded = entered.groupBy("tile").agg(F.min(turn).alias("leader"), F.min("doc").alias("low"), F.max("doc").alias("high"))
+    crowded = crowded.filter("low < high").select("tile", F.col("leader.doc").alias("leader"))
+    met = cut(entered.join(crowded, "tile").select("tile", "doc", "leader"), "tiles")
+    first = met.filter("doc <> leader").select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
+    sig = sizes.select("doc", "n", "bits").dropDuplicates(["doc"]).join(met.select("doc").distinct(), "doc", "left_semi")
+    sig = cut(sig, "signatures")
     tried = cut(bounded(first, sig), "pairs")
-    links = cut(verified(tried, sets), "links")
+    links = cut(verified(tried, docs), "links")
     comp = components(links)
 
     # members of one tile in different components: compared in the second pass
     named = met.select("tile", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
     named = cut(named.withColumn("component", F.coalesce("component", "doc")), "named")
     mixed = named.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
-    apart = dealt(named.join(mixed, "tile").select("tile", "doc", "component", "m").join(sig, "doc"))
-    second = apart.groupBy("tile", "step", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+    mixed = named.select("tile", "doc", "component").join(mixed.select("tile", "m"), "tile")
+    few = mixed.filter(F.col("m") <= BLOCK).groupBy("tile", "m").agg(F.sort_array(F.collect_list(F.struct("doc", "component"))).alias("members"))
+    few = few.select(F.xxhash64("members").alias("tile"), "m", "members").dropDuplicates(["tile", "m"])
+    few = few.select("tile", F.explode("members").alias("x"), "m").select("tile", "x.doc", "x.component", "m")
+    crowd = dealt(few.unionByName(mixed.filter(F.col("m") > BLOCK)).join(sig, "doc"))
+    groups = crowd.groupBy("tile", "step", "i", "j").agg(F.collect_list(F.struct("doc", "component", "n", "bits")).alias("members"))
+    second = groups.select("members").mapInArrow(_across, "a long, b long").distinct()
     second = cut(second.join(tried, ["a", "b"], "left_anti"), "more")
-    more = verified(second, sets)
+    more = verified(second, docs)
     comp = components(links.unionByName(cut(more, "links"))).withColumnRenamed("node", "rep")
 
     classed = sizes.filter("n > 0").join(reps.withColumnRenamed("doc", "rep"), ["s1", "s2", "n"]).select("doc", "n", "rep")
@@ -230,21 +228,37 @@ def dealt(members: DataFrame) -> DataFrame:
     return d.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "m")
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one tile's members that lie in different components and pass the bitmap bound;
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each group's members that lie in different components and pass the bitmap bound;
     members are compared in size order, so only with those whose size allows a link."""
-    doc, comp, n = (table.column(c).to_numpy() for c in ("doc", "component", "n"))
-    bits = np.stack([table.column(f"b{k}").to_numpy() for k in range(BITS // 64)], 1)
-    order = np.argsort(n, kind="stable")
-    doc, comp, n, bits = doc[order], comp[order], n[order], bits[order]
-    reach = np.searchsorted(n, n * 100 // PERCENT, "right")
-    out = []
-    for i in range(len(doc)):
-        to = slice(i + 1, reach[i])
-        apart = np.bitwise_count(bits[i] ^ bits[to]).sum(1)
-        most = np.minimum((n[i] + n[to] - apart) // 2, n[i])
-        ok = (100 * most >= PERCENT * (n[i] + n[to] - most)) & (comp[i] != comp[to])
-        other = doc[to][ok]
-        out.append(np.stack((np.minimum(doc[i], other), np.maximum(doc[i], other)), 1))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    for batch in batches:
+        lists = batch.column("members")
+        ends, flat = lists.offsets.to_numpy(), lists.values
+        doc, comp, n = (flat.field(c).to_numpy() for c in ("doc", "component", "n"))
+        bits = flat.field("bits").values.to_numpy().reshape(-1, BITS // 64)
+        size, group = np.diff(ends), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        order = np.lexsort((n, group)) + ends[0]
+        doc, comp, n, bits, ends = doc[order], comp[order], n[order], bits[order], ends - ends[0]
+        out = []
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:  # n[i] <= n[j]
+            ok = (comp[i] != comp[j]) & (n[j] * PERCENT <= n[i] * 100)
+            i, j = i[ok], j[ok]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1)
+            most = np.minimum((n[i] + n[j] - apart) // 2, n[i])
+            ok = 100 * most >= PERCENT * (n[i] + n[j] - most)
+            a, b = doc[i[ok]], doc[j[ok]]
+            out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1))
+
+        for s in range(1, 9):  # the few members of many groups: all groups at once, by distance
+            at = np.flatnonzero(np.arange(len(doc)) + s < np.repeat(ends[1:], size))
+            at = at[np.repeat(size, size)[at] <= 9]
+            keep(at, at + s)
+        for g in np.flatnonzero(size > 9):
+            lo, hi = ends[g], ends[g + 1]
+            reach = lo + np.searchsorted(n[lo:hi], n[lo:hi] * 100 // PERCENT, "right")
+            for i in range(lo, hi - 1):
+                j = np.arange(i + 1, reach[i - lo])
+                keep(np.full(len(j), i), j)
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
