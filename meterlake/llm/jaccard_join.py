@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -47,7 +47,9 @@ PERCENT = 80
 SEGMENTS = 0.8
 #: Sets below this size use one shingle a segment.
 SMALL = 24
-BITS = 512
+#: Bits of a bitmap signature for each shingle of the band's least size; lengths are powers of two, so a
+#: bitmap is folded to half by joining its halves.
+BITS = 8
 #: Members of a tile compared in one block with one other; ratio of sizes a step (over 100 / PERCENT).
 BLOCK, STEP = 1024, 1.26
 #: Orders by which tiles choose their leaders.
@@ -62,9 +64,7 @@ def set_hashes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
         for b in tk.blocks(batches):
             v, at = tk.shingles(tk.words(b.column("text")), SHINGLE)
             weak = [sum(low for low in _bands(at[i + 1] - at[i]) if _segments(v[at[i] : at[i + 1]], low) is None) for i in range(b.num_rows)]
-            bits = np.zeros((b.num_rows, BITS), bool)
-            bits[np.repeat(np.arange(b.num_rows), np.diff(at)), (tk.mix(v) % np.uint64(BITS)).astype(np.int64)] = True
-            words = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(bits, axis=1).view(np.int64).ravel()), BITS // 64).cast(pa.list_(pa.int64()))
+            words = _bitmaps(v, at)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc"), pa.array(np.diff(at)), *map(tk.signed, _set_sums(v, at)), pa.array(weak, pa.int64()), words],
                 ["doc", "n", "s1", "s2", "weak", "bits"],
@@ -73,6 +73,17 @@ def set_hashes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return docs.selectExpr(f"`{key}` as doc", f"`{text}` as text").mapInArrow(run, "doc long, n long, s1 long, s2 long, weak long, bits array<bigint>")
 
 
+def _bitmaps(v: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Each set's bitmap: `BITS` bits for each shingle of its band's least size, at least one word."""
+    n = np.diff(at)
+    own = 1 << np.maximum(np.frexp(n)[1] - 1, 0).astype(np.int64)
+    length = np.maximum(own * BITS // 64, 1)
+    ends = np.concatenate(([0], np.cumsum(length)))
+    bit = np.zeros(int(ends[-1]) * 64, bool)
+    bit[np.repeat(ends[:-1] * 64, n) + (tk.mix(v) & np.repeat((length * 64 - 1).astype(np.uint64), n)).astype(np.int64)] = True
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.packbits(bit, bitorder="little").view(np.int64)))
+
+
 def _set_sums(v: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     out = []
     for salt in (0x51ED270B, 0xB5297A4D):
@@ -118,11 +129,8 @@ def _bands(n: int) -> list[int]:
     return [own, own // 2] if own > 1 and (n * PERCENT + 99) // 100 < own else [own]
 
 
-def tiles(docs: DataFrame, weak: int = 0) -> DataFrame:
-    """(tile, doc): the tiles of each class's representative, from (doc, text).
-
-    Copies meet by set hash and are combined before the shuffle; only tile names move, no text.
-    """
+def tiles(docs: DataFrame, reps: DataFrame, weak: int = 0) -> DataFrame:
+    """(tile, doc): the tiles of each class's representative, from (doc, text); only tile names move, no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.blocks(batches):
@@ -130,11 +138,10 @@ def tiles(docs: DataFrame, weak: int = 0) -> DataFrame:
             names = [_tiles_of(v[at[i] : at[i + 1]], weak) for i in range(b.num_rows)]
             ends = np.cumsum([0, *map(len, names)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tk.signed(np.concatenate(names)))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(np.diff(at)), *map(tk.signed, _set_sums(v, at)), lists], ["doc", "n", "s1", "s2", "tiles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), lists], ["doc", "tiles"])
 
-    entered = docs.select("doc", "text").mapInArrow(run, "doc long, n long, s1 long, s2 long, tiles array<bigint>")
-    reps = entered.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"), F.min_by("tiles", "doc").alias("tiles"))
-    return reps.select(F.explode("tiles").alias("tile"), "doc")
+    entered = docs.select("doc", "text").mapInArrow(run, "doc long, tiles array<bigint>").filter(F.size("tiles") > 0)
+    return entered.join(reps.select("doc"), "doc", "left_semi").select(F.explode("tiles").alias("tile"), "doc")
 
 
 def bounded(pairs: DataFrame, sig: DataFrame) -> DataFrame:
@@ -143,8 +150,14 @@ def bounded(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     def side(x: str) -> DataFrame:
         return sig.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.col("bitsa")[k].bitwiseXOR(F.col("bitsb")[k])) for k in range(BITS // 64)), F.lit(0))
+    def folded(x: str, words: Column) -> Column:
+        y = F.col(f"bits{x}")
+        return F.when(F.size(y) <= words, y).otherwise(F.zip_with(F.slice(y, F.lit(1), words), F.slice(y, words + 1, words), lambda p, q: p.bitwiseOR(q)))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("words", F.least(F.size("bitsa"), F.size("bitsb")))
+    both = both.filter((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))  # so lengths differ by one doubling at most
+    both = both.select("a", "b", "na", "nb", folded("a", F.col("words")).alias("x"), folded("b", F.col("words")).alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
     # differing shingles are at least `apart`: the overlap is at most (na + nb - apart) / 2
     most = F.floor((F.col("na") + F.col("nb") - apart) / 2)
     most = F.least(most, F.col("na"), F.col("nb"))
@@ -181,12 +194,12 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     weak = sizes.agg(F.bit_or("weak")).first()[0] or 0
     reps = sizes.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"))
 
-    entered = tiles(docs, weak)
+    entered = tiles(docs, reps, weak)
     # leaders by one of several orders, so that a group with many tiles has several
     turn = F.struct(F.xxhash64("doc", F.pmod("tile", F.lit(ORDERS))).alias("turn"), F.col("doc"))
-    crowded = entered.groupBy("tile").agg(F.min(turn).alias("leader"), F.min("doc").alias("low"), F.max("doc").alias("high"))
-    crowded = crowded.filter("low < high").select("tile", F.col("leader.doc").alias("leader"))
-    met = cut(entered.join(crowded, "tile").select("tile", "doc", "leader"), "tiles")
+    crowded = entered.groupBy("tile").agg(F.count("*").alias("m")).filter("m > 1").select("tile")
+    crowd = cut(entered.join(crowded, "tile").select("tile", "doc"), "tiles")
+    met = crowd.join(crowd.groupBy("tile").agg(F.min(turn)["doc"].alias("leader")), "tile")
     first = met.filter("doc <> leader").select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
     sig = sizes.select("doc", "n", "bits").dropDuplicates(["doc"]).join(met.select("doc").distinct(), "doc", "left_semi")
     sig = cut(sig, "signatures")
@@ -202,8 +215,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     few = mixed.filter(F.col("m") <= BLOCK).groupBy("tile", "m").agg(F.sort_array(F.collect_list(F.struct("doc", "component"))).alias("members"))
     few = few.select(F.xxhash64("members").alias("tile"), "m", "members").dropDuplicates(["tile", "m"])
     few = few.select("tile", F.explode("members").alias("x"), "m").select("tile", "x.doc", "x.component", "m")
-    crowd = dealt(few.unionByName(mixed.filter(F.col("m") > BLOCK)).join(sig, "doc"))
-    groups = crowd.groupBy("tile", "step", "i", "j").agg(F.collect_list(F.struct("doc", "component", "n", "bits")).alias("members"))
+    members = dealt(few.unionByName(mixed.filter(F.col("m") > BLOCK)).join(sig, "doc"))
+    groups = members.groupBy("tile", "step", "i", "j").agg(F.collect_list(F.struct("doc", "component", "n", "bits")).alias("members"))
     second = groups.select("members").mapInArrow(_across, "a long, b long").distinct()
     second = cut(second.join(tried, ["a", "b"], "left_anti"), "more")
     more = verified(second, docs)
@@ -235,20 +248,31 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("members")
         ends, flat = lists.offsets.to_numpy(), lists.values
         doc, comp, n = (flat.field(c).to_numpy() for c in ("doc", "component", "n"))
-        bits = flat.field("bits").values.to_numpy().reshape(-1, BITS // 64)
         size, group = np.diff(ends), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-        order = np.lexsort((n, group)) + ends[0]
-        doc, comp, n, bits, ends = doc[order], comp[order], n[order], bits[order], ends - ends[0]
+        order = np.lexsort((n, group))
+        maps = flat.field("bits")
+        begin, words = maps.offsets.to_numpy()[:-1][order], np.diff(maps.offsets.to_numpy())[order]
+        doc, comp, n, ends, word = doc[order], comp[order], n[order], ends - ends[0], maps.values.to_numpy().view(np.uint64)  # signed: bits of the absolute value
+        least = np.minimum.reduceat(words, ends[:-1])[group]  # each group is compared at its shortest length
         out = []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:  # n[i] <= n[j]
-            ok = (comp[i] != comp[j]) & (n[j] * PERCENT <= n[i] * 100)
-            i, j = i[ok], j[ok]
-            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1)
-            most = np.minimum((n[i] + n[j] - apart) // 2, n[i])
-            ok = 100 * most >= PERCENT * (n[i] + n[j] - most)
-            a, b = doc[i[ok]], doc[j[ok]]
-            out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1))
+            # two of the longer kind meet in their own band's tiles
+            ok = (comp[i] != comp[j]) & (n[i] * 100 >= n[j] * PERCENT) & ((words[i] == least[i]) | (words[j] == least[j]))
+            for size_ in np.unique(least[i[ok]]):
+                for at in range(0, len(part := np.flatnonzero(ok & (least[i] == size_))), step := max(1, (1 << 21) // int(size_))):
+                    a, b = i[part[at : at + step]], j[part[at : at + step]]
+                    apart = np.bitwise_count(folded(a, size_) ^ folded(b, size_)).sum(1, dtype=np.int64)
+                    most = np.minimum((n[a] + n[b] - apart) // 2, n[a])
+                    near = 100 * most >= PERCENT * (n[a] + n[b] - most)
+                    a, b = doc[a[near]], doc[b[near]]
+                    out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1))
+
+        def folded(rows: np.ndarray, size_: int) -> np.ndarray:
+            at = begin[rows][:, None] + np.arange(size_)
+            own, long = word[at], words[rows] > size_
+            own[long] |= word[at[long] + size_]
+            return own
 
         for s in range(1, 9):  # the few members of many groups: all groups at once, by distance
             at = np.flatnonzero(np.arange(len(doc)) + s < np.repeat(ends[1:], size))
@@ -257,8 +281,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in np.flatnonzero(size > 9):
             lo, hi = ends[g], ends[g + 1]
             reach = lo + np.searchsorted(n[lo:hi], n[lo:hi] * 100 // PERCENT, "right")
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, reach[i - lo])
-                keep(np.full(len(j), i), j)
+            counts = np.maximum(reach - np.arange(lo + 1, hi + 1), 0)
+            i = np.repeat(np.arange(lo, hi), counts)
+            keep(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])

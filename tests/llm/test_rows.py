@@ -125,3 +125,19 @@ def test_index_recall(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = (u @ u.T >= 0.98).sum(1) - 1
     assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.97 * want.sum() > 500
+
+
+def test_near_copies_of_many_leaders(spark):
+    """Groups whose members link with some of each other only, so that the second pass must find links."""
+    r = np.random.default_rng(8)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120 + 60 * g)]
+        for _ in range(40):
+            w = list(base)
+            for i in r.choice(len(w), r.integers(1, 1 + len(w) // 40), replace=False):
+                w[i] = f"x{r.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in queries.jaccard_join.classes(df).collect()}
+    assert got == brute.op8(rows)
