@@ -35,6 +35,8 @@ from . import units
 
 #: Chunks of 2 KB on average, 256 bytes at least.
 MASK, LEAST = 2047, 256
+#: Bytes of text, and of ids, worked on together: the hashes take some 50 bytes of memory for each.
+TOGETHER = 1 << 20
 _GEAR = np.random.default_rng(99).integers(0, 2**32, 256, np.uint32)
 
 
@@ -95,11 +97,11 @@ def packed(texts: DataFrame) -> DataFrame:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """z becomes text; batches are cut by compressed size first, so that they stay small."""
+    """z becomes text; batches are cut by compressed size first and by size then, so that they stay small."""
     d = zstandard.ZstdDecompressor()
-    for b in tk.blocks(batches, "z", units.TOGETHER // 2):
+    for b in tk.blocks(batches, "z", TOGETHER // 4):
         texts = pa.array([d.decompress(z).decode() for z in b.column("z").to_pylist()], pa.large_string())
-        yield b.drop_columns(["z"]).append_column("text", texts)
+        yield from tk.blocks(iter([b.drop_columns(["z"]).append_column("text", texts)]), "text", TOGETHER)
 
 
 def _encode_chunks(path: str):
@@ -130,7 +132,7 @@ def _encode_chunks(path: str):
 def _assemble(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, size_of = units.encoder(path), token_table(path)[1]
-        for b in units.gathered(_unpacked(batches)):
+        for b in units.gathered(_unpacked(batches), limit=TOGETHER):
             data, offsets = tk.buffer(b.column("text"))
             start, end = units.byte_level_units(data, offsets)
             first = np.searchsorted(start, offsets)
@@ -214,7 +216,7 @@ def decode(coded: DataFrame, tokenizer_file: str, key: str = "doc_id") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, size, place = token_table(tokenizer_file)
-        for b in tk.blocks(batches, "ids", units.TOGETHER):
+        for b in tk.blocks(batches, "ids", TOGETHER):
             out = []
             for raw in b.column("ids").to_pylist():
                 ids = np.frombuffer(raw, "<u4")
