@@ -190,7 +190,8 @@ def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str =
     shared = found.groupBy("h1", "h2", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("owner")).filter("n > 1")
     todo = shared.select(F.col("owner.doc").alias("doc"), F.struct("h1", "h2", "size", F.col("owner.start").alias("start")).alias("p"))
     todo = todo.groupBy("doc").agg(F.collect_set("p").alias("parts"))
-    texts = packed(given).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
+    # the filter is the inner join's own: stated for both joins, so that they read one exchange
+    texts = packed(given).filter("doc is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
     coded = texts.join(todo, "doc").mapInArrow(_encode_chunks(tokenizer_file), "h1 long, h2 long, size long, ids binary, wide boolean")
     each = found.join(coded, ["h1", "h2", "size"]).groupBy("doc").agg(F.collect_set(F.struct("start", "size", "ids", "wide")).alias("parts"))
     both = texts.join(each, "doc", "left").select("doc", "z", "parts").unionByName(packed(unnamed), allowMissingColumns=True)
