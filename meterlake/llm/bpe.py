@@ -97,10 +97,11 @@ def packed(texts: DataFrame) -> DataFrame:
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """z becomes text; batches are cut by compressed size first and by size then, so that they stay small."""
+    """z becomes text (without key it was not moved, nor compressed); batches are cut by compressed size first
+    and by size then, so that they stay small."""
     d = zstandard.ZstdDecompressor()
     for b in tk.blocks(batches, "z", TOGETHER // 4):
-        texts = pa.array([d.decompress(z).decode() for z in b.column("z").to_pylist()], pa.large_string())
+        texts = pa.array([(z if doc is None else d.decompress(z)).decode() for doc, z in zip(b.column("doc").to_pylist(), b.column("z").to_pylist(), strict=True)], pa.large_string())
         yield from tk.blocks(iter([b.drop_columns(["z"]).append_column("text", texts)]), "text", TOGETHER)
 
 
@@ -129,7 +130,7 @@ def _encode_chunks(path: str):
     return run
 
 
-def _assemble(path: str):
+def _assemble(path: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, size_of = units.encoder(path), token_table(path)[1]
         for b in units.gathered(_unpacked(batches), limit=TOGETHER):
@@ -156,7 +157,8 @@ def _assemble(path: str):
                     at = z
                 parts.append(ids[cuts[place[at]] : cuts[place[first[i + 1]]]])
                 out.append((np.concatenate(parts) if len(parts) > 1 else parts[0]).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(out, pa.binary())], ["doc", "ids"])
+            done = pa.RecordBatch.from_arrays([b.column("doc"), pa.array(out, pa.binary())], ["doc", "ids"])
+            yield done.append_column("text", _texts(done, path)) if decoded else done
 
     return run
 
@@ -180,8 +182,9 @@ def _agreed(ids, size_of, start, lo, hi, begin, stop) -> tuple[int, int, np.ndar
     return (int(a), int(z), ids[token(a) : token(z)]) if a < z else None
 
 
-def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids): each text's ids as little-endian unsigned 32-bit numbers."""
+def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """(key, ids): each text's ids as little-endian unsigned 32-bit numbers.  ``decoded``: and the
+    text that these ids stand for, as `decode` gives it, by the same worker."""
     spark = docs.sparkSession
     every = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     given, unnamed = every.filter("doc is not null"), every.filter("doc is null")
@@ -194,8 +197,8 @@ def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str =
     texts = packed(given).filter("doc is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
     coded = texts.join(todo, "doc").mapInArrow(_encode_chunks(tokenizer_file), "h1 long, h2 long, size long, ids binary, wide boolean")
     each = found.join(coded, ["h1", "h2", "size"]).groupBy("doc").agg(F.collect_set(F.struct("start", "size", "ids", "wide")).alias("parts"))
-    both = texts.join(each, "doc", "left").select("doc", "z", "parts").unionByName(packed(unnamed), allowMissingColumns=True)
-    return both.mapInArrow(_assemble(tokenizer_file), "doc long, ids binary").withColumnRenamed("doc", key)
+    both = texts.join(each, "doc", "left").select("doc", "z", "parts").unionByName(unnamed.select("doc", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("z")), allowMissingColumns=True)
+    return both.mapInArrow(_assemble(tokenizer_file, decoded), "doc long, ids binary" + ", text string" * decoded).withColumnRenamed("doc", key)
 
 
 @lru_cache(4)
@@ -212,21 +215,26 @@ def token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), np.uint8), size, np.concatenate(([0], np.cumsum(size)))[:-1]
 
 
+def _texts(coded: pa.RecordBatch, path: str) -> pa.Array:
+    """The texts that a batch's ids stand for."""
+    flat, size, place = token_table(path)
+    out = []
+    for raw in coded.column("ids").to_pylist():
+        ids = np.frombuffer(raw, "<u4")
+        n = size[ids]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ids) else 0
+        at = np.arange(total) + np.repeat(place[ids] - (ends - n), n)
+        out.append(flat[at].tobytes().decode("utf-8", "replace"))
+    return pa.array(out, pa.string())
+
+
 def decode(coded: DataFrame, tokenizer_file: str, key: str = "doc_id") -> DataFrame:
     """(key, ids, text) from (key, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, size, place = token_table(tokenizer_file)
         for b in tk.blocks(batches, "ids", TOGETHER):
-            out = []
-            for raw in b.column("ids").to_pylist():
-                ids = np.frombuffer(raw, "<u4")
-                n = size[ids]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ids) else 0
-                at = np.arange(total) + np.repeat(place[ids] - (ends - n), n)
-                out.append(flat[at].tobytes().decode("utf-8", "replace"))
-            yield b.append_column("text", pa.array(out, pa.string()))
+            yield b.append_column("text", _texts(b, tokenizer_file))
 
     kind = coded.schema[key].dataType.simpleString()
     return coded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, ids binary, text string")

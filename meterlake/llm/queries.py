@@ -16,8 +16,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_file("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    decoded = bpe.encode(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), decoded=True)
     return decoded.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )
