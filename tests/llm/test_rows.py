@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from meterlake.llm import near_vectors, pii, quality_rules, queries
+from meterlake.llm import bpe, near_vectors, pii, quality_rules, queries
 from tests.llm import brute
 from tests.llm.test_queries import PASSAGE
 
@@ -84,6 +84,15 @@ def test_pipeline(spark, where, request):
     assert got == want
 
 
+def test_decode_by_itself(spark, odd):
+    """`decode` of stored ids gives the texts that the encoding tasks decode."""
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    coded = bpe.encode(queries.documents(spark, odd), path, decoded=True)
+    want = sorted((r["ids"], r["text"]) for r in coded.collect())
+    got = sorted((r["ids"], r["text"]) for r in bpe.decode(coded.select("doc_id", "ids"), path).collect())
+    assert got == want and len(got) == len(ROWS)
+
+
 def test_pii_model_learns():
     model = pii.trained()
     held = pii.labelled(120, seed=99)
