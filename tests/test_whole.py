@@ -1,0 +1,28 @@
+"""Registered queries over whole tables: rows that a filter or a default once left out."""
+
+import datetime
+
+import pytest
+
+from meterlake.queries import QUERIES
+
+
+@pytest.fixture
+def events(spark, tmp_path):
+    """A folder with the given (event_id, user_id, value) as events of 2024-01-12."""
+
+    def put(rows):
+        at = datetime.datetime(2024, 1, 12, 8)
+        df = spark.createDataFrame([(i, at, u, "click", v) for i, u, v in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+        df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+        return str(tmp_path)
+
+    return put
+
+
+def test_members_beyond_200(spark, events):
+    """Spend and idle members of any key; 340 is removed."""
+    where = events([(1, 201, 150.0), (2, 1, 50.0), (3, 340, 9.0)])
+    spark.createDataFrame([(k, f"c{k}") for k in (1, 200, 201, 340, 1500)], "c_custkey long, c_name string").coalesce(1).write.parquet(f"{where}/customer.parquet")
+    got = sorted((r["email"], r["spent"], r["prompts"]) for r in QUERIES["team_overview"](spark, where).collect())
+    assert got == [("u1", 0.5, 1), ("u1500", 0.0, 0), ("u200", 0.0, 0), ("u201", 1.5, 1)]
