@@ -69,7 +69,7 @@ query("workspace_rollup", _with(E, f"SELECT workspace, {_USD}, count(*) n FROM p
 _ROOTS = ["/w", "/w/app", "/x/y"]
 _UNDER = "(lower(workspace) = root OR starts_with(lower(workspace), root || '/'))"
 query("repository_costs", _with(E, f", w AS (SELECT workspace, arg_max(root, length(root)) repo FROM (SELECT DISTINCT workspace FROM f), (VALUES ('/w'), ('/w/app'), ('/x/y')) r(root) WHERE {_UNDER} GROUP BY 1) SELECT day, coalesce(repo, workspace, '(none)') repo, coalesce(session_id, '(unknown)') AS session, model, {_USD}, count(*) turns FROM p LEFT JOIN w USING (workspace) GROUP BY 1, 2, 3, 4"))(lambda s, d: reports.by_repository(entries(s, d), _ROOTS))
-query("wire_log_drift", f"WITH {_CARD}, f AS (SELECT * FROM ({R}) WHERE NOT blocked AND model <> 'gpt-5.5'), g AS (SELECT * FROM ({E}) WHERE model <> 'gemini-2.5-pro'), {_priced('p', 'f')}, {_priced('q', 'g')}, a AS (SELECT model, sum(cost_usd) wire, count(*) wn FROM p GROUP BY 1), b AS (SELECT model, sum(cost_usd) logs, count(*) ln FROM q GROUP BY 1), j AS (SELECT coalesce(a.model, b.model) model, coalesce(wire, 0) wire, coalesce(logs, 0) logs, coalesce(wn, 0) wire_n, coalesce(ln, 0) logs_n FROM a FULL JOIN b ON a.model = b.model) SELECT model, round(wire, 6) wire, round(logs, 6) logs, wire_n, logs_n, round(logs - wire, 6) gap, round(CASE WHEN wire <> 0 THEN (logs - wire) / wire * 100 END, 6) gap_pct FROM j")(lambda s, d: reports.drift(requests(s, d).filter("model <> 'gpt-5.5'"), entries(s, d).filter("model <> 'gemini-2.5-pro'")))
+query("wire_log_drift", f"WITH {_CARD}, f AS (SELECT * FROM ({R}) WHERE NOT blocked AND model <> 'gpt-5.5'), g AS (SELECT * FROM ({E}) WHERE model <> 'gemini-2.5-pro'), {_priced('p', 'f')}, {_priced('q', 'g')}, a AS (SELECT model, sum(cost_usd) wire, count(*) wn FROM p GROUP BY 1), b AS (SELECT model, sum(cost_usd) logs, count(*) ln FROM q GROUP BY 1), j AS (SELECT coalesce(a.model, b.model) model, coalesce(wire, 0) wire, coalesce(logs, 0) logs, coalesce(wn, 0) wire_n, coalesce(ln, 0) logs_n FROM a FULL JOIN b ON a.model = b.model) SELECT model, round(wire, 6) wire, round(logs, 6) logs, wire_n, logs_n, round(logs - wire, 6) gap, round(CASE WHEN wire <> 0 THEN (logs - wire) / wire * 100 END, 6) gap_pct FROM j")(lambda s, d: reports.drift(requests(s, d), entries(s, d)))
 _SUMMED = f"WITH {_CARD}, f AS (SELECT provider, model, {_TOKENS} FROM ({R}) WHERE NOT blocked GROUP BY 1, 2), {_priced('p', 'f')}, m AS (SELECT *, {_COST} c, {_NAIVE} w FROM p) "
 query("cache_savings", _SUMMED + "SELECT round(coalesce(sum(c), 0), 6) AS real, round(coalesce(sum(w), 0), 6) without_cache, round(greatest(coalesce(sum(w), 0) - coalesce(sum(c), 0), 0), 6) captured FROM m")(lambda s, d: reports.savings(requests(s, d)))
 query("cache_opportunities", _SUMMED + f"SELECT provider, model, round(c, 6) cost_usd, round(cache_read_tokens / {_PROMPT} * 100, 6) share FROM m WHERE c >= 0.5 AND cache_read_tokens / {_PROMPT} * 100 < 30")(lambda s, d: reports.opportunities(requests(s, d)))

@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from meterlake.operators import reports
 from meterlake.queries import QUERIES
 
 
@@ -26,3 +27,17 @@ def test_members_beyond_200(spark, events):
     spark.createDataFrame([(k, f"c{k}") for k in (1, 200, 201, 340, 1500)], "c_custkey long, c_name string").coalesce(1).write.parquet(f"{where}/customer.parquet")
     got = sorted((r["email"], r["spent"], r["prompts"]) for r in QUERIES["team_overview"](spark, where).collect())
     assert got == [("u1", 0.5, 1), ("u1500", 0.0, 0), ("u200", 0.0, 0), ("u201", 1.5, 1)]
+
+
+def test_drift_of_every_model(spark, events):
+    """One call of each of the eight models stands on both sides."""
+    got = {r["model"]: (r["wire_n"], r["logs_n"]) for r in QUERIES["wire_log_drift"](spark, events([(i, 1, 10.0) for i in range(8)])).collect()}
+    assert len(got) == 8 and set(got.values()) == {(1, 1)}
+
+
+def test_drift_of_one_sided_models(spark):
+    tokens = "model string, input_tokens long, cache_creation_tokens long, cache_read_tokens long, output_tokens long"
+    wire = spark.createDataFrame([("gpt-5.4-mini", 10**6, 0, 0, 0, False), ("gpt-5.5", 9, 0, 0, 0, True)], f"{tokens}, blocked boolean")
+    logs = spark.createDataFrame([("claude-haiku-4-5", 0, 0, 0, 10**6)], tokens)
+    got = {r["model"]: (r["wire"], r["logs"], r["wire_n"], r["logs_n"], r["gap_pct"]) for r in reports.drift(wire, logs).collect()}
+    assert got == {"gpt-5.4-mini": (0.75, 0.0, 1, 0, -100.0), "claude-haiku-4-5": (0.0, 5.0, 0, 1, None)}
