@@ -15,6 +15,10 @@ SECRETS = [
 #: Invisible characters.
 INVISIBLE = r"\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{E0000}-\x{E007F}"
 
+#: What the default ruleset denies.
+DENY_PATHS = ["~/.ssh", "~/.aws", "~/.gnupg", "~/.kube", "~/.config/gcloud", "/etc/passwd", "/etc/shadow"]
+DENY_COMMANDS = ["chmod 777", ":(){ :|:& };:"]
+
 
 def luhn(digits: Column) -> Column:
     d = F.transform(F.split(F.reverse(digits), ""), lambda x, i: F.when(i % 2 == 0, x.cast("int")).otherwise(2 * x.cast("int") - F.when(x.cast("int") > 4, 9).otherwise(0)))
@@ -48,7 +52,9 @@ def command_denied(text: Column, commands: list[str]) -> Column:
     plain = F.regexp_replace(F.lower(text), r"\s+", " ")
     out = F.lit(False)
     for c in commands:
-        out = out | F.contains(plain, F.lit(" ".join(c.lower().split())))
+        parts = c.lower().split()
+        # few texts have the first word; the others need not be rewritten
+        out = out | (F.contains(F.lower(text), F.lit("".join(parts[:1]))) & F.contains(plain, F.lit(" ".join(parts))))
     return out
 
 
@@ -69,6 +75,12 @@ def destructive(text: Column) -> Column:
     return removal | text.rlike(r"(^|\s)(mkfs(\.\w+)?\s|dd\s[^\n]*of=/dev/)") | text.rlike(r"(?i)(^|[^a-z])(drop\s+(table|database)|truncate\s+table)\s")
 
 
+def network_mount(text: Column) -> Column:
+    """A share's scheme, or two backslashes and a host at a border, but not after a drive letter or for a local namespace."""
+    unc = r"""(?<=\A|[ \t\n\r"'=(,:])(?<![A-Za-z]:)\\\\(?!(?i:wsl\$|wsl\.localhost))[A-Za-z0-9]"""
+    return (F.contains(text, F.lit("://")) & text.rlike(r"(?i)(smb|nfs|cifs|afp)://")) | (F.contains(text, F.lit(r"\\")) & text.rlike(unc))
+
+
 def exfiltration(text: Column) -> Column:
     resolver = text.rlike(r"(^|[^A-Za-z0-9_])(nslookup|dig|host)\s")
     tool = text.rlike(r"(^|[^A-Za-z0-9_])(curl|wget|nc|ncat)\s")
@@ -95,7 +107,7 @@ def first_violation(text: Column, paths: list[str] = (), commands: list[str] = (
             canary = canary | F.contains(text, F.lit(c))
     return (
         F.when(canary, "canary").when(hidden_characters(text) >= 8, "hidden_text").when(path_denied(text, paths), "path_blocked").when(command_denied(text, commands), "command_blocked")
-        .when(destructive(text), "destructive").when(secret_kind(text).isNotNull(), "secret").when(exfiltration(text), "exfiltration")
+        .when(destructive(text), "destructive").when(network_mount(text), "mount_blocked").when(secret_kind(text).isNotNull(), "secret").when(exfiltration(text), "exfiltration")
         .when(F.size(card_numbers(text)) > 0, "card_number").when(has_ssn(text), "ssn")
     )
 

@@ -134,6 +134,6 @@ query("card_numbers", f"WITH runs AS (SELECT doc_id, i, regexp_replace(unnest({_
 )
 query("denied_commands", "SELECT conv_id, turn FROM conversations WHERE contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), 'of the') AND role = 'assistant'")(lambda s, d: table(s, d, "conversations").filter((F.col("role") == "assistant") & scan.command_denied(F.col("text"), ["OF  the"])).select("conv_id", "turn"))
 query("page_hosts", "SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(html, '://([^/:\"\\\\\\s]+)', 1))) AS host FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.explode(scan.hosts(F.col("html"))).alias("host")))
-query("payload_violations")(lambda s, d: table(s, d, "documents").select("doc_id", scan.first_violation(F.col("text")).alias("violation")).filter("violation is not null"))
+query("payload_violations")(lambda s, d: table(s, d, "documents").select("doc_id", scan.first_violation(F.col("text"), scan.DENY_PATHS, scan.DENY_COMMANDS).alias("violation")).filter("violation is not null"))
 query("file_findings")(lambda s, d: scan.scan_lines(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")))
 query("ssn_documents", r"SELECT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?:[^0-9-]|$)', 1)) x FROM documents) WHERE x[1:3] NOT IN ('000', '666') AND x[1] <> '9' AND x[5:6] <> '00' AND x[8:11] <> '0000'")(lambda s, d: table(s, d, "documents").filter(scan.has_ssn(F.col("text"))).select("doc_id"))
