@@ -1,6 +1,7 @@
 """Operator 3, license scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines.  A block matches a template when it holds at least `CONTAINMENT` of the
+Blocks are lines and, over line breaks, windows of words that overlap by the longest template's
+length, so that wording stands in one block however its lines are wrapped.  A block matches a template when it holds at least `CONTAINMENT` of the
 template's distinct words.  Words are ordered by their frequency in the whole corpus, rarest
 first; a matching block must hold one of a template's first |T| - ceil(c |T|) + 1 words (prefix
 filter), have enough words (length filter), and leave enough words after the shared one
@@ -70,17 +71,20 @@ def prefix_index(freq: dict[str, int], templates=TEMPLATES, containment: float =
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, block, label, score): every line and template with containment at least the threshold."""
+    """(key, block, label, score): every block and template with containment at least the threshold."""
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     index = prefix_index(frequencies(docs, vocabulary, text), templates, containment)
     entries = spark.createDataFrame(index, "token string, template int, label string, tokens array<string>, need int, place int")
     prefix = sorted({r[0] for r in index})
+    longest = max(len(t.split()) for _, t in templates)
+    given = docs.filter(F.col(text).rlike(_any_word(prefix))).select(F.col(key).alias("key"), F.transform(F.split(text, "\n"), words).alias("lines"))
+    given = given.withColumn("w", F.when(F.size("lines") > 1, F.flatten("lines")).otherwise(F.array().cast("array<string>")))
+    windows = F.transform(F.sequence(F.lit(0), F.size("w"), F.lit(longest)), lambda i: F.slice("w", i + 1, F.lit(2 * longest)))
     blocks = (
-        docs.filter(F.col(text).rlike(_any_word(prefix)))
-        .select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("block", "line"))
-        .filter(F.col("line").rlike(_any_word(prefix)))
-        .select("key", "block", F.array_distinct(words(F.col("line"))).alias("b"))
+        given.select("key", F.posexplode(F.concat("lines", windows)).alias("block", "b"))
+        .filter(F.arrays_overlap("b", F.array(*map(F.lit, prefix))))
+        .select("key", "block", F.array_distinct("b").alias("b"))
     )
     met = (
         blocks.select("*", F.explode("b").alias("token"))
