@@ -12,14 +12,15 @@ Cells are met in blocks of at most `BLOCK` queries and `BLOCK` stored rows; the
 cell follows from its counted rows, so a hot cell is dealt over many tasks.  Tasks return counts
 and, for components, one link per vector and partner group, never all pairs of a group.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing, as do those without label or id; copies link, rows repeated
-under one id too; an empty table gives no rows; further columns are not looked at.
+Defined results: vectors that are null, zero, or hold null or non-finite components link with
+nothing, as do those without label or id; vectors of each length have an index of their own and
+link among themselves; copies link, rows repeated under one id too; an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -98,17 +99,22 @@ def _unit(values: np.ndarray) -> np.ndarray:
 
 def near(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component_id, kept) of every vector."""
-    spark = vectors.sparkSession
     v = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("e"), F.col(label).cast("string").alias("label"))
     sound = F.col("id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & F.col("label").isNotNull()
     sound = sound & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     v = v.withColumn("fit", F.coalesce(sound, F.lit(False)))
     fit = v.filter("fit")
-    width = fit.groupBy(F.size("e").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    none = v.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if width is None:
-        return none
-    fit = fit.filter(F.size("e") == width["w"])
+    widths = [r["w"] for r in fit.select(F.size("e").alias("w")).distinct().orderBy("w").collect()]
+    if not widths:
+        return v.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    done = reduce(DataFrame.unionByName, [_linked(fit.filter(F.size("e") == w), threshold) for w in widths])
+    return v.join(done, ["fit", "label", "e"], "left").select(
+        F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
+    ).withColumn("kept", F.col(key) == F.col("component_id"))
+
+
+def _linked(fit: DataFrame, threshold: float) -> DataFrame:
+    """(fit, label, e, n_links, component_id) of each distinct vector; all are of one length."""
     classes = fit.groupBy("label", "e").agg(F.min("id").alias("c"), F.count("*").alias("m"))
     classes = cut(classes, "classes")
 
@@ -180,7 +186,4 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
     links = hits.groupBy("c").agg(F.sum("n").alias("n"))
     comp = components(hits.select(F.col("c").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "c")
     done = classes.select("c", "m", "label", "e").join(links, "c", "left").join(comp, "c", "left")
-    done = done.select(F.lit(True).alias("fit"), "label", "e", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "c").alias("component_id"))
-    return v.join(done, ["fit", "label", "e"], "left").select(
-        F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
-    ).withColumn("kept", F.col(key) == F.col("component_id"))
+    return done.select(F.lit(True).alias("fit"), "label", "e", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "c").alias("component_id"))
