@@ -115,8 +115,9 @@ def first_violation(text: Column, paths: list[str] = (), commands: list[str] = (
 def scan_lines(files: DataFrame, text: str = "text", key: str = "path") -> DataFrame:
     """Findings of files by line, from 1: credentials are errors, hidden characters warnings."""
     lines = files.select(key, F.posexplode(F.split(text, "\n")).alias("line", "t")).withColumn("line", F.col("line") + 1)
-    lines = lines.withColumn("rule", F.coalesce(secret_kind(F.col("t")), F.when(hidden_characters(F.col("t")) > 0, "hidden_text")))
-    return lines.filter("rule is not null").select(key, "line", "rule", F.when(F.col("rule") == "hidden_text", "warning").otherwise("error").alias("level"))
+    hidden = F.when(hidden_characters(F.col("t")) > 0, "hidden_text")
+    found = lines.select(key, "line", F.explode(F.array_compact(F.array(secret_kind(F.col("t")), hidden))).alias("rule"))
+    return found.select(key, "line", "rule", F.when(F.col("rule") == "hidden_text", "warning").otherwise("error").alias("level"))
 
 
 def masked(x: Column) -> Column:
