@@ -12,13 +12,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch.  Texts can be long, so batches are kept short.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch, whichever is reached first.  Texts can be long, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings that the Arrow stages need: short batches, so that long texts fit."""
+    """Settings that the Arrow stages need: short batches, so that long texts fit.  They stay set, since
+    the returned frames run later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

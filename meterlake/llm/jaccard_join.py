@@ -6,21 +6,19 @@ one class, found by a 128-bit set hash; only class representatives are joined.
 Tiles.  Sets are banded by size, a band holding sizes up to twice its least.  In a band the hash
 range is dealt into segments of one to two and a half shingles on average.  Two linked sets of sizes s <= t differ
 in at most (s + t) / 9 shingles, so in at most d = floor(s / 4) segments (t is at most s / 0.8).
-Take each set's non-empty segments as elements, in the global order (more shingles first, then by
-hash): by the prefix principle two linked sets share one among the first d + 1 of each.  Those are
-the tiles (band, segment, contents) that a set enters; a set whose partner may be in the lower band
-enters that band's tiles too.  The principle needs d + 1 non-empty segments.  Bands of small sets,
-and any band in which some set of the corpus falls short (a first pass notes them), have tiles of
-single shingles, of which no set has too few.  No link is lost.
-
-Within a tile each member is paired with one leader only; tiles choose by one of `ORDERS` orders of
-the documents, so that a group with many tiles has that many leaders.  Then bit counts of the
-members' bitmap signatures bound the overlap from above (each differing bit is a differing
-shingle), and survivors are verified by intersecting sorted arrays.  After components are formed
-from these links, a second pass pairs, within each tile, members of different components only,
-again under the bitmap bound: what it adds completes the components, and groups of near copies
-never expand into all their pairs.  Tiles of equal members count once, crowded ones are dealt into
-blocks.
+Take each set's segments as elements, in the global order (more shingles first, then by hash; empty
+segments come last): by the prefix principle two linked sets share one among the first d + 1 of each.
+Those are the tiles (band, segment, contents) that a set enters; a set whose partner may be in the lower
+band enters that band's tiles too.  Bands of small sets have tiles of single shingles.  No link is lost.
+
+Work within tiles is done in two steps.  `ROUNDS` rounds pair a tile's members with one leader of the
+tile's largest component; tiles choose by several orders of the documents, so that a group with many
+tiles has many leaders.  Bit counts of the bitmap signatures bound a pair's overlap from above (each
+differing bit is a differing shingle), and survivors are verified by intersecting sorted arrays.  This
+joins nearly all links at the cost of one pair a tile member.  Then the members of different components
+that still share a tile are compared inside one task a group, in blocks: the bitmap bound
+leaves the members that have any possible partner, and the exact intersections of these give the links
+that connect them.  So a task hands on at most one row a member, never all the pairs of a group.
 
 Defined results: null, empty and word-less texts have empty sets and link with nothing; fewer than
 five words make one shingle; equal texts are always linked; ties don't matter (links are
@@ -50,27 +48,25 @@ SMALL = 24
 #: Bits of a bitmap signature for each shingle of the band's least size; lengths are powers of two, so a
 #: bitmap is folded to half by joining its halves.
 BITS = 8
-#: Members of a tile compared in one block with one other; ratio of sizes a step (over 100 / PERCENT).
-BLOCK, STEP = 1024, 1.26
-#: Orders by which tiles choose their leaders.
-ORDERS = 3
+#: Members of a tile compared in one block with one other: at most BLOCK, and fewer if their sets hold over CELLS shingles.
+BLOCK, CELLS = 512, 1 << 18
+#: Orders by which tiles choose their leaders, and rounds of choosing.
+ORDERS, ROUNDS = 3, 3
+#: Columns of the member-by-shingle matrix held at once.
+COLUMNS = 4096
 
 
 def set_hashes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, n, s1, s2, weak, bits): size, 128-bit hash and bitmap signature of each document's set;
-    weak: a bit for each band in which the set has too few segments."""
+    """(doc, n, s1, s2, bits): size, 128-bit hash and bitmap signature of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.blocks(batches):
             v, at = tk.shingles(tk.words(b.column("text")), SHINGLE)
-            weak = [sum(low for low in _bands(at[i + 1] - at[i]) if _segments(v[at[i] : at[i + 1]], low) is None) for i in range(b.num_rows)]
-            words = _bitmaps(v, at)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), pa.array(np.diff(at)), *map(tk.signed, _set_sums(v, at)), pa.array(weak, pa.int64()), words],
-                ["doc", "n", "s1", "s2", "weak", "bits"],
+                [b.column("doc"), pa.array(np.diff(at)), *map(tk.signed, _set_sums(v, at)), _bitmaps(v, at)], ["doc", "n", "s1", "s2", "bits"]
             )
 
-    return docs.selectExpr(f"`{key}` as doc", f"`{text}` as text").mapInArrow(run, "doc long, n long, s1 long, s2 long, weak long, bits array<bigint>")
+    return docs.selectExpr(f"`{key}` as doc", f"`{text}` as text").mapInArrow(run, "doc long, n long, s1 long, s2 long, bits array<bigint>")
 
 
 def _bitmaps(v: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -92,31 +88,28 @@ def _set_sums(v: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _segments(v: np.ndarray, low: int) -> np.ndarray | None:
-    """Hashes of the tiles that the sorted set v enters in the band of sizes from ``low`` on, if it
-    has segments enough for them; small sets have no segments."""
+def _segments(v: np.ndarray, low: int) -> np.ndarray:
+    """Hashes of the tiles that the sorted set v enters in the band of sizes from ``low`` on.  A set
+    with fewer than d + 1 non-empty segments enters tiles of empty ones too."""
     d = len(v) // 4  # a bound of the differing segments, for v as the smaller or the larger set
-    if low < SMALL:
-        return np.zeros(0, np.uint64)
-    seg = (v >> np.uint64(32)) * np.uint64(int(low * SEGMENTS)) >> np.uint64(32)
+    total = int(low * SEGMENTS)
+    seg = (v >> np.uint64(32)) * np.uint64(total) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-    if len(first) <= d:
-        return None
     size = np.diff(np.append(first, len(v)))
     content = np.add.reduceat(tk.mix(v), first)
     name = tk.mix(content ^ tk.mix(seg[first] + np.uint64(low << 20)))
-    return name[np.lexsort((name, -size))[: d + 1]]
+    out = name[np.lexsort((name, -size))[: d + 1]]
+    if len(out) <= d:
+        empty = np.setdiff1d(np.arange(total, dtype=np.uint64), seg[first])
+        out = np.append(out, np.sort(tk.mix(tk.mix(empty + np.uint64(low << 20))))[: d + 1 - len(out)])
+    return out
 
 
-def _tiles_of(v: np.ndarray, weak: int) -> np.ndarray:
-    out = []
+def _tiles_of(v: np.ndarray) -> np.ndarray:
+    out = [np.zeros(0, np.uint64)]
     for low in _bands(len(v)):
-        part = _segments(v, low)
-        if part is not None:
-            out.append(part)
-        if low < SMALL or weak & low:
-            out.append(np.sort(tk.mix(v ^ np.uint64(low * 2 + 1)))[: len(v) // 4 + 1])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out.append(_segments(v, low) if low >= SMALL else np.sort(tk.mix(v ^ np.uint64(low * 2 + 1)))[: len(v) // 4 + 1])
+    return np.concatenate(out)
 
 
 def _bands(n: int) -> list[int]:
@@ -129,13 +122,13 @@ def _bands(n: int) -> list[int]:
     return [own, own // 2] if own > 1 and (n * PERCENT + 99) // 100 < own else [own]
 
 
-def tiles(docs: DataFrame, reps: DataFrame, weak: int = 0) -> DataFrame:
+def tiles(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(tile, doc): the tiles of each class's representative, from (doc, text); only tile names move, no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.blocks(batches):
             v, at = tk.shingles(tk.words(b.column("text")), SHINGLE)
-            names = [_tiles_of(v[at[i] : at[i + 1]], weak) for i in range(b.num_rows)]
+            names = [_tiles_of(v[at[i] : at[i + 1]]) for i in range(b.num_rows)]
             ends = np.cumsum([0, *map(len, names)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tk.signed(np.concatenate(names)))
             yield pa.RecordBatch.from_arrays([b.column("doc"), lists], ["doc", "tiles"])
@@ -191,98 +184,208 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     every = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     docs, unnamed = every.filter("doc is not null"), every.filter("doc is null")
     sizes = cut(set_hashes(docs, "text", "doc"), "sets")
-    weak = sizes.agg(F.bit_or("weak")).first()[0] or 0
     reps = sizes.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"))
 
-    entered = tiles(docs, reps, weak)
-    # leaders by one of several orders, so that a group with many tiles has several
-    turn = F.struct(F.xxhash64("doc", F.pmod("tile", F.lit(ORDERS))).alias("turn"), F.col("doc"))
+    entered = tiles(docs, reps)
     crowded = entered.groupBy("tile").agg(F.count("*").alias("m")).filter("m > 1").select("tile")
     crowd = cut(entered.join(crowded, "tile").select("tile", "doc"), "tiles")
-    met = crowd.join(crowd.groupBy("tile").agg(F.min(turn)["doc"].alias("leader")), "tile")
-    first = met.filter("doc <> leader").select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
-    sig = sizes.select("doc", "n", "bits").dropDuplicates(["doc"]).join(met.select("doc").distinct(), "doc", "left_semi")
-    sig = cut(sig, "signatures")
-    tried = cut(bounded(first, sig), "pairs")
-    links = cut(verified(tried, docs), "links")
-    comp = components(links)
-
-    # members of one tile in different components: compared in the second pass
-    named = met.select("tile", "doc").join(comp.withColumnRenamed("node", "doc"), "doc", "left")
-    named = cut(named.withColumn("component", F.coalesce("component", "doc")), "named")
-    mixed = named.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo < hi")
-    mixed = named.select("tile", "doc", "component").join(mixed.select("tile", "m"), "tile")
-    few = mixed.filter(F.col("m") <= BLOCK).groupBy("tile", "m").agg(F.sort_array(F.collect_list(F.struct("doc", "component"))).alias("members"))
-    few = few.select(F.xxhash64("members").alias("tile"), "m", "members").dropDuplicates(["tile", "m"])
-    few = few.select("tile", F.explode("members").alias("x"), "m").select("tile", "x.doc", "x.component", "m")
-    members = dealt(few.unionByName(mixed.filter(F.col("m") > BLOCK)).join(sig, "doc"))
-    groups = members.groupBy("tile", "step", "i", "j").agg(F.collect_list(F.struct("doc", "component", "n", "bits")).alias("members"))
-    second = groups.select("members").mapInArrow(_across, "a long, b long").distinct()
-    second = cut(second.join(tried, ["a", "b"], "left_anti"), "more")
-    more = verified(second, docs)
-    comp = components(links.unionByName(cut(more, "links"))).withColumnRenamed("node", "rep")
-
-    classed = sizes.filter("n > 0").join(reps.withColumnRenamed("doc", "rep"), ["s1", "s2", "n"]).select("doc", "n", "rep")
-    classed = classed.join(comp, "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
-    out = classed.unionByName(set_hashes(unnamed, "text", "doc").select("doc", "n", F.col("doc").alias("component"))).unionByName(sizes.filter("n = 0").select("doc", "n", F.col("doc").alias("component")))
+    sig = sizes.select("doc", "n", "bits").dropDuplicates(["doc"])
+    sig = cut(sig.join(crowd.select("doc").distinct(), "doc", "left_semi"), "signatures")
+
+    comp = sig.select("doc", F.col("doc").alias("component"))
+    links = tried = None
+    mixed = crowd.withColumn("component", F.col("doc"))
+    for turn in range(ROUNDS):
+        pairs = led(mixed, turn)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        passed = cut(bounded(pairs, sig), "pairs")
+        found = cut(verified(passed, docs), "links")
+        tried = passed if tried is None else tried.unionByName(passed)
+        if links is not None and found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        comp = components(links).withColumnRenamed("node", "doc")
+        mixed = cut(still_apart(mixed.drop("component"), comp), "mixed")
+
+    more = cut(connecting(mixed, sig, docs), "links")
+    comp = components(links.unionByName(more)).withColumnRenamed("node", "doc")
+
+    # one row a class before the join with its documents, so that a class of many is a skewed join like any other
+    named = reps.join(comp, "doc", "left").select("s1", "s2", "n", F.coalesce("component", "doc").alias("component"))
+    classed = sizes.filter("n > 0").select("doc", "n", "s1", "s2").join(named, ["s1", "s2", "n"]).select("doc", "n", "component")
+    alone = sizes.filter("n = 0").select("doc", "n").unionByName(set_hashes(unnamed, "text", "doc").select("doc", "n"))
+    out = classed.unionByName(alone.withColumn("component", F.col("doc")))
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def led(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each tile's leader, of the tile's largest component, with every member of another one."""
+    order = F.struct(F.xxhash64("doc", F.pmod("tile", F.lit(ORDERS)), F.lit(turn)).alias("turn"), F.col("doc"))
+    if turn == 0:  # every member is a component
+        chief = members.groupBy("tile").agg(F.min(order)["doc"].alias("leader")).withColumn("main", F.col("leader"))
+    else:
+        share = members.groupBy("tile", "component").agg(F.count("*").alias("m"), F.min(order)["doc"].alias("leader"))
+        most = F.max(F.struct("m", "component", "leader"))
+        chief = share.groupBy("tile").agg(most.alias("x")).select("tile", "x.leader", F.col("x.component").alias("main"))
+    met = members.join(chief, "tile").filter("component <> main")
+    return met.select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
+
+
+def still_apart(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(tile, doc, component) of the tiles that hold more than one component."""
+    named = members.join(comp, "doc", "left").select("tile", "doc", F.coalesce("component", "doc").alias("component"))
+    open_ = named.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    return named.join(open_.select("tile"), "tile", "left_semi")
+
+
+def connecting(mixed: DataFrame, sig: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the components meeting in the tiles of ``mixed``, as exact comparison of
+    all their members would."""
+    groups = dealt(mixed.join(sig.select("doc", "n"), "doc"))
+    members = groups.join(sig.select("doc", "bits", "n"), "doc")
+    lists = members.groupBy("tile", "i", "j").agg(F.collect_list(F.struct("doc", "component", "n", "bits")).alias("members"))
+    near = cut(lists.select("members").mapInArrow(_near, "docs array<bigint>, components array<bigint>"), "near")
+    near = near.dropDuplicates(["docs"]).withColumn("g", F.struct(F.xxhash64("docs"), F.hash("docs")))
+    one = near.select("g", F.explode(F.arrays_zip("docs", "components")).alias("x")).select("g", F.col("x.docs").alias("doc"), F.col("x.components").alias("component"))
+    sets = shingle_sets(docs.join(one.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]))
+    held = one.join(sets, "doc").groupBy("g").agg(F.collect_list(F.struct("doc", "component", "v")).alias("members"))
+    return held.select("members").mapInArrow(_links, "a long, b long").distinct()
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(doc, v): sorted shingle hashes, of (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tk.blocks(batches):
+            v, at = tk.shingles(tk.words(b.column("text")), SHINGLE)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), tk.signed(v))], ["doc", "v"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc long, v array<bigint>")
+
+
 def dealt(members: DataFrame) -> DataFrame:
-    """A tile's members with the groups (step, i, j) in which they are compared; a tile of more than
-    `BLOCK` members is dealt into blocks, every two of which meet, by steps of size: sizes of linked
-    sets are at most one step apart."""
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    step = F.floor(F.log("n") / F.log(F.lit(STEP))).cast("int")
-    steps = F.when(blocks > 1, F.array(step - 1, step)).otherwise(F.array(F.lit(0)))
-    d = members.withColumn("own", own).withColumn("step", F.explode(steps))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return d.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "m")
-
-
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each group's members that lie in different components and pass the bitmap bound;
-    members are compared in size order, so only with those whose size allows a link."""
+    """The groups (tile, i, j) in which the members of tiles, (tile, doc, component, n), are compared.
+    A tile of one block is one group, and equal ones count once.  In a larger tile every pair of components
+    has a member outside the largest one: those outside, in blocks i, meet all members, in blocks j."""
+    share = members.groupBy("tile", "component").agg(F.count("*").alias("m"), F.max("n").alias("n"))
+    most = F.max(F.struct("m", "component"))
+    tile = share.groupBy("tile").agg(F.sum("m").alias("m"), F.max("n").alias("n"), most["m"].alias("mm"), most["component"].alias("main"))
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(8), F.floor(F.lit(CELLS) / F.col("n")))).cast("int")
+    tile = tile.select("tile", "main", F.ceil(F.col("m") / block).cast("int").alias("all"), F.ceil((F.col("m") - F.col("mm")) / block).cast("int").alias("out"))
+    met = members.select("tile", "doc", "component").join(tile, "tile")
+
+    few = met.filter("all = 1").groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("doc", "component"))).alias("members"))
+    few = few.withColumn("size", F.size("members")).withColumn("mark", F.hash("members")).withColumn("tile", F.xxhash64("members"))
+    few = few.dropDuplicates(["tile", "mark", "size"]).select("tile", F.col("mark").alias("i"), F.lit(-1).alias("j"), F.explode("members").alias("x"))
+    many = met.filter("all > 1").withColumn("y", F.pmod(F.xxhash64("doc"), "all").cast("int")).withColumn("x", F.pmod(F.xxhash64("doc", F.lit(1)), "out").cast("int"))
+    last = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    inner = F.transform(last("out"), lambda i: F.struct(i.alias("i"), F.col("y").alias("j")))
+    outer = F.transform(last("all"), lambda j: F.struct(F.col("x").alias("i"), j.alias("j")))
+    where = F.when(F.col("component") == F.col("main"), inner).otherwise(F.array_distinct(F.concat(inner, outer)))
+    many = many.select("tile", "doc", "component", F.explode(where).alias("at")).select("tile", "at.i", "at.j", "doc", "component")
+    return few.select("tile", "i", "j", "x.doc", "x.component").unionByName(many)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each group that have, in another component, a member whose size and bitmap leave a
+    link possible; groups without any give no row."""
     for batch in batches:
         lists = batch.column("members")
         ends, flat = lists.offsets.to_numpy(), lists.values
+        flat, ends = flat.slice(ends[0], ends[-1] - ends[0]), ends - ends[0]
         doc, comp, n = (flat.field(c).to_numpy() for c in ("doc", "component", "n"))
         size, group = np.diff(ends), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
         order = np.lexsort((n, group))
         maps = flat.field("bits")
-        begin, words = maps.offsets.to_numpy()[:-1][order], np.diff(maps.offsets.to_numpy())[order]
-        doc, comp, n, ends, word = doc[order], comp[order], n[order], ends - ends[0], maps.values.to_numpy().view(np.uint64)  # signed: bits of the absolute value
+        borders = maps.offsets.to_numpy()
+        begin, words = borders[:-1][order], np.diff(borders)[order]
+        doc, comp, n, word = doc[order], comp[order], n[order], maps.values.to_numpy().view(np.uint64)
         least = np.minimum.reduceat(words, ends[:-1])[group]  # each group is compared at its shortest length
-        out = []
+        hit = np.zeros(len(doc), bool)
 
-        def keep(i: np.ndarray, j: np.ndarray) -> None:  # n[i] <= n[j]
+        def folded(rows: np.ndarray, size_: int) -> np.ndarray:
+            at = begin[rows][:, None] + np.arange(size_)
+            own, long = word[at], words[rows] > size_
+            own[long] |= word[at[long] + size_]
+            return own
+
+        def test(i: np.ndarray, j: np.ndarray) -> None:  # n[i] <= n[j]
             # two of the longer kind meet in their own band's tiles
             ok = (comp[i] != comp[j]) & (n[i] * 100 >= n[j] * PERCENT) & ((words[i] == least[i]) | (words[j] == least[j]))
-            for size_ in np.unique(least[i[ok]]):
-                for at in range(0, len(part := np.flatnonzero(ok & (least[i] == size_))), step := max(1, (1 << 21) // int(size_))):
+            i, j = i[ok], j[ok]
+            for size_ in np.unique(least[i]):
+                part = np.flatnonzero(least[i] == size_)
+                step = max(1, (1 << 20) // int(size_))
+                for at in range(0, len(part), step):
                     a, b = i[part[at : at + step]], j[part[at : at + step]]
                     apart = np.bitwise_count(folded(a, size_) ^ folded(b, size_)).sum(1, dtype=np.int64)
                     most = np.minimum((n[a] + n[b] - apart) // 2, n[a])
                     near = 100 * most >= PERCENT * (n[a] + n[b] - most)
-                    a, b = doc[a[near]], doc[b[near]]
-                    out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1))
-
-        def folded(rows: np.ndarray, size_: int) -> np.ndarray:
-            at = begin[rows][:, None] + np.arange(size_)
-            own, long = word[at], words[rows] > size_
-            own[long] |= word[at[long] + size_]
-            return own
+                    hit[a[near]] = hit[b[near]] = True
 
         for s in range(1, 9):  # the few members of many groups: all groups at once, by distance
             at = np.flatnonzero(np.arange(len(doc)) + s < np.repeat(ends[1:], size))
             at = at[np.repeat(size, size)[at] <= 9]
-            keep(at, at + s)
+            test(at, at + s)
         for g in np.flatnonzero(size > 9):
             lo, hi = ends[g], ends[g + 1]
             reach = lo + np.searchsorted(n[lo:hi], n[lo:hi] * 100 // PERCENT, "right")
             counts = np.maximum(reach - np.arange(lo + 1, hi + 1), 0)
             i = np.repeat(np.arange(lo, hi), counts)
-            keep(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            test(i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts))
+        left = np.lexsort((doc, group))  # equal survivors of different tiles are told by equal lists
+        left = left[hit[left]]
+        kept = np.bincount(group[left], minlength=len(size))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(kept[kept > 0]))), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(offsets, pa.array(doc[left])), pa.ListArray.from_arrays(offsets, pa.array(comp[left]))], ["docs", "components"]
+        )
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each group's members, (doc, component, v), that connect what is linked: at most one a member.
+    Intersections are exact: products of the member-by-shingle matrix of the shingles that two members have."""
+    for batch in batches:
+        lists = batch.column("members")
+        out = [np.zeros((0, 2), np.int64)]
+        for g in range(len(lists)):
+            flat = lists[g].values
+            doc, comp = flat.field("doc").to_numpy(), flat.field("component").to_numpy()
+            sets = flat.field("v")
+            at = sets.offsets.to_numpy()
+            n, m = np.diff(at), len(doc)
+            value, column, times = np.unique(sets.values.to_numpy()[at[0] : at[-1]], return_inverse=True, return_counts=True)
+            shared = np.flatnonzero(times > 1)
+            place = np.full(len(value), -1)
+            place[shared] = np.arange(len(shared))
+            row, column = np.repeat(np.arange(m), n), place[column]
+            both = np.zeros((m, m), np.int64)
+            for c in range(0, len(shared), COLUMNS):
+                part = np.zeros((m, min(COLUMNS, len(shared) - c)), np.float32)
+                here = (column >= c) & (column < c + COLUMNS)
+                part[row[here], column[here] - c] = 1
+                both += (part @ part.T).astype(np.int64)
+            linked = 100 * both >= PERCENT * (n[:, None] + n[None, :] - both)
+            out.append(doc[_spanning(linked, comp)])
+        pairs = np.sort(np.concatenate(out), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _spanning(linked: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Index pairs, of ``linked``, that join all that is linked, given that equal ``comp`` are joined already."""
+    seen, edges = np.zeros(len(comp), bool), []
+    for start in range(len(comp)):
+        if seen[start]:
+            continue
+        todo = list(np.flatnonzero(comp == comp[start]))
+        seen[todo] = True
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(linked[i] & ~seen):
+                if not seen[j]:
+                    edges.append((i, j))
+                    mates = np.flatnonzero(comp == comp[j])
+                    seen[mates] = True
+                    todo.extend(mates)
+    return np.array(edges, np.int64).reshape(-1, 2)
