@@ -187,8 +187,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     reps = sizes.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"))
 
     entered = tiles(docs, reps)
-    crowded = entered.groupBy("tile").agg(F.count("*").alias("m")).filter("m > 1").select("tile")
-    crowd = cut(entered.join(crowded, "tile").select("tile", "doc"), "tiles")
+    crowd = cut(entered.join(distinct_tiles(entered), "tile", "left_semi").select("tile", "doc"), "tiles")
     sig = sizes.select("doc", "n", "bits").dropDuplicates(["doc"])
     sig = cut(sig.join(crowd.select("doc").distinct(), "doc", "left_semi"), "signatures")
 
@@ -219,6 +218,15 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def distinct_tiles(entered: DataFrame) -> DataFrame:
+    """(tile,): of the tiles with the same members, two at least, the least.  Members are told by their number
+    and sums of two hashes (in halves, which can't overflow), so no tile is gathered."""
+    half = lambda h, k: F.sum(F.shiftrightunsigned(h, 32) if k else h.bitwiseAND(F.lit(0xFFFFFFFF)))
+    a, b = F.xxhash64("doc"), F.xxhash64("doc", F.lit(1))
+    told = entered.groupBy("tile").agg(F.count("*").alias("m"), half(a, 0).alias("w"), half(a, 1).alias("x"), half(b, 0).alias("y"), half(b, 1).alias("z"))
+    return told.filter("m > 1").groupBy("m", "w", "x", "y", "z").agg(F.min("tile").alias("tile")).select("tile")
+
+
 def led(members: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b): each tile's leader, of the tile's largest component, with every member of another one."""
     order = F.struct(F.xxhash64("doc", F.pmod("tile", F.lit(ORDERS)), F.lit(turn)).alias("turn"), F.col("doc"))
