@@ -6,9 +6,9 @@ with the stage's code (some ten thousand floats, whatever the corpus's size).
 
 Decoding: overlapping windows of `WINDOW` characters, `STRIDE` apart, are decoded by Viterbi in
 batches and reconciled over the whole text: each position takes its label from the window in
-whose middle it lies deepest, then adjacent labels are joined to spans.  Windows without a digit
-or an at sign are not decoded: each kind has one or the other, and a span without is dropped
-anyway.  Base rules (regular expressions with checks) are kept beside the model's spans; a model
+whose middle it lies deepest, then adjacent labels are joined to spans.  A whole span holds a digit or an
+at sign, so decoding starts from the windows over these and goes on, window by window, as long as labels
+reach over: the spans are those of decoding every window.  Base rules (regular expressions with checks) are kept beside the model's spans; a model
 span that overlaps a base span is merged into it, so it adds only what the rules miss.
 
 Defined results: null text is empty; an empty text has no spans; repeated rows get equal results;
@@ -26,6 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from . import textkit as tk
+
 KINDS = ["email", "ip", "card", "phone"]
 
 #: Fixed values of the base rules.
@@ -75,6 +77,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---------------------------------------------------------------- the model
 
 WINDOW, STRIDE = 64, 32
+#: Bytes of text whose windows are held at once.
+BYTES = 1 << 20
 HIDDEN, EMBED, EPOCHS, BATCH, RATE, SEED = 16, 8, 16, 64, 0.03, 7
 #: Bound of the labelled rows that the model is fitted on.
 TRAIN_ROWS = 400
@@ -257,12 +261,10 @@ def labelled(rows: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[str, list[t
     return out
 
 
-def windows_of(length: int, marks: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a mark; windows overlap by half and reach over both ends."""
-    if not len(marks):
-        return np.zeros(0, np.int64)
-    k = marks // STRIDE
-    return np.unique(np.concatenate((k, k - 1))) * STRIDE
+def windows_of(marks: np.ndarray) -> np.ndarray:
+    """Numbers of the windows that hold a mark: window k starts at k * STRIDE, so windows overlap by half, and
+    the first and last reach over the ends."""
+    return np.unique(np.concatenate((marks // STRIDE, marks // STRIDE - 1)))
 
 
 def cut_windows(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -291,16 +293,16 @@ def trained(rows: int = TRAIN_ROWS, seed: int = SEED) -> Tagger:
     return model
 
 
-def reconcile(length: int, starts: np.ndarray, paths: np.ndarray) -> np.ndarray:
-    """One label a position: of the windows over it, the one in whose middle it lies deepest."""
-    label, depth = np.zeros(length, np.int64), np.full(length, -1)
-    rank = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))
-    for s, path in zip(starts, paths, strict=True):
-        a, b = max(0, s), min(length, s + WINDOW)
-        deeper = rank[a - s : b - s] > depth[a:b]
-        label[a:b][deeper] = path[a - s : b - s][deeper]
-        depth[a:b][deeper] = rank[a - s : b - s][deeper]
-    return label
+def reconcile(length: int, numbers: np.ndarray, paths: np.ndarray) -> np.ndarray:
+    """One label a position: of the two windows over it, the one in whose middle it lies deeper (the earlier
+    one at equal depth); positions under no window have label 0.  ``numbers`` are sorted."""
+    label = np.zeros((-(-length // STRIDE) + 2) * STRIDE, np.int64).reshape(-1, STRIDE)
+    inner = np.arange(STRIDE) > STRIDE - 1 - np.arange(STRIDE)  # deeper in the window that starts here
+    label[numbers + 1] = paths[:, :STRIDE]
+    late = np.isin(numbers + 1, numbers)  # the next window is decoded too
+    label[numbers[~late] + 2] = paths[~late, STRIDE:]
+    label[numbers[late] + 2] = np.where(inner, label[numbers[late] + 2], paths[late, STRIDE:])
+    return label[1:].ravel()[:length]
 
 
 def join_labels(label: np.ndarray, text: str) -> list[tuple[str, int, int]]:
@@ -331,19 +333,31 @@ def _plausible(kind: str, value: str) -> bool:
 
 
 def model_spans(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """The model's spans of each text; windows of all texts are decoded together, in blocks."""
-    starts, cuts = [], []
-    for text in texts:
-        code = codes(text)
-        marks = np.flatnonzero(((code >= _CODE["0"]) & (code <= _CODE["9"])) | (code == _CODE["@"]))
-        starts.append(windows_of(len(text), marks))
-        cuts.append(cut_windows(code, starts[-1]) if len(marks) else np.zeros((0, WINDOW), np.int64))
-    every = np.concatenate(cuts) if cuts else np.zeros((0, WINDOW), np.int64)
-    paths = np.concatenate([model.decode(every[i : i + 2048]) for i in range(0, len(every), 2048)] or [every])
-    out, at = [], 0
-    for text, s in zip(texts, starts, strict=True):
-        out.append(join_labels(reconcile(len(text), s, paths[at : at + len(s)]), text) if len(s) else [])
-        at += len(s)
+    """The model's spans of each text; windows of all texts are decoded together, in blocks.
+
+    Every span holds a digit or @, or it would not be whole.  So the windows over these marks are decoded, and
+    from each window with a label the windows next to it, until none is new: all labels of a span, as if every
+    window were decoded."""
+    code = [codes(text) for text in texts]
+    last = np.array([(len(c) - 1) // STRIDE for c in code], np.int64)
+    have: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    todo = [windows_of(np.flatnonzero(((c >= _CODE["0"]) & (c <= _CODE["9"])) | (c == _CODE["@"]))) for c in code]
+    while any(map(len, todo)):
+        owner = np.repeat(np.arange(len(texts)), [len(k) for k in todo])
+        number = np.concatenate(todo)
+        every = np.concatenate([cut_windows(code[t], k * STRIDE) for t, k in enumerate(todo) if len(k)])
+        paths = np.concatenate([model.decode(every[i : i + 2048]) for i in range(0, len(every), 2048)])
+        for t, k, path in zip(owner.tolist(), number.tolist(), paths, strict=True):
+            have[t][k] = path
+        on = paths.any(1)
+        beside = [set() for _ in texts]
+        for t, k in zip(owner[on].tolist(), number[on].tolist(), strict=True):
+            beside[t].update(j for j in (k - 1, k + 1) if -1 <= j <= last[t] and j not in have[t])
+        todo = [np.array(sorted(b), np.int64) for b in beside]
+    out = []
+    for text, own in zip(texts, have, strict=True):
+        k = np.array(sorted(own), np.int64)
+        out.append(join_labels(reconcile(len(text), k, np.stack([own[i] for i in k.tolist()])), text) if own else [])
     return out
 
 
@@ -377,7 +391,7 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", model: Tagg
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tk.blocks(batches, "text", BYTES):
             found = detect_in(batch.column("text"), model)
             counts = [pa.array([sum(s[0] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays(
@@ -395,7 +409,7 @@ def redact(docs: DataFrame, text: str = "text", model: Tagger | None = None) ->
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tk.blocks(batches, at, BYTES):
             column = batch.column(at)
             found = detect_in(column, model)
             hit = [i for i, (_, spans) in enumerate(found) if spans]
