@@ -1,16 +1,19 @@
 """Operator 3, license scans: an exact set-similarity join of text blocks with license templates.
 
 Blocks are lines and, over line breaks, windows of words that overlap by the longest template's
-length, so that wording stands in one block however its lines are wrapped.  A block matches a template when it holds at least `CONTAINMENT` of the
-template's distinct words.  Words are ordered by their frequency in the whole corpus, rarest
-first; a matching block must hold one of a template's first |T| - ceil(c |T|) + 1 words (prefix
-filter), have enough words (length filter), and leave enough words after the shared one
-(positional filter).  Survivors are verified exactly.  The template table is a constant of a few
+length, so that wording stands in one block however its lines are wrapped.  A block matches a template when it
+holds at least `CONTAINMENT` of the template's distinct words.  The words of all templates are ordered by their
+frequency in the whole corpus, rarest first, and both sides are written in that order (a block without the words
+of no template, which can't be shared).  With need = ceil(c |T|), a matching block shares a word among the first
+|T| - need + 1 of the template and the first |B| - need + 1 of its own (prefix filter), has `need` words (length
+filter), and where a word stands at places i and j of the two, min(i, j) + 1 + min(|T| - i, |B| - j) - 1 is at
+least need (positional filter).  Survivors are verified exactly.  The template table is a constant of a few
 rows, so its side of the join is broadcast; the corpus is never shuffled, only hits are.
 
 Only DataFrame functions are used.  Defined results: null text is empty; a text without words has
 no labels and score 0; repeated words count once in a block; ties in frequency go by the word;
-an empty table gives no rows; further columns of the input are not looked at.
+rows with a null id, or one id with several texts, each get the result of their own text; an empty table gives
+no rows; further columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +35,11 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 CONTAINMENT = 0.8
 
@@ -60,41 +68,57 @@ def frequencies(docs: DataFrame, vocabulary: list[str], text: str = "text") -> d
     return {r["w"]: r["count"] for r in found.collect()}  # at most as many rows as the vocabulary has words
 
 
-def prefix_index(freq: dict[str, int], templates=TEMPLATES, containment: float = CONTAINMENT) -> list[tuple]:
+def global_order(vocabulary: list[str], freq: dict[str, int]) -> list[str]:
+    """The templates' words, rarest in the corpus first; ties by the word."""
+    return sorted(vocabulary, key=lambda w: (freq.get(w, 0), w))
+
+
+def prefix_index(order: list[str], templates=TEMPLATES, containment: float = CONTAINMENT) -> list[tuple]:
     """(word, template, label, ordered words, need, place of the word): the prefixes' entries."""
-    rows = []
+    rank, rows = {w: i for i, w in enumerate(order)}, []
     for k, (label, wording) in enumerate(templates):
-        tokens = sorted(set(wording.split()), key=lambda w: (freq.get(w, 0), w))
+        tokens = sorted(set(wording.split()), key=rank.__getitem__)
         need = math.ceil(containment * len(tokens) - 1e-9)
         rows += [(w, k, label, tokens, need, i) for i, w in enumerate(tokens[: len(tokens) - need + 1])]
     return rows
 
 
 def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, block, label, score): every block and template with containment at least the threshold."""
+    """(key, mark, block, label, score): every block and template with containment at least the threshold;
+    ``mark`` tells texts of one key apart."""
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t in templates for w in t.split()})
-    index = prefix_index(frequencies(docs, vocabulary, text), templates, containment)
-    entries = spark.createDataFrame(index, "token string, template int, label string, tokens array<string>, need int, place int")
-    prefix = sorted({r[0] for r in index})
+    order = global_order(vocabulary, frequencies(docs, vocabulary, text))
+    index = prefix_index(order, templates, containment)
+    # a constant table: as many rows as the templates' prefixes have words
+    entries = spark.createDataFrame(index, "token string, template int, label string, tokens array<string>, need int, i int")
+    prefix, least = sorted({r[0] for r in index}), min(r[4] for r in index)
     longest = max(len(t.split()) for _, t in templates)
-    given = docs.filter(F.col(text).rlike(_any_word(prefix))).select(F.col(key).alias("key"), F.transform(F.split(text, "\n"), words).alias("lines"))
+    given = docs.filter(F.col(text).rlike(_any_word(prefix)))
+    given = given.select(F.col(key).alias("key"), _mark(F.col(text)).alias("mark"), F.transform(F.split(text, "\n"), words).alias("lines"))
     given = given.withColumn("w", F.when(F.size("lines") > 1, F.flatten("lines")).otherwise(F.array().cast("array<string>")))
     windows = F.transform(F.sequence(F.lit(0), F.size("w"), F.lit(longest)), lambda i: F.slice("w", i + 1, F.lit(2 * longest)))
     blocks = (
-        given.select("key", F.posexplode(F.concat("lines", windows)).alias("block", "b"))
-        .filter(F.arrays_overlap("b", F.array(*map(F.lit, prefix))))
-        .select("key", "block", F.array_distinct("b").alias("b"))
+        given.select("key", "mark", F.posexplode(F.concat("lines", windows)).alias("block", "w"))
+        .filter(F.arrays_overlap("w", F.array(*map(F.lit, prefix))))
+        .select("key", "mark", "block", F.array_intersect(F.array(*map(F.lit, order)), "w").alias("b"))  # in the order of the first
+        .filter(F.size("b") >= least)
     )
+    i, j, t, b, need = F.col("i"), F.col("j"), F.size("tokens"), F.size("b"), F.col("need")
     met = (
-        blocks.select("*", F.explode("b").alias("token"))
+        blocks.select("*", F.posexplode(F.slice("b", F.lit(1), b - least + 1)).alias("j", "token"))
         .join(F.broadcast(entries), "token")
-        .filter(F.size("b") >= F.col("need"))  # length
-        .filter(F.size("tokens") - F.col("place") >= F.col("need"))  # position
+        .filter((b >= need) & (j <= b - need))  # length, and the block's own prefix
+        .filter(F.least(i, j) + F.least(t - i, b - j) >= need)  # position
         .withColumn("shared", F.size(F.array_intersect("b", "tokens")))
-        .filter(F.col("shared") >= F.col("need"))
+        .filter(F.col("shared") >= need)
     )
-    return met.groupBy("key", "block", "label").agg(F.max(F.col("shared") / F.size("tokens")).alias("score")).withColumnRenamed("key", key)
+    return met.groupBy("key", "mark", "block", "label").agg(F.max(F.col("shared") / t).alias("score")).withColumnRenamed("key", key)
+
+
+def _mark(text: Column) -> Column:
+    """Tells the texts of one key apart."""
+    return F.when(text.isNotNull(), F.sha2(text, 256))
 
 
 def phrases(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -103,7 +127,7 @@ def phrases(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     # a superset of the texts with a phrase; the others need no word list
     may = F.lower(t).contains("license") | t.rlike(rf"(?i)(?<!{WORD})cc{GAP}by")
     d = docs.select(
-        F.col(key), F.regexp_count(t, F.lit(f"{WORD}+")).cast("long").alias("n_words"),
+        F.col(key), _mark(F.col(text)).alias("mark"), F.regexp_count(t, F.lit(f"{WORD}+")).cast("long").alias("n_words"),
         F.when(may, words(t)).otherwise(F.array().cast("array<string>")).alias("w"),
     )
 
@@ -113,10 +137,10 @@ def phrases(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         same = F.filter(at, lambda i: F.slice("w", i + 1, len(p)) == F.array(*map(F.lit, p)))
         return F.when((F.size("w") >= len(p)) & F.array_contains("w", p[0]), same).otherwise(F.array().cast("array<int>"))
 
-    d = d.select(key, "n_words", F.array(*[places(p) for p, _ in PHRASES]).alias("at"))
+    d = d.select(key, "mark", "n_words", F.array(*[places(p) for p, _ in PHRASES]).alias("at"))
     every = F.flatten("at")
     return d.select(
-        key, "n_words", F.size(every).cast("long").alias("n_base"),
+        key, "mark", "n_words", F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
         F.array_compact(F.array(*[F.when(F.size(F.element_at("at", k + 1)) > 0, F.lit(name)) for k, (_, name) in enumerate(PHRASES)])).alias("base"),
     )
@@ -124,8 +148,9 @@ def phrases(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: counts and places of the base phrases, labels of both ways, score."""
-    found = matches(docs, text=text, key=key).groupBy(key).agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
-    d = phrases(docs, text, key).join(found, key, "left")
+    found = matches(docs, text=text, key=key).groupBy(key, "mark").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
+    d, found = phrases(docs, text, key), found.withColumnRenamed(key, "found_key").withColumnRenamed("mark", "found_mark")
+    d = d.join(found, F.col(key).eqNullSafe(F.col("found_key")) & (F.col("mark") == F.col("found_mark")), "left")
     both = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     return d.select(
         key, "n_words", "n_base", "first_word", "last_word",
