@@ -14,7 +14,8 @@ and, for components, one link per vector and partner group, never all pairs of a
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with
 nothing, as do those without label or id; vectors of each length have an index of their own and
-link among themselves; copies link, rows repeated under one id too; an empty table gives no rows; further columns are not looked at.
+link among themselves; copies link, rows repeated under one id too; a vector without id is kept; an empty table
+gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ THRESHOLD = 0.98
 SAMPLE, TARGET_RECALL, SEED = 8192, 0.999, 11
 #: Rows of either side of a block.
 BLOCK = 2048
-#: Vectors that a cell should hold, at most 64 centroids a half.
-PER_CELL, MOST_CENTROIDS = 256, 64
+#: Vectors that a cell should hold, and sampled vectors that a centroid should rest on.
+PER_CELL, PER_CENTROID = 64, 16
 
 
 def codebook(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -80,20 +81,20 @@ class MultiIndex:
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(d.argmin(1) for d in self.distances(x))
 
-    def traverse(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+    def traverse(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Cells by growing border distance, from the two lists of one query, up to the radius."""
         ia, ib = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        out, reach = [], self.radius**2
-        for i in ia:  # the lists are sorted: each row of the grid ends where the radius is passed
-            left = reach - a[i] ** 2
-            if left < 0:
-                break
-            take = ib[: np.searchsorted(b[ib], np.sqrt(left), "right")]
-            out += [(float(a[i] ** 2 + b[j] ** 2), int(i) * self.k + int(j)) for j in take]
-        return [c for _, c in sorted(out)]
+        x, y = a[ia] ** 2, b[ib] ** 2
+        # the lists are sorted: each row of the grid ends where the radius is passed
+        reach = np.searchsorted(y, self.radius**2 - x, "right")
+        i = np.repeat(np.arange(self.k), reach)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach)
+        return (ia[i] * self.k + ib[j])[np.argsort(x[i] + y[j], kind="stable")]
 
 
 def _unit(values: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square over- or underflows."""
+    values = values / np.abs(values).max(1, keepdims=True)
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
@@ -110,7 +111,7 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
     done = reduce(DataFrame.unionByName, [_linked(fit.filter(F.size("e") == w), threshold) for w in widths])
     return v.join(done, ["fit", "label", "e"], "left").select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
-    ).withColumn("kept", F.col(key) == F.col("component_id"))
+    ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def _linked(fit: DataFrame, threshold: float) -> DataFrame:
@@ -121,7 +122,7 @@ def _linked(fit: DataFrame, threshold: float) -> DataFrame:
     n, labels = classes.count(), classes.select("label").distinct().count()
     rows = classes.orderBy(F.xxhash64("c")).limit(SAMPLE).select("e").collect()  # bounded: SAMPLE vectors
     sample = _unit(np.array([r["e"] for r in rows]))
-    k = int(np.clip(np.sqrt(n / labels / PER_CELL), 1, min(MOST_CENTROIDS, len(sample))))
+    k = int(np.clip(np.sqrt(n / labels / PER_CELL), 1, max(1, len(sample) // PER_CENTROID)))
     index = MultiIndex(sample, k, threshold, TARGET_RECALL)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,33 +155,29 @@ def _linked(fit: DataFrame, threshold: float) -> DataFrame:
         if q.empty or s.empty:
             return pd.DataFrame({"c": [], "n": [], "other": []})
         x, y = np.stack(q["x"].to_numpy()), np.stack(s["x"].to_numpy())
-        cell = int(g["cell"].iloc[0])
-        qc, sc, qm, sm = (f[k].to_numpy() for k in ("c", "m") for f in (q, s))
-        out: list[tuple[int, int, int]] = []
-        counts: dict[int, int] = {}
-        root: dict[int, int] = {}
-
-        def find(u: int) -> int:
-            while root.setdefault(u, u) != u:
-                root[u] = root[root[u]]
-                u = root[u]
-            return u
-
-        home, visits = q["home"].to_numpy(), [set(v) for v in s["visits"]]
-        linked = x @ y.T >= threshold
-        for i in np.flatnonzero(linked.any(1)):
-            for j in np.flatnonzero(linked[i]):
-                if qc[i] == sc[j]:
-                    continue
-                counts[qc[i]] = counts.get(qc[i], 0) + sm[j]
-                if home[i] not in visits[j]:  # the stored row won't ask for this query's cell: count it here
-                    counts[sc[j]] = counts.get(sc[j], 0) + qm[i]
-                a, b = find(int(qc[i])), find(int(sc[j]))
-                root[max(a, b)] = min(a, b)
-        for u in root:
-            out.append((u, counts.get(u, 0), find(u)))
-        del cell
-        return pd.DataFrame(out, columns=["c", "n", "other"])
+        qm, sm = q["m"].to_numpy(), s["m"].to_numpy()
+        names, node = np.unique(np.concatenate((q["c"], s["c"])), return_inverse=True)
+        qi, si = node[: len(q)], node[len(q) :]
+        i, j = np.nonzero((x @ y.T >= threshold) & (qi[:, None] != si[None, :]))
+        n = np.zeros(len(names), np.int64)
+        np.add.at(n, qi[i], sm[j])
+        # a stored row that won't ask for the query's cell is counted here too
+        homes, h = np.unique(q["home"].to_numpy(), return_inverse=True)
+        visits, owner = np.concatenate(s["visits"].to_numpy()), np.repeat(np.arange(len(s)), s["visits"].map(len))
+        at = np.minimum(np.searchsorted(homes, visits), len(homes) - 1)
+        asks = np.zeros((len(homes), len(s)), bool)
+        own = homes[at] == visits
+        asks[at[own], owner[own]] = True
+        back = ~asks[h[i], j]
+        np.add.at(n, si[j[back]], qm[i[back]])
+        root = np.arange(len(names))
+        asking, first = np.unique(i, return_index=True)
+        for k, first, end in zip(asking, first, np.append(first[1:], len(i)), strict=True):
+            joined = np.unique(root[np.append(si[j[first:end]], qi[k])])
+            if len(joined) > 1:
+                root[np.isin(root, joined)] = joined[0]
+        hit = np.unique(np.concatenate((qi[i], si[j])))
+        return pd.DataFrame({"c": names[hit], "n": n[hit], "other": names[root[hit]]})
 
     hits = cut(met.groupBy("label", "cell", "q", "s").applyInPandas(compare, "c long, n long, other long"), "hits")
     links = hits.groupBy("c").agg(F.sum("n").alias("n"))
