@@ -9,7 +9,7 @@ shuffle), and findings.  Findings and ledger are tables, so a later run over a g
 the new blobs alone.
 
 Defined results: null text is the empty text; ties and repeated rows share a blob and get the same
-findings, one row each; an empty table gives no rows; further columns are not looked at.
+findings, one row each; ledger rows that stand twice count once; an empty table gives no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .common import cut
 
 #: Fixed values of the base rules, in the order in which kinds are listed.  Words of the first in any case.
@@ -58,7 +59,7 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tk.blocks(batches):
         rows = []
         for blob, text in zip(batch.column("blob").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found = spans_of(text)
@@ -83,7 +84,7 @@ def update(versions: DataFrame, ledger: DataFrame | None = None, text: str = "te
     """
     v = address(versions.select(F.coalesce(F.col(text), F.lit("")).alias("text")))
     if ledger is not None:
-        done = ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob")
+        done = ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob").distinct()
         v = v.join(done, "blob", "left_anti")
     return v.groupBy("blob").agg(F.min("text").alias("text")).mapInArrow(_scan, FINDINGS)
 
@@ -92,10 +93,23 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, text: str = "text
     """(findings of every row of ``versions`` by key, the new ledger)."""
     fresh = cut(update(versions, ledger, text), "ledger")
     known = fresh if ledger is None else ledger.unionByName(fresh)
-    now = known.filter(F.col("rule_version") == RULE_VERSION).drop("rule_version")
+    # a part of the ledger may have been appended twice
+    now = known.filter(F.col("rule_version") == RULE_VERSION).drop("rule_version").dropDuplicates(["blob"])
     paths = address(versions.select(F.col(key), F.col(text).alias("text"))).drop("text")
     return paths.join(now, "blob").drop("blob"), known
 
 
+def scan_into(versions: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Findings of every row of ``versions``, with the ledger kept as Parquet under ``path``: what it has is not
+    scanned again, and what is new is appended.  ``path`` is in a folder that all executors share."""
+    spark = versions.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    ledger = spark.read.schema(FINDINGS).parquet(path) if there else None
+    fresh = cut(update(versions, ledger, text), "ledger")
+    fresh.write.mode("append").parquet(path)
+    return scan(versions, spark.read.schema(FINDINGS).parquet(path), text, key)[0]
+
+
 def digest(base: str) -> str:
     return hashlib.sha256(base.encode()).hexdigest()
