@@ -5,10 +5,10 @@ becomes smallest: into an open sequence or a new one, ties to the smallest rest.
 counts of residual gaps small leaves few sequences that nothing fits.
 
 Texts are encoded in the tasks that read them; from then on only pieces (ids, no text) move.
-Pieces are packed in shards of at most about `SHARD` pieces, longest first; each shard's open
-sequences are then packed as units in groups of `FAN` shards, and so on until one group is left.
-A shard's open sequences are at most a few for each gap, so groups stay bounded, and no task sees
-more than a shard or a group.
+Pieces are packed in shards of about `SHARD` pieces, longest first; the sequences left open are then
+packed as units, in groups that join up to `FAN` shards but hold about `SHARD` units, and so on until
+one group is left or a level joins less than one in `LEAST` of its units (where most pieces are over half
+a sequence, open ones don't fit together).  So no task sees more than about a shard, each its own partition.
 
 Defined results: null text is empty and becomes one piece, the end token; pieces of a text longer
 than a sequence are full but for the last; equal texts are packed one by one; an empty table
@@ -31,7 +31,7 @@ from . import units
 from .common import cut
 
 LENGTH, END = 2048, 0
-SHARD, FAN = 40_000, 64
+SHARD, FAN, LEAST = 40_000, 64, 100
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, end: int = END) -> DataFrame:
@@ -91,8 +91,9 @@ def place(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarr
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _pack(given: DataFrame, length: int) -> DataFrame:
-    """(item, bin, off, fill) from (group, item, size): each group packed by itself."""
+def _pack(given: DataFrame, length: int, groups: int) -> DataFrame:
+    """(item, bin, off, fill) from (item, size): each of the groups packed by itself."""
+    given = given.withColumn("group", F.pmod(F.xxhash64("item", F.lit(groups)), F.lit(groups))).repartition(groups, "group")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["size", "item"], ascending=[False, True], ignore_index=True)
@@ -104,22 +105,31 @@ def _pack(given: DataFrame, length: int) -> DataFrame:
     return given.groupBy("group").applyInPandas(run, "item long, bin long, off long, fill long")
 
 
+def _units(at: DataFrame, length: int) -> int:
+    """Sequences that are still open."""
+    return at.filter(F.col("fill") < length).select("bin").distinct().count()
+
+
 def pack(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, end: int = END) -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset): one row a piece."""
     made = pieces(docs, tokenizer_file, text, key, length, end)
     made = cut(made.withColumn("item", F.monotonically_increasing_id()), "pieces")
     part = made.filter(F.col("length") < length).select("item", F.col("length").alias("size"))
-    shards = max(1, -(-part.count() // SHARD))
-    at = cut(_pack(part.withColumn("group", F.pmod(F.xxhash64("item"), F.lit(shards))), length), "packed")
-    while shards > 1:
-        shards = -(-shards // FAN)
+    groups = max(1, -(-part.count() // SHARD))
+    at = cut(_pack(part, length, groups), "packed")
+    units = _units(at, length) if groups > 1 else 0
+    while groups > 1:
+        before, groups = units, max(-(-groups // FAN), -(-units // SHARD))
         open_ = at.filter(F.col("fill") < length).groupBy("bin").agg(F.first("fill").alias("size"))
-        again = _pack(open_.select(F.col("bin").alias("item"), "size", F.pmod(F.xxhash64("bin", F.lit(shards)), F.lit(shards)).alias("group")), length)
+        again = _pack(open_.select(F.col("bin").alias("item"), "size"), length, max(groups, 1))
         again = again.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("off").alias("shift"), F.col("fill").alias("filled"))
         at = at.join(again, "bin", "left").select(
             "item", F.coalesce("to", "bin").alias("bin"), (F.col("off") + F.coalesce("shift", F.lit(0))).alias("off"), F.coalesce("filled", "fill").alias("fill")
         )
         at = cut(at, "packed")
+        units = _units(at, length)
+        if (before - units) * LEAST < before:
+            break
     full = made.filter(F.col("length") == length).select("*", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = made.join(at.select("item", F.col("bin").alias("sequence_id"), F.col("off").alias("offset")), "item").select(*full.columns)
     return full.unionByName(rest).drop("item").withColumnRenamed("doc", key)
