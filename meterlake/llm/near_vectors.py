@@ -172,8 +172,8 @@ def _linked(fit: DataFrame, threshold: float) -> DataFrame:
         np.add.at(n, si[j[back]], qm[i[back]])
         root = np.arange(len(names))
         asking, first = np.unique(i, return_index=True)
-        for k, first, end in zip(asking, first, np.append(first[1:], len(i)), strict=True):
-            joined = np.unique(root[np.append(si[j[first:end]], qi[k])])
+        for k, begin, end in zip(asking, first, np.append(first, len(i))[1:], strict=True):
+            joined = np.unique(root[np.append(si[j[begin:end]], qi[k])])
             if len(joined) > 1:
                 root[np.isin(root, joined)] = joined[0]
         hit = np.unique(np.concatenate((qi[i], si[j])))
