@@ -10,10 +10,11 @@ Anchors that stand in two different texts are extended: windows of `WINDOW` word
 anchor are hashed (128 bits), and a window whose words also start in a text of a smaller id is
 removed.  Whole-text copies are one class; only the smallest of a class is anchored.
 
-What decides are the least and greatest document of an anchor, and the least of a window: aggregates with
-partial sums, so that a passage in a third of all texts is one row a task, joined back by a join that
-adaptive execution can split.  Texts without a smaller copy are written once; extension and the final
-cutting read one exchange of them.  What moves besides are anchors and windows, as numbers.
+What decides are how often an anchor stands, and the least document of a window: aggregates with partial
+sums, so that a passage in a third of all texts is one row a task, joined back by a join that adaptive
+execution can split.  (An anchor that one text alone repeats is extended in vain; windows decide.)  Texts are
+shuffled once, by document; anchor generation, extension and the final cutting read that same exchange.
+What moves besides are anchors and windows, as numbers.
 
 Defined results: null text has no words; texts below `WINDOW` words lose nothing; repeats within one
 text alone lose nothing; the smallest document keeps its copy; rows repeated under one id are alike
@@ -135,19 +136,17 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     smallest = seq.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
     copies = seq.join(smallest, ["s1", "s2", "n"]).filter(f"doc <> rep and n >= {WINDOW}").select("doc")
     # copies of a whole text of a window or more: every word goes, and the smallest stands for them all
-    own = cut(given.join(copies, "doc", "left_anti"), "own")
-
-    shared = anchors(own).groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h")
-    shared = cut(shared, "anchors")
-    found = anchors(own).join(shared, "h").select("doc", "at")
-    places = cut(found.groupBy("doc").agg(F.collect_list("at").alias("places")), "places")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = own.repartition(parts, "doc")
-    held = windows(texts.join(places, "doc"))
+    own = given.repartition(parts, "doc").join(copies, "doc", "left_anti")
+
+    every = anchors(own)
+    shared = every.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h")
+    places = every.join(shared, "h").groupBy("doc").agg(F.collect_list("at").alias("places"))
+    held = windows(own.join(places, "doc"))
     first = held.groupBy("h1", "h2").agg(F.min("doc").alias("lo"))
     gone = held.join(first, ["h1", "h2"]).filter("lo < doc")
     gone = gone.groupBy("doc").agg(F.collect_list("at").alias("places"))
-    kept = trimmed(texts.join(gone, "doc", "left").select("doc", "text", "places"))
+    kept = trimmed(own.join(gone, "doc", "left").select("doc", "text", "places"))
     whole = seq.join(copies, "doc", "left_semi").select("doc", F.col("n").alias("n_words"), F.col("n").alias("n_removed"), F.lit("").alias("kept"))
     apart = trimmed(unnamed.select("doc", "text", F.lit(None).cast("array<int>").alias("places")))
     return kept.unionByName(whole).unionByName(apart).withColumnRenamed("doc", key)
