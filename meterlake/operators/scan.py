@@ -13,7 +13,7 @@ SECRETS = [
     ("sendgrid", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"), ("anthropic", r"(?<![A-Za-z0-9_])sk-ant-[A-Za-z0-9_-]{36,}"), ("openai", r"(?<![A-Za-z0-9_])sk-[A-Za-z0-9]{48}(?![A-Za-z0-9_])"),
 ]
 #: Invisible characters.
-INVISIBLE = r"\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}\x{E0000}-\x{E007F}"
+INVISIBLE = r"\x{200B}-\x{200D}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}\x{FEFF}\x{E0000}-\x{E007F}"
 
 #: What the default ruleset denies.
 DENY_PATHS = ["~/.ssh", "~/.aws", "~/.gnupg", "~/.kube", "~/.config/gcloud", "/etc/passwd", "/etc/shadow"]
@@ -26,8 +26,8 @@ def luhn(digits: Column) -> Column:
 
 
 def card_numbers(text: Column) -> Column:
-    """Runs of 13 to 19 digits that start with 3 to 6 and pass the checksum."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), F.lit(0)), lambda x: F.regexp_replace(x, "[ -]", ""))
+    """Leftmost runs of 13 to 19 digits, as many as there are, that start with 3 to 6 and pass the checksum."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"[0-9](?:[ -]?[0-9]){12,18}"), F.lit(0)), lambda x: F.regexp_replace(x, "[ -]", ""))
     return F.filter(found, lambda d: d.rlike("^[3-6]") & luhn(d))
 
 
@@ -81,10 +81,29 @@ def network_mount(text: Column) -> Column:
     return (F.contains(text, F.lit("://")) & text.rlike(r"(?i)(smb|nfs|cifs|afp)://")) | (F.contains(text, F.lit(r"\\")) & text.rlike(unc))
 
 
+#: Tools that resolve names, tools that send, places of secrets.
+RESOLVERS = ["dig", "nslookup", "drill", "host"]
+SENDERS = ["curl", "wget", "nc", "ncat", "netcat", "scp", "sftp", "ftp", "telnet"]
+SENSITIVE = [
+    "~/.ssh", "/.ssh/", "id_rsa", "id_ed25519", "~/.aws", "/.aws/", "credentials", ".env", "secrets", "private_key",
+    "private key", "~/.config/gcloud", "kube/config", ".kube/config",
+]
+
+
+def _word(text: Column, words: list[str]) -> Column:
+    return text.rlike(rf"(?<![a-z0-9_])({'|'.join(words)})(?![a-z0-9_])")
+
+
 def exfiltration(text: Column) -> Column:
-    resolver = text.rlike(r"(^|[^A-Za-z0-9_])(nslookup|dig|host)\s")
-    tool = text.rlike(r"(^|[^A-Za-z0-9_])(curl|wget|nc|ncat)\s")
-    return (resolver & text.rlike(r"\$\(|`|[A-Za-z0-9+/]{40,}\.")) | (tool & text.rlike(r"\$\(|`|(?i)\.ssh/|\.aws/|\.env\b|/etc/passwd"))
+    """A resolver with a command's output or an encoded label; a sender with a secret's place or a command's output."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    shell = F.contains(text, F.lit("$(")) | F.contains(text, F.lit("`"))
+    label = F.exists(F.split(low, r"""[./ "'@]"""), lambda x: x.rlike(r"^[a-z0-9+=-]{24,}$") & (F.contains(x, F.lit("=")) | (F.regexp_count(x, F.lit("[0-9]")) >= 4)))
+    sends = _word(low, SENDERS) | F.contains(low, F.lit("--data")) | F.contains(low, F.lit("--post-file"))
+    place = F.lit(False)
+    for p in SENSITIVE:
+        place = place | F.contains(low, F.lit(p))
+    return (_word(low, RESOLVERS) & (shell | label)) | (sends & (place | shell))
 
 
 def hosts(text: Column) -> Column:
@@ -99,15 +118,15 @@ def beacon(text: Column) -> Column:
     return F.size(dense) > 0
 
 
-#: Checks of one text, in the order in which the first violation is named.
-def first_violation(text: Column, paths: list[str] = (), commands: list[str] = (), canaries: list[str] = ()) -> Column:
+def first_violation(text: Column, paths: list[str] = (), commands: list[str] = (), canaries: list[str] = (), exfil: bool = True) -> Column:
+    """``exfil``: look for exfiltration too; the default ruleset does not."""
     canary = F.lit(False)
     for c in canaries:
         if len(c) >= 8:
             canary = canary | F.contains(text, F.lit(c))
     return (
         F.when(canary, "canary").when(hidden_characters(text) >= 8, "hidden_text").when(path_denied(text, paths), "path_blocked").when(command_denied(text, commands), "command_blocked")
-        .when(destructive(text), "destructive").when(network_mount(text), "mount_blocked").when(secret_kind(text).isNotNull(), "secret").when(exfiltration(text), "exfiltration")
+        .when(destructive(text), "destructive").when(network_mount(text), "mount_blocked").when(secret_kind(text).isNotNull(), "secret").when(F.lit(exfil) & exfiltration(text), "exfiltration")
         .when(F.size(card_numbers(text)) > 0, "card_number").when(has_ssn(text), "ssn")
     )
 

@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlake.operators.reports import usd
-
 COLS = ["input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens"]
 MIN_EVENTS = 20
 
@@ -63,7 +61,7 @@ def family(model: Column) -> Column:
 
 def by_family(events: DataFrame) -> DataFrame:
     f = events.groupBy(family(F.col("model")).alias("family"), F.contains("model", F.lit("-fast")).alias("fast"))
-    return f.agg(usd(F.sum("charged_cents")).alias("cents"), F.count("*").alias("n"))
+    return f.agg(F.round(F.coalesce(F.sum("charged_cents"), F.lit(0.0)), 6).alias("cents"), F.count("*").alias("n"))
 
 
 def free_use(events: DataFrame) -> DataFrame:

@@ -31,24 +31,31 @@ def in_window(facts: DataFrame, amount: Column, span_s: int, *by: str) -> DataFr
 
 
 def rolling_hour(facts: DataFrame) -> DataFrame:
-    d = in_window(priced(facts), F.col("cost_usd"), 3600)
+    d = in_window(priced(facts), F.col("nano"), 3600)
     return d.select("id", usd(F.col("windowed")).alias("hour_usd"))
 
 
 def burn_rate(facts: DataFrame, minutes: int = 15) -> DataFrame:
     m = min(max(minutes, 1), 60)
-    d = in_window(priced(facts), F.col("cost_usd"), m * 60)
-    return d.select("id", usd(F.col("windowed") * (60 / m)).alias("per_hour"))
-
-
-def running_day(facts: DataFrame) -> DataFrame:
-    """Running spend of the day in hundred-millionths of a dollar: within hours, then plus the hours before."""
-    d = priced(facts).withColumn("micro", F.round(F.col("cost_usd") * 1e8).cast("long")).withColumn("hour", F.hour("ts"))
-    inside = F.sum("micro").over(Window.partitionBy("day", "hour").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
-    hours = d.groupBy("day", "hour").agg(F.sum("micro").alias("h"))
-    before = F.sum("h").over(Window.partitionBy("day").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
-    hours = hours.select("day", "hour", F.coalesce(before, F.lit(0)).alias("before"))  # 24 rows a day
-    return d.withColumn("inside", inside).join(hours, ["day", "hour"]).select("id", (F.col("inside") + F.col("before")).alias("spent"))
+    d = in_window(priced(facts), F.col("nano"), m * 60)
+    return d.select("id", usd(F.col("windowed") * 60 / m).alias("per_hour"))
+
+
+def running(facts: DataFrame, period: str = "day") -> DataFrame:
+    """Running spend of the day, month or session, in billionths of a dollar.  Within small steps (hours of a day,
+    days of a month) rows are summed in order; the steps before are added from a sum a step."""
+    d = priced(facts)
+    if period == "session":
+        own = d.filter("session_id is not null and session_id <> ''")
+        spent = F.sum("nano").over(Window.partitionBy("session_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
+        return own.select("id", "session_id", spent.alias("spent"))
+    span, step = {"day": (F.col("day"), F.hour("ts")), "month": (F.trunc("day", "month"), F.col("day"))}[period]
+    d = d.withColumn("span", span).withColumn("step", step)
+    inside = F.sum("nano").over(Window.partitionBy("span", "step").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0))
+    steps = d.groupBy("span", "step").agg(F.sum("nano").alias("h"))
+    before = F.sum("h").over(Window.partitionBy("span").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.select("span", "step", F.coalesce(before, F.lit(0)).alias("before"))  # at most 31 rows a span
+    return d.withColumn("inside", inside).join(steps, ["span", "step"]).select("id", (F.col("inside") + F.col("before")).alias("spent"))
 
 
 def budget_status(spent: Column, limit: Column, warn_percent: float = 80) -> Column:
@@ -56,8 +63,8 @@ def budget_status(spent: Column, limit: Column, warn_percent: float = 80) -> Col
 
 
 def daily_budget(facts: DataFrame, limit: float, warn_percent: float = 80) -> DataFrame:
-    d = priced(facts).groupBy("day").agg(F.sum("cost_usd").alias("s"))
-    return d.select("day", usd(F.col("s")).alias("spent"), budget_status(F.round("s", 6), F.lit(limit), warn_percent).alias("status"))
+    d = priced(facts).groupBy("day").agg(usd(F.sum("nano")).alias("spent"))
+    return d.select("day", "spent", budget_status(F.col("spent"), F.lit(limit), warn_percent).alias("status"))
 
 
 def repeats(facts: DataFrame, *by: str, span_s: int = 300, threshold: int = 5) -> DataFrame:
@@ -67,8 +74,8 @@ def repeats(facts: DataFrame, *by: str, span_s: int = 300, threshold: int = 5) -
 
 
 def spirals(facts: DataFrame, cap: float, span_s: int = 300) -> DataFrame:
-    d = in_window(priced(facts), F.col("cost_usd"), span_s)
-    return d.filter(F.round("windowed", 6) > cap).select("id", usd(F.col("windowed")).alias("spent"))
+    d = in_window(priced(facts), F.col("nano"), span_s)
+    return d.filter(usd(F.col("windowed")) > cap).select("id", usd(F.col("windowed")).alias("spent"))
 
 
 def changes(facts: DataFrame, key: str, value: str) -> DataFrame:

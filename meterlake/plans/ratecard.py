@@ -1,8 +1,8 @@
 """Rate card: dollars per million tokens by model prefix, and its resolution for a fact table.
 
 A model takes the first entry, overrides first, whose key it equals or goes on from with ``-`` or
-``[``.  Keys are matched once per distinct model; the facts then get their rates by an equi-join on
-the model, whose side is as small as the card is long times the variants in use.
+``[``.  The card is a constant of a few dozen entries, so it is compiled into one CASE expression: facts are
+read once and not shuffled.  Costs are summed as whole billionths of a dollar, in any order the same.
 """
 
 from __future__ import annotations
@@ -46,10 +46,16 @@ def fits(model: Column, key: Column) -> Column:
 
 def resolve(facts: DataFrame, overrides: list[tuple] = (), model: str = "model") -> DataFrame:
     """``facts`` with the four rates of each row's model; null where no entry fits."""
-    c = card(facts.sparkSession, overrides)  # a few dozen rows, whatever the facts' size
-    models = facts.select(model).distinct()
-    hit = models.join(F.broadcast(c), fits(F.col(model), F.col("key"))).groupBy(model).agg(F.min_by(F.struct(*RATES), "ord").alias("r"))
-    return facts.join(hit, model, "left").select(facts["*"], *[F.col(f"r.{x}").alias(x) for x in RATES])
+    given = sorted(((k, *(float(r or 0) for r in [*rates, *[0] * 4][:4])) for k, *rates in overrides), key=lambda r: -len(r[0]))
+    hit = F.lit(None).cast("struct<" + ",".join(f"{x}:double" for x in RATES) + ">")
+    for key, *rates in reversed([*given, *CARD]):
+        hit = F.when(fits(F.col(model), F.lit(key)), F.struct(*[F.lit(r).alias(x) for r, x in zip(rates, RATES, strict=True)])).otherwise(hit)
+    return facts.withColumn("_r", hit).select(facts["*"], *[F.col(f"_r.{x}").alias(x) for x in RATES])
+
+
+def nano(dollars: Column) -> Column:
+    """Dollars as whole billionths; nothing for null."""
+    return F.round(F.coalesce(dollars, F.lit(0.0)) * 1e9).cast("long")
 
 
 def cost() -> Column:
@@ -65,8 +71,8 @@ def prompt_tokens() -> Column:
 
 
 def priced(facts: DataFrame, overrides: list[tuple] = ()) -> DataFrame:
-    """``facts`` with rates and ``cost_usd``; an unknown model costs nothing."""
-    return resolve(facts, overrides).withColumn("cost_usd", F.coalesce(cost(), F.lit(0.0)))
+    """``facts`` with rates, ``cost_usd`` and ``nano``; an unknown model costs nothing."""
+    return resolve(facts, overrides).withColumn("cost_usd", F.coalesce(cost(), F.lit(0.0))).withColumn("nano", nano(F.col("cost_usd")))
 
 
 def hit_rate(read: Column, prompt: Column) -> Column:

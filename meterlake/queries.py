@@ -21,13 +21,23 @@ _COST = "(input_tokens * ri + cache_creation_tokens * rw + cache_read_tokens * r
 _NAIVE = "((input_tokens + cache_creation_tokens + cache_read_tokens) * ri + output_tokens * ro) / 1e6"
 _PROMPT = "(input_tokens + cache_creation_tokens + cache_read_tokens)"
 _TOKENS = "CAST(sum(input_tokens) AS BIGINT) input_tokens, CAST(sum(cache_creation_tokens) AS BIGINT) cache_creation_tokens, CAST(sum(cache_read_tokens) AS BIGINT) cache_read_tokens, CAST(sum(output_tokens) AS BIGINT) output_tokens"
-_USD = "round(coalesce(sum(cost_usd), 0), 6) cost_usd"
+
+
+def _usd(nano: str) -> str:
+    return f"(floor(({nano} + 500) / 1000.0) / 1e6)"
+
+
+def _nano(dollars: str) -> str:
+    return f"CAST(round(coalesce({dollars}, 0) * 1e9) AS BIGINT)"
+
+
+_USD = f"{_usd('coalesce(sum(nano), 0)')} cost_usd"
 
 
 def _priced(name: str, of: str) -> str:
     return (
         f"{name}x AS (SELECT m.model, min(ord) ord FROM (SELECT DISTINCT model FROM {of}) m JOIN card ON m.model = key OR starts_with(m.model, key || '-') OR starts_with(m.model, key || '[') GROUP BY 1), "
-        f"{name} AS (SELECT {of}.*, ri, rw, rr, ro, coalesce({_COST}, 0) cost_usd FROM {of} LEFT JOIN {name}x USING (model) LEFT JOIN card USING (ord))"
+        f"{name} AS (SELECT {of}.*, ri, rw, rr, ro, coalesce({_COST}, 0) cost_usd, {_nano(_COST)} nano FROM {of} LEFT JOIN {name}x USING (model) LEFT JOIN card USING (ord))"
     )
 
 
@@ -62,31 +72,31 @@ query("daily_totals", _with(R, f"SELECT day, {_USD}, count(*) n, count(*) FILTER
 query("session_costs", _with(R, f"SELECT session_id, {_USD}, count(*) n FROM p WHERE session_id IS NOT NULL AND day = {DAY} GROUP BY 1"))(lambda s, d: reports.session_costs(on_day(requests(s, d))))
 query("provider_last_seen", f"SELECT provider, max(ts) last_seen FROM ({R}) GROUP BY 1")(lambda s, d: reports.last_seen(requests(s, d)))
 query("daily_counts", f"SELECT day, count(*) requests, count(*) FILTER (blocked) blocked FROM ({R}) GROUP BY 1")(lambda s, d: reports.counts(requests(s, d)))
-query("tag_rollup", _with(R, f", t AS (SELECT * FROM p WHERE starts_with(tags, chr(123))) SELECT tag, value, {_USD}, count(*) n FROM (SELECT 'team' tag, json_extract_string(tags, '$.team') AS value, cost_usd FROM t UNION ALL SELECT 'k', json_extract_string(tags, '$.k'), cost_usd FROM t) GROUP BY 1, 2"))(lambda s, d: reports.tag_rollup(requests(s, d)))
+query("tag_rollup", _with(R, f", t AS (SELECT * FROM p WHERE starts_with(tags, chr(123))) SELECT tag, value, {_USD}, count(*) n FROM (SELECT 'team' tag, json_extract_string(tags, '$.team') AS value, nano FROM t UNION ALL SELECT 'k', json_extract_string(tags, '$.k'), nano FROM t) GROUP BY 1, 2"))(lambda s, d: reports.tag_rollup(requests(s, d)))
 query("latency_metrics", f"SELECT provider, model, count(*) n, count(*) FILTER (http_status = 0 OR http_status >= 400) errors, quantile_disc(latency_ms, 0.5) p50, quantile_disc(latency_ms, 0.95) p95, round((count(*) FILTER (http_status = 0 OR http_status >= 400)) / count(*), 9) error_rate, round(count(*) / 7, 9) per_day FROM ({R}) WHERE latency_ms IS NOT NULL AND day >= {DAY} - 6 GROUP BY 1, 2")(lambda s, d: reports.latency_metrics(reports.since(requests(s, d), AS_OF, 7), 7))
-query("tool_model_costs", f"WITH {_CARD}, f AS (SELECT tool, model, count(*) n, {_TOKENS} FROM ({E}) WHERE day = {DAY} GROUP BY 1, 2), {_priced('p', 'f')} SELECT tool, model, n, input_tokens, cache_creation_tokens, cache_read_tokens, output_tokens, round(cost_usd, 6) cost_usd FROM p")(lambda s, d: reports.tool_model(on_day(entries(s, d))))
+query("tool_model_costs", f"WITH {_CARD}, f AS (SELECT tool, model, count(*) n, {_TOKENS} FROM ({E}) WHERE day = {DAY} GROUP BY 1, 2), {_priced('p', 'f')} SELECT tool, model, n, input_tokens, cache_creation_tokens, cache_read_tokens, output_tokens, {_usd('nano')} cost_usd FROM p")(lambda s, d: reports.tool_model(on_day(entries(s, d))))
 query("workspace_rollup", _with(E, f"SELECT workspace, {_USD}, count(*) n FROM p GROUP BY 1"))(lambda s, d: reports.rollup(entries(s, d), "workspace"))
 _ROOTS = ["/w", "/w/app", "/x/y"]
 _UNDER = "(lower(workspace) = root OR starts_with(lower(workspace), root || '/'))"
 query("repository_costs", _with(E, f", w AS (SELECT workspace, arg_max(root, length(root)) repo FROM (SELECT DISTINCT workspace FROM f), (VALUES ('/w'), ('/w/app'), ('/x/y')) r(root) WHERE {_UNDER} GROUP BY 1) SELECT day, coalesce(repo, workspace, '(none)') repo, coalesce(session_id, '(unknown)') AS session, model, {_USD}, count(*) turns FROM p LEFT JOIN w USING (workspace) GROUP BY 1, 2, 3, 4"))(lambda s, d: reports.by_repository(entries(s, d), _ROOTS))
-query("wire_log_drift", f"WITH {_CARD}, f AS (SELECT * FROM ({R}) WHERE NOT blocked AND model <> 'gpt-5.5'), g AS (SELECT * FROM ({E}) WHERE model <> 'gemini-2.5-pro'), {_priced('p', 'f')}, {_priced('q', 'g')}, a AS (SELECT model, sum(cost_usd) wire, count(*) wn FROM p GROUP BY 1), b AS (SELECT model, sum(cost_usd) logs, count(*) ln FROM q GROUP BY 1), j AS (SELECT coalesce(a.model, b.model) model, coalesce(wire, 0) wire, coalesce(logs, 0) logs, coalesce(wn, 0) wire_n, coalesce(ln, 0) logs_n FROM a FULL JOIN b ON a.model = b.model) SELECT model, round(wire, 6) wire, round(logs, 6) logs, wire_n, logs_n, round(logs - wire, 6) gap, round(CASE WHEN wire <> 0 THEN (logs - wire) / wire * 100 END, 6) gap_pct FROM j")(lambda s, d: reports.drift(requests(s, d), entries(s, d)))
-_SUMMED = f"WITH {_CARD}, f AS (SELECT provider, model, {_TOKENS} FROM ({R}) WHERE NOT blocked GROUP BY 1, 2), {_priced('p', 'f')}, m AS (SELECT *, {_COST} c, {_NAIVE} w FROM p) "
-query("cache_savings", _SUMMED + "SELECT round(coalesce(sum(c), 0), 6) AS real, round(coalesce(sum(w), 0), 6) without_cache, round(greatest(coalesce(sum(w), 0) - coalesce(sum(c), 0), 0), 6) captured FROM m")(lambda s, d: reports.savings(requests(s, d)))
-query("cache_opportunities", _SUMMED + f"SELECT provider, model, round(c, 6) cost_usd, round(cache_read_tokens / {_PROMPT} * 100, 6) share FROM m WHERE c >= 0.5 AND cache_read_tokens / {_PROMPT} * 100 < 30")(lambda s, d: reports.opportunities(requests(s, d)))
-query("naive_overstatement", _SUMMED + "SELECT provider, model, round(coalesce(c, 0), 6) AS real, round(coalesce(w, 0), 6) naive, round(coalesce(greatest(w - c, 0), 0), 6) overstated FROM m")(lambda s, d: reports.accuracy(requests(s, d)))
+query("wire_log_drift", f"WITH {_CARD}, f AS (SELECT * FROM ({R}) WHERE NOT blocked), g AS (SELECT * FROM ({E})), {_priced('p', 'f')}, {_priced('q', 'g')}, a AS (SELECT model, sum(nano) wire, count(*) wn FROM p GROUP BY 1), b AS (SELECT model, sum(nano) logs, count(*) ln FROM q GROUP BY 1), j AS (SELECT coalesce(a.model, b.model) model, coalesce(wire, 0) wire, coalesce(logs, 0) logs, coalesce(wn, 0) wire_n, coalesce(ln, 0) logs_n FROM a FULL JOIN b ON a.model = b.model) SELECT model, {_usd('wire')} wire, {_usd('logs')} logs, wire_n, logs_n, {_usd('(logs - wire)')} gap, round(CASE WHEN wire <> 0 THEN (logs - wire) / wire * 100 END, 6) gap_pct FROM j")(lambda s, d: reports.drift(requests(s, d), entries(s, d)))
+_SUMMED = f"WITH {_CARD}, f AS (SELECT provider, model, {_TOKENS} FROM ({R}) WHERE NOT blocked GROUP BY 1, 2), {_priced('p', 'f')}, m AS (SELECT *, {_nano(_COST)} c, {_nano(_NAIVE)} w FROM p) "
+query("cache_savings", _SUMMED + f"SELECT {_usd('sum(c)')} AS real, {_usd('sum(w)')} without_cache, {_usd('greatest(sum(w) - sum(c), 0)')} captured FROM m")(lambda s, d: reports.savings(requests(s, d)))
+query("cache_opportunities", _SUMMED + f"SELECT provider, model, {_usd('c')} cost_usd, round(cache_read_tokens / {_PROMPT} * 100, 6) share FROM m WHERE c >= 500000000 AND cache_read_tokens / {_PROMPT} * 100 < 30")(lambda s, d: reports.opportunities(requests(s, d)))
+query("naive_overstatement", _SUMMED + f"SELECT provider, model, {_usd('c')} AS real, {_usd('w')} naive, {_usd('greatest(w - c, 0)')} overstated FROM m")(lambda s, d: reports.accuracy(requests(s, d)))
 query("digest", _with(R, f"SELECT {_USD}, count(*) FILTER (NOT blocked) turns, count(*) FILTER (blocked) blocked, string_agg(DISTINCT model, ',' ORDER BY model) models FROM p"))(lambda s, d: reports.digest(requests(s, d)))
-query("dense_days", _with(R, f", d AS (SELECT CAST({DAY} - CAST(i AS INTEGER) AS DATE) AS day FROM range(14) t(i)), c AS (SELECT d.day, coalesce(sum(cost_usd), 0) c FROM d LEFT JOIN p USING (day) GROUP BY 1) SELECT day, round(c, 6) cost_usd, round(sum(c) OVER (ORDER BY day), 6) running FROM c"))(lambda s, d: reports.dense_days(requests(s, d), AS_OF, 14))
-query("month_burndown", _with(R, f"SELECT round(coalesce(sum(cost_usd), 0), 6) spent, round(coalesce(sum(cost_usd), 0) / 30 * 31, 6) projected FROM p WHERE day <= {DAY} AND day >= DATE '2024-01-01'"))(lambda s, d: reports.burndown(requests(s, d), AS_OF))
+query("dense_days", _with(R, f", d AS (SELECT CAST({DAY} - CAST(i AS INTEGER) AS DATE) AS day FROM range(14) t(i)), c AS (SELECT d.day, coalesce(sum(nano), 0) c FROM d LEFT JOIN p USING (day) GROUP BY 1) SELECT day, {_usd('c')} cost_usd, {_usd('sum(c) OVER (ORDER BY day)')} running FROM c"))(lambda s, d: reports.dense_days(requests(s, d), AS_OF, 14))
+query("month_burndown", _with(R, f"SELECT {_usd('coalesce(sum(nano), 0)')} spent, {_usd('coalesce(sum(nano), 0) / 30 * 31')} projected FROM p WHERE day <= {DAY} AND day >= DATE '2024-01-01'"))(lambda s, d: reports.burndown(requests(s, d), AS_OF))
 query("latest_call", f"SELECT id, ts, provider, model FROM ({R}) WHERE NOT blocked ORDER BY ts DESC, id DESC LIMIT 1")(lambda s, d: reports.latest(requests(s, d)))
 query("model_rates", f"WITH {_CARD}, f AS ({R}), x AS (SELECT m.model, min(ord) ord FROM (SELECT DISTINCT model FROM f) m LEFT JOIN card ON m.model = key OR starts_with(m.model, key || '-') OR starts_with(m.model, key || '[') GROUP BY 1) SELECT model, ri rate_in, rw rate_cw, rr rate_cr, ro rate_out FROM x LEFT JOIN card USING (ord)")(lambda s, d: priced(requests(s, d)).select("model", "rate_in", "rate_cw", "rate_cr", "rate_out").distinct())
 query("model_labels", rf"SELECT DISTINCT model, regexp_replace(regexp_replace(regexp_replace(regexp_replace(model, '\[[^\]]*\]$', ''), '-(20[0-9]{{6}}|20[0-9]{{2}}-[0-9]{{2}}(-[0-9]{{2}})?)$', ''), '^(claude|gpt|gemini)-', ''), '-([0-9]+)-([0-9]+)$', '-\1.\2') AS label FROM ({R})")(lambda s, d: requests(s, d).select("model", reports.short_label(F.col("model")).alias("label")).distinct())
 
-query("rolling_hour_spend", _with(R, "SELECT id, round(sum(cost_usd) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), 6) hour_usd FROM p"))(lambda s, d: windows.rolling_hour(requests(s, d)))
-query("burn_rate", _with(R, "SELECT id, round(sum(cost_usd) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTE PRECEDING AND CURRENT ROW) * 4, 6) per_hour FROM p"))(lambda s, d: windows.burn_rate(requests(s, d)))
-query("running_day_spend", _with(R, "SELECT id, CAST(sum(CAST(round(cost_usd * 1e8) AS BIGINT)) OVER (PARTITION BY day ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) spent FROM p"))(lambda s, d: windows.running_day(requests(s, d)))
-query("daily_budget_status", _with(R, "SELECT day, round(sum(cost_usd), 6) spent, CASE WHEN round(sum(cost_usd), 6) >= 12 THEN 'exceeded' WHEN round(sum(cost_usd), 6) * 100 >= 12 * 80 THEN 'warn' ELSE 'ok' END AS status FROM p GROUP BY 1"))(lambda s, d: windows.daily_budget(requests(s, d), 12.0))
+query("rolling_hour_spend", _with(R, f"SELECT id, {_usd('sum(nano) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)')} hour_usd FROM p"))(lambda s, d: windows.rolling_hour(requests(s, d)))
+query("burn_rate", _with(R, f"SELECT id, {_usd('sum(nano) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTE PRECEDING AND CURRENT ROW) * 60 / 15')} per_hour FROM p"))(lambda s, d: windows.burn_rate(requests(s, d)))
+query("running_day_spend", _with(R, "SELECT id, CAST(sum(nano) OVER (PARTITION BY day ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) spent FROM p"))(lambda s, d: windows.running(requests(s, d)))
+query("daily_budget_status", _with(R, f"SELECT day, spent, CASE WHEN spent >= 12 THEN 'exceeded' WHEN spent * 100 >= 12 * 80 THEN 'warn' ELSE 'ok' END AS status FROM (SELECT day, {_usd('sum(nano)')} spent FROM p GROUP BY 1)"))(lambda s, d: windows.daily_budget(requests(s, d), 12.0))
 query("session_repeats", f"SELECT * FROM (SELECT id, session_id, count(*) OVER (PARTITION BY session_id ORDER BY ts RANGE BETWEEN INTERVAL 7200 SECOND PRECEDING AND CURRENT ROW) n FROM ({R}) WHERE session_id IS NOT NULL) WHERE n >= 3")(lambda s, d: windows.repeats(requests(s, d).filter("session_id is not null"), "session_id", span_s=7200, threshold=3))
-query("cost_spirals", _with(R, "SELECT * FROM (SELECT id, round(sum(cost_usd) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 300 SECOND PRECEDING AND CURRENT ROW), 6) spent FROM p) WHERE spent > 0.25"))(lambda s, d: windows.spirals(requests(s, d), 0.25))
+query("cost_spirals", _with(R, f"SELECT * FROM (SELECT id, {_usd('sum(nano) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 300 SECOND PRECEDING AND CURRENT ROW)')} spent FROM p) WHERE spent > 0.25"))(lambda s, d: windows.spirals(requests(s, d), 0.25))
 query("provider_changes", f"SELECT id, session_id, was, provider FROM (SELECT *, lag(provider) OVER (PARTITION BY session_id ORDER BY ts, id) was FROM ({R}) WHERE session_id IS NOT NULL) WHERE was <> provider")(lambda s, d: windows.changes(requests(s, d).filter("session_id is not null"), "session_id", "provider"))
 query("first_model_use", f"SELECT model, id FROM (SELECT model, id, row_number() OVER (PARTITION BY model ORDER BY ts, id) k FROM ({R})) WHERE k = 1")(lambda s, d: windows.nth(requests(s, d), "model", 1))
 query("drip_alerts", f"SELECT session_id, id FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) k FROM ({R}) WHERE session_id IS NOT NULL) WHERE k = 10")(lambda s, d: windows.nth(requests(s, d).filter("session_id is not null"), "session_id", 10))
@@ -99,16 +109,16 @@ def _cheap(prefix: str, key: str) -> str:
 
 
 _WASTE = f""", w AS (
- SELECT 'cache-hit-starvation' AS rule, 'medium' severity, count(*) n, sum(input_tokens * greatest(ri - rr, 0) / 1e6) waste, sum(cache_read_tokens) / sum({_PROMPT}) < 0.1 AND count(*) >= 20 ok FROM p WHERE {_PROMPT} > 5000
- UNION ALL SELECT 'cache-dead-zone', 'medium', count(*), sum(cache_creation_tokens * greatest(rw - ri, 0) / 1e6), count(*) >= 20 AND sum(cache_creation_tokens) >= 20000 AND sum(cache_read_tokens) / sum(cache_creation_tokens) <= 0.05 FROM p WHERE cache_creation_tokens > 0
- UNION ALL SELECT 'model-overreliance', 'medium', count(*), sum(delta), count(*) >= 10 FROM (SELECT {_COST} - CASE {_cheap("claude-opus", "claude-haiku-4-5")} {_cheap("gpt-5.5", "gpt-5.4-mini")} END delta FROM p WHERE {_PROMPT} <= 2000 AND output_tokens <= 600) WHERE delta > 0
- UNION ALL SELECT 'reasoning-effort-overuse', 'medium', count(*), sum(c), count(*) >= 10 FROM (SELECT reasoning_tokens * ro / 1e6 c FROM p WHERE reasoning_tokens >= 1000 AND {_PROMPT} <= 2000) WHERE c > 0
- UNION ALL SELECT 'context-window-saturation', 'low', count(*), sum(input_tokens * ri / 1e6), count(*) >= 10 FROM p WHERE context_window > 0 AND {_PROMPT} / context_window >= 0.85
- UNION ALL SELECT 'runaway-context-growth', 'low', count(*), sum(w), count(*) > 0 FROM (SELECT session_id, sum(greatest(input_tokens - base, 0) * ri / 1e6) w FROM (SELECT *, avg(CASE WHEN k <= third THEN {_PROMPT} END) OVER s e, avg(CASE WHEN k > turns - third THEN {_PROMPT} END) OVER s l, avg(CASE WHEN k <= third THEN input_tokens END) OVER s base FROM (SELECT *, greatest(turns // 3, 1) third FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) k, count(*) OVER (PARTITION BY session_id) turns FROM p WHERE session_id IS NOT NULL) WHERE turns >= 8) WINDOW s AS (PARTITION BY session_id)) WHERE e > 0 AND l >= 3 * e GROUP BY 1) WHERE w > 0
+ SELECT 'cache-hit-starvation' AS rule, 'medium' severity, count(*) n, sum({_nano('input_tokens * greatest(ri - rr, 0) / 1e6')}) waste, sum(cache_read_tokens) / sum({_PROMPT}) < 0.1 AND count(*) >= 20 ok FROM p WHERE {_PROMPT} > 5000
+ UNION ALL SELECT 'cache-dead-zone', 'medium', count(*), sum({_nano('cache_creation_tokens * greatest(rw - ri, 0) / 1e6')}), count(*) >= 20 AND sum(cache_creation_tokens) >= 20000 AND sum(cache_read_tokens) / sum(cache_creation_tokens) <= 0.05 FROM p WHERE cache_creation_tokens > 0
+ UNION ALL SELECT 'model-overreliance', 'medium', count(*), sum({_nano('delta')}), count(*) >= 10 FROM (SELECT {_COST} - CASE {_cheap("claude-opus", "claude-haiku-4-5")} {_cheap("gpt-5.5", "gpt-5.4-mini")} END delta FROM p WHERE {_PROMPT} <= 2000 AND output_tokens <= 600) WHERE delta > 0
+ UNION ALL SELECT 'reasoning-effort-overuse', 'medium', count(*), sum({_nano('c')}), count(*) >= 10 FROM (SELECT reasoning_tokens * ro / 1e6 c FROM p WHERE reasoning_tokens >= 1000 AND {_PROMPT} <= 2000) WHERE c > 0
+ UNION ALL SELECT 'context-window-saturation', 'low', count(*), sum({_nano('input_tokens * ri / 1e6')}), count(*) >= 10 FROM p WHERE context_window > 0 AND {_PROMPT} / context_window >= 0.85
+ UNION ALL SELECT 'runaway-context-growth', 'low', count(*), sum(w), count(*) > 0 FROM (SELECT session_id, sum({_nano('greatest(input_tokens - base, 0) * ri / 1e6')}) w FROM (SELECT *, avg(CASE WHEN k <= third THEN {_PROMPT} END) OVER s e, avg(CASE WHEN k > turns - third THEN {_PROMPT} END) OVER s l, avg(CASE WHEN k <= third THEN input_tokens END) OVER s base FROM (SELECT *, greatest(turns // 3, 1) third FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) k, count(*) OVER (PARTITION BY session_id) turns FROM p WHERE session_id IS NOT NULL) WHERE turns >= 8) WINDOW s AS (PARTITION BY session_id)) WHERE e > 0 AND l >= 3 * e GROUP BY 1) WHERE w > 0
  UNION ALL SELECT 'mega-sessions', 'low', count(*), 0, count(*) > 0 FROM (SELECT session_id FROM p WHERE session_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 40 AND sum({_PROMPT}) >= 500000)),
- found AS (SELECT rule, severity, n, round(coalesce(waste, 0), 6) waste_usd FROM w WHERE ok AND (waste > 0 OR rule = 'mega-sessions'))"""
-query("waste_findings", _with(E, " SELECT * FROM found", _WASTE))(lambda s, d: waste.findings(entries(s, d)))
-query("waste_headline", _with(E, " SELECT round(least((SELECT coalesce(sum(waste_usd), 0) FROM found), (SELECT sum(cost_usd) FROM p)), 6) waste_usd", _WASTE))(lambda s, d: waste.headline(entries(s, d)))
+ found AS (SELECT rule, severity, n, coalesce(waste, 0) waste FROM w WHERE ok AND (waste > 0 OR rule = 'mega-sessions'))"""
+query("waste_findings", _with(E, f" SELECT rule, severity, n, {_usd('waste')} waste_usd FROM found", _WASTE))(lambda s, d: waste.findings(entries(s, d)))
+query("waste_headline", _with(E, f" SELECT {_usd('least((SELECT coalesce(sum(waste), 0) FROM found), (SELECT sum(nano) FROM p))')} waste_usd", _WASTE))(lambda s, d: waste.headline(entries(s, d)))
 
 _PERIOD = "day >= DATE '2024-01-10' AND day < DATE '2024-01-25'"
 _START, _END = "2024-01-10", "2024-01-25"
@@ -128,12 +138,12 @@ query("team_fitted_rates")(lambda s, d: team.fitted_rates(team_events(s, d)))
 _HASH = "sha256(concat_ws(chr(10), 'requests', CAST(id AS VARCHAR), CASE WHEN blocked THEN 'block' ELSE 'forward' END, provider, model, CAST(input_tokens AS VARCHAR), CAST(output_tokens AS VARCHAR)))"
 query("audit_contents", f"SELECT day, id, {_HASH} content_hash FROM ({R})")(lambda s, d: audit.contents(requests(s, d)))
 query("audit_chain", f"WITH RECURSIVE c AS (SELECT day, id, {_HASH} content_hash, row_number() OVER (PARTITION BY day ORDER BY id) - 1 AS seq FROM ({R})), k AS (SELECT day, seq, id, content_hash, sha256(CAST(day AS VARCHAR)) prev_hash, sha256(sha256(CAST(day AS VARCHAR)) || chr(10) || content_hash) AS hash FROM c WHERE seq = 0 UNION ALL SELECT c.day, c.seq, c.id, c.content_hash, k.hash, sha256(k.hash || chr(10) || c.content_hash) FROM k JOIN c ON c.day = k.day AND c.seq = k.seq + 1) SELECT * FROM k")(lambda s, d: audit.seal(audit.contents(requests(s, d))))
-_TXT = "regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')"
+_TXT = "regexp_extract_all(text, '[0-9](?:[ -]?[0-9]){12,18}')"
 query("card_numbers", f"WITH runs AS (SELECT doc_id, i, regexp_replace(unnest({_TXT}), '[ -]', '', 'g') x FROM documents, (SELECT 0 i)) SELECT doc_id, count(*) n FROM (SELECT doc_id, x, list_sum(list_transform(range(length(x)), lambda k: CASE WHEN k % 2 = 0 THEN CAST(x[length(x) - k] AS INT) ELSE (2 * CAST(x[length(x) - k] AS INT)) - CASE WHEN CAST(x[length(x) - k] AS INT) > 4 THEN 9 ELSE 0 END END)) t FROM runs WHERE length(x) BETWEEN 13 AND 19 AND x[1] IN ('3', '4', '5', '6')) WHERE t % 10 = 0 GROUP BY 1")(
     lambda s, d: table(s, d, "documents").select("doc_id", F.size(scan.card_numbers(F.col("text"))).cast("long").alias("n")).filter("n > 0")
 )
-query("denied_commands", "SELECT conv_id, turn FROM conversations WHERE contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), 'of the') AND role = 'assistant'")(lambda s, d: table(s, d, "conversations").filter((F.col("role") == "assistant") & scan.command_denied(F.col("text"), ["OF  the"])).select("conv_id", "turn"))
+query("denied_commands", "SELECT conv_id, turn FROM conversations WHERE contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), 'of the')")(lambda s, d: table(s, d, "conversations").filter(scan.command_denied(F.col("text"), ["OF  the"])).select("conv_id", "turn"))
 query("page_hosts", "SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(html, '://([^/:\"\\\\\\s]+)', 1))) AS host FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.explode(scan.hosts(F.col("html"))).alias("host")))
-query("payload_violations")(lambda s, d: table(s, d, "documents").select("doc_id", scan.first_violation(F.col("text"), scan.DENY_PATHS, scan.DENY_COMMANDS).alias("violation")).filter("violation is not null"))
+query("payload_violations")(lambda s, d: table(s, d, "documents").select("doc_id", scan.first_violation(F.col("text"), scan.DENY_PATHS, scan.DENY_COMMANDS, exfil=False).alias("violation")).filter("violation is not null"))
 query("file_findings")(lambda s, d: scan.scan_lines(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")))
 query("ssn_documents", r"SELECT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?:[^0-9-]|$)', 1)) x FROM documents) WHERE x[1:3] NOT IN ('000', '666') AND x[1] <> '9' AND x[5:6] <> '00' AND x[8:11] <> '0000'")(lambda s, d: table(s, d, "documents").filter(scan.has_ssn(F.col("text"))).select("doc_id"))

@@ -21,7 +21,7 @@ def sql():
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v + 0.0:.5f}"
+        return "nan" if math.isnan(v) else repr(v + 0.0)
     return str(v) if not isinstance(v, datetime.datetime) else v.isoformat()
 
 
