@@ -1,0 +1,169 @@
+"""Scan of nested request bodies: leaves with the scope in which they stand, then the detectors a leaf's scope asks for.
+
+A body is walked level by level: all containers of a level, of all bodies at once, are exploded by one lateral
+`variant_explode`, and each child's scope follows from its parent's columns.  Of a list of turns only the last
+actor's is live, and only while nothing but tool results follows.  A body's violation is that of its first leaf
+in order of places, so it is one `min_by` a body.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from meterlake.functions.labels import lower_ascii
+from meterlake.operators import scan
+
+ARGS, CONTENT, PROSE, HISTORY = "args", "content", "prose", "history"
+
+#: Words in the names of tools, whole names, and keys of leaves.
+SHELLS = ["bash", "shell", "exec", "terminal", "powershell", "run_command", "run_shell", "command_exec", "system_exec", "shell_command"]
+SHELL_NAMES = ["sh", "cmd", "run"]
+EDITORS = ["write", "edit", "str_replace", "create_file", "apply_patch", "notebook", "new_file", "save_file", "update_file", "insert_edit"]
+SEARCHES = [
+    "grep", "glob", "ripgrep", "websearch", "web_search", "webfetch", "web_fetch", "fetch_url", "read_url", "search",
+    "find_files", "list_dir", "list_files", "codebase_search",
+]
+PROMPT_NAMES = ["agent", "task", "subagent", "dispatch", "dispatch_agent", "oracle", "delegate"]
+PROMPT_PATTERN = r"subagent|[_-]agent$|^agent[_-]|^task_|^dispatch_"
+PATH_KEYS = [
+    "path", "filepath", "file_path", "file", "filename", "fname", "notebook_path", "notebookpath", "target_file", "targetfile", "target_path",
+    "targetpath", "dir", "directory", "folder", "src", "source", "source_path", "dest", "destination", "dest_path", "output_path", "outputpath",
+    "output_file", "out_file", "old_path", "new_path", "abs_path", "absolute_path", "relative_path", "cwd", "workdir", "working_directory", "pathname",
+]
+PATH_ENDINGS = r"_(path|file|dir|directory)$"
+NOTE_KEYS = ["description", "explanation", "comment", "reasoning", "thought", "rationale", "justification", "summary", "note", "notes", "purpose", "intent"]
+TURN_KEYS = ["messages", "contents", "input"]
+LONGEST_PATH = 512
+
+
+def _text(v: Column, path: str) -> Column:
+    """A string at a path of a variant; null for other types."""
+    at = F.variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(at) == "STRING", F.variant_get(at, "$", "string"))
+
+
+def _any(name: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(name, F.lit(w)) for w in words])
+
+
+def is_editor(tool: Column) -> Column:
+    return F.coalesce(_any(lower_ascii(tool), EDITORS), F.lit(False))
+
+
+def tool_scope(tool: Column) -> Column:
+    """Scope of a tool's arguments by its name; an unknown tool is as strict as a shell."""
+    n = lower_ascii(tool)
+    return (
+        F.when(n.isin(SHELL_NAMES) | _any(n, SHELLS), ARGS).when(_any(n, EDITORS) | _any(n, SEARCHES), CONTENT)
+        .when(n.isin(PROMPT_NAMES) | n.rlike(PROMPT_PATTERN), PROSE).otherwise(ARGS)
+    )
+
+
+def holds_arguments(key: Column, parent: Column) -> Column:
+    kind = F.coalesce(_text(parent, "$.type"), F.lit(""))
+    return key.isin("tool_calls", "function_call", "functionCall") | ((key == "input") & kind.endswith("tool_use")) | (key.isin("arguments", "args") & kind.endswith("_call"))
+
+
+def _actor(turn: Column) -> Column:
+    return F.coalesce(_text(turn, "$.role").isin("assistant", "model"), F.lit(False)) | F.coalesce(_text(turn, "$.type").endswith("_call"), F.lit(False))
+
+
+def _result(turn: Column) -> Column:
+    role = F.coalesce(_text(turn, "$.role"), F.lit(""))
+    blocks = F.coalesce(*[F.try_variant_get(turn, p, "array<variant>") for p in ("$.content", "$.parts")])
+    holds = F.exists(blocks, lambda b: F.coalesce(_text(b, "$.type") == "tool_result", F.lit(False)) | F.variant_get(b, "$.functionResponse", "variant").isNotNull())
+    own = F.coalesce(_text(turn, "$.type").endswith("_call_output"), F.lit(False))
+    return own | (role == "tool") | (role.isin("user", "function") & F.coalesce(holds, F.lit(False)))
+
+
+def live_turn(turns: Column) -> Column:
+    """Place of the turn that is in flight, from 0; -1 if none is."""
+    actors = F.transform(turns, _actor)
+    last = F.size(actors) - F.array_position(F.reverse(actors), F.lit(True)).cast("int")
+    after = F.slice(turns, last + 2, F.size(turns))
+    return F.when(F.array_contains(actors, F.lit(True)) & F.forall(after, _result), last).otherwise(-1)
+
+
+def leaves(bodies: DataFrame, body: str = "body", key: str = "id") -> DataFrame:
+    """(key, place, scope, tool, slot, text): every string of the bodies that are JSON, with the key of the object
+    it stands in (through lists) as its slot; places order a body's leaves."""
+    spark = bodies.sparkSession
+    start = bodies.select(F.col(key).alias("id"), F.try_parse_json(F.col(body)).alias("v")).filter("v is not null")
+    level = start.select(
+        "id", F.array().cast("array<int>").alias("place"), F.lit(PROSE).alias("scope"), F.lit(None).cast("string").alias("tool"),
+        F.lit(None).cast("string").alias("slot"), F.lit(None).cast("int").alias("live"), "v",
+    )
+    out = []
+    while True:
+        level = level.withColumn("kind", F.substring_index(F.schema_of_variant("v"), "<", 1)).filter("kind in ('OBJECT', 'ARRAY', 'STRING')").persist()
+        out.append(level.filter("kind = 'STRING'").select(F.col("id").alias(key), "place", "scope", "tool", "slot", F.variant_get("v", "$", "string").alias("text")))
+        inner = level.filter("kind <> 'STRING'")
+        if inner.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        each = spark.sql("SELECT t.*, e.pos, e.key AS k, e.value AS c FROM {t} t, LATERAL variant_explode(t.v) e", t=inner)
+        prose, named = F.col("scope") == PROSE, F.col("k").isNotNull()
+        turns = F.when(prose & F.col("k").isin(TURN_KEYS), F.try_variant_get("c", "$", "array<variant>"))
+        told = F.exists(turns, lambda t: F.variant_get(t, "$.role", "variant").isNotNull() | F.variant_get(t, "$.type", "variant").isNotNull())
+        name = F.coalesce(_text(F.col("v"), "$.name"), _text(F.col("v"), "$.function.name"))
+        args = prose & named & holds_arguments(F.col("k"), F.col("v"))
+        turn = F.col("live").isNotNull()
+        level = each.select(
+            "id", F.concat("place", F.array("pos")).alias("place"),
+            F.when(turn, F.when(F.col("pos") == F.col("live"), PROSE).otherwise(HISTORY)).when(args & ~F.coalesce(told, F.lit(False)), tool_scope(name)).otherwise(F.col("scope")).alias("scope"),
+            F.when(~turn, F.when(args, F.coalesce(name, F.col("tool"))).otherwise(F.col("tool"))).alias("tool"),
+            F.when(~turn, F.coalesce("k", "slot")).alias("slot"), F.when(told, live_turn(turns)).alias("live"), F.col("c").alias("v"),
+        )
+
+
+def visible(text: Column) -> Column:
+    return F.regexp_replace(text, f"[{scan.INVISIBLE}]", "")
+
+
+def encoded(text: Column) -> Column:
+    """Texts hidden in the first sixteen runs of base64 (32 characters at least) or hex (40)."""
+    runs = F.slice(F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/_-]{32,}"), F.lit(0)), 1, 16)
+    def opened(r: Column) -> Column:
+        plain = F.translate(r, "-_", "+/")
+        whole = F.left(plain, F.length(plain) - F.when(F.length(plain) % 4 == 1, 1).otherwise(0))
+        padded = F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), F.lit("="))
+        hexed = F.when(r.rlike("^[0-9a-fA-F]{40,}$"), F.try_to_binary(F.left(r, F.length(r) - F.length(r) % 2), F.lit("hex")))
+        return F.try_validate_utf8(F.coalesce(hexed, F.try_to_binary(padded, F.lit("base64"))).cast("string"))
+    return F.array_compact(F.transform(runs, opened))
+
+
+def violation(text: Column, scope: Column, tool: Column, slot: Column, paths: list[str], commands: list[str], canaries: list[str] = (), exfil: bool = False) -> Column:
+    """The first violation of a leaf, in the order of checks."""
+    def canary(t: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in canaries if len(c) >= 8], F.lit(False))
+
+    def data(t: Column) -> Column:
+        return F.when(canary(t), "canary").when(scan.path_denied(t, paths), "path_blocked").when(scan.secret_kind(t).isNotNull(), "secret").when(F.size(scan.card_numbers(t)) > 0, "card_number").when(scan.has_ssn(t), "ssn")
+
+    k, deep, t = lower_ascii(slot), scope.isin(ARGS, CONTENT), visible(text)
+    command = (scope == ARGS) & ~F.coalesce(k.isin(NOTE_KEYS), F.lit(False))
+    place = (scope == CONTENT) & F.coalesce(k.isin(PATH_KEYS) | k.rlike(PATH_ENDINGS), F.lit(False)) & (F.octet_length(t) <= LONGEST_PATH) & ~F.contains(t, F.lit("\n"))
+    values = deep & ~((scope == CONTENT) & is_editor(tool))
+    hidden = F.filter(F.transform(encoded(t), data), lambda x: x.isNotNull())
+    return (
+        F.when((scope != HISTORY) & canary(text), "canary").when(deep & (scan.hidden_characters(text) >= 8), "hidden_text").when(deep & canary(t), "canary")
+        .when((command | place) & scan.path_denied(t, paths), "path_blocked").when(command & scan.command_denied(t, commands), "command_blocked")
+        .when(command & scan.destructive(t), "destructive").when((command | place) & scan.network_mount(t), "mount_blocked")
+        .when(values & scan.secret_kind(t).isNotNull(), "secret").when(F.lit(exfil) & command & scan.exfiltration(t), "exfiltration")
+        .when(values & (F.size(scan.card_numbers(t)) > 0), "card_number").when(values & scan.has_ssn(t), "ssn").when(values & (F.size(hidden) > 0), F.get(hidden, F.lit(0)))
+    )
+
+
+def violations(bodies: DataFrame, paths=scan.DENY_PATHS, commands=scan.DENY_COMMANDS, canaries=(), exfil: bool = False, body: str = "body", key: str = "id") -> DataFrame:
+    """(key, violation, scope, tool) of the first violating leaf of each body that has one."""
+    found = leaves(bodies, body, key).withColumn("violation", violation(F.col("text"), F.col("scope"), F.col("tool"), F.col("slot"), paths, commands, canaries, exfil))
+    first = found.filter("violation is not null").groupBy(key).agg(F.min_by(F.struct("violation", "scope", "tool"), "place").alias("x"))
+    return first.select(key, "x.violation", "x.scope", "x.tool")
+
+
+def unscannable(body: Column) -> Column:
+    """Something that is no JSON, a byte order mark aside."""
+    bare = F.regexp_replace(body, r"^\x{FEFF}", "")
+    return F.coalesce((F.length(bare) > 0) & F.try_parse_json(bare).isNull(), F.lit(False))

@@ -55,8 +55,8 @@ def top_chats(events: DataFrame, start: str, end: str, k: int = 5) -> DataFrame:
 
 
 def family(model: Column) -> Column:
-    """A model's name without suffixes of effort and speed."""
-    return F.regexp_replace(model, r"(-(low|medium|high|xhigh|max|thinking|fast))+$", "")
+    """A model's name without suffixes of effort and speed (a fixed pattern)."""
+    return F.regexp_replace(model, r"(-thinking)?(-(low|medium|high|xhigh|max))?(-thinking)?(-fast)?$", "")
 
 
 def by_family(events: DataFrame) -> DataFrame:
@@ -104,3 +104,133 @@ def fitted_rates(events: DataFrame) -> DataFrame:
             rates = [fit(row) for _, row in m.iterrows()]
             yield pd.DataFrame({"model": m["model"], **{f"rate_{c}": [r[i] if r else None for r in rates] for i, c in enumerate(COLS)}})
     return moments(events).mapInPandas(run, "model string, " + ", ".join(f"rate_{c} double" for c in COLS))
+
+
+#: Relative weights of a model without a fit; windows of days to fit, and the prompts that one should have.
+FALLBACK = [1.0, 5.0, 1.25, 0.1]
+FIT_WINDOWS, PREFER_EVENTS, WEEK_PROMPTS = (7, 14, 30), 100, 7
+
+
+def is_fast(model: Column) -> Column:
+    return model.endswith("-fast")
+
+
+def version(name: Column) -> tuple[Column, Column]:
+    """A family's name without its version, and the version as numbers: the first run of numeric parts."""
+    parts = F.split(name, "-")
+    numeric = F.transform(parts, lambda p: p.rlike(r"^[0-9]+(\.[0-9]+)*$"))
+    first = F.array_position(numeric, F.lit(True)).cast("int")  # from 1; 0: unversioned
+    rest = F.slice(numeric, first, F.size(parts))
+    run = F.when(F.array_contains(rest, F.lit(False)), F.array_position(rest, F.lit(False)).cast("int") - 1).otherwise(F.size(rest))
+    stem = F.array_join(F.concat(F.slice(parts, F.lit(1), first - 1), F.slice(parts, first + run, F.size(parts))), "-")
+    numbers = F.transform(F.flatten(F.transform(F.slice(parts, first, run), lambda p: F.split(p, r"\."))), lambda x: x.cast("int"))
+    known = (first > 0) & F.when(first > 0, stem != "")
+    return F.when(known, stem), F.when(known, numbers)
+
+
+def _trailing(events: DataFrame, as_of: str, days: int) -> DataFrame:
+    """Events of the days before ``as_of``."""
+    return between(events, "1970-01-01", as_of).filter(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), days))
+
+
+def fit_windows(events: DataFrame, as_of: str) -> DataFrame:
+    """(model, days, n): the shortest window with prompts enough, else the longest."""
+    e = _trailing(events, as_of, FIT_WINDOWS[-1]).filter("charged_cents > 0")
+    n = [F.count_if(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), d)).alias(f"n{d}") for d in FIT_WINDOWS]
+    days = count = None
+    for d in reversed(FIT_WINDOWS):
+        enough = F.col(f"n{d}") >= PREFER_EVENTS
+        days = F.lit(d) if days is None else F.when(enough, d).otherwise(days)
+        count = F.col(f"n{d}") if count is None else F.when(enough, F.col(f"n{d}")).otherwise(count)
+    return e.groupBy("model").agg(*n).select("model", days.alias("days"), count.alias("n"))
+
+
+def window_moments(events: DataFrame, as_of: str) -> DataFrame:
+    """Moments of each model over its window; models are few, so their windows are a small side."""
+    e = _trailing(events, as_of, FIT_WINDOWS[-1]).join(fit_windows(events, as_of).select("model", "days"), "model")
+    return moments(e.filter(F.col("day") >= F.date_sub(F.lit(as_of).cast("date"), F.col("days"))))
+
+
+def family_moments(by_model: DataFrame) -> DataFrame:
+    """Moments added up by family and speed."""
+    by = by_model.groupBy(family(F.col("model")).alias("family"), is_fast(F.col("model")).alias("fast"))
+    return by.agg(*[F.sum(c).alias(c) for c in by_model.columns if c != "model"])
+
+
+def _fits(m: DataFrame, keys: str) -> DataFrame:
+    """(keys, r): the rates of each row of moments, null without a fit."""
+    names = [k.split()[0] for k in keys.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({**{k: b[k] for k in names}, "r": [fit(row) for _, row in b.iterrows()]})
+
+    return m.mapInPandas(run, f"{keys}, r array<double>")
+
+
+def rates(events: DataFrame, as_of: str) -> DataFrame:
+    """(model, r): each model's own fitted rates, else those of its family at the same speed, else null."""
+    m = window_moments(events, as_of)
+    own = _fits(m, "model string").withColumn("family", family(F.col("model"))).withColumn("fast", is_fast(F.col("model")))
+    fam = _fits(family_moments(m), "family string, fast boolean").withColumnRenamed("r", "fr")
+    return own.join(fam, ["family", "fast"], "left").select("model", F.coalesce("r", "fr").alias("r"))
+
+
+def charge_split(events: DataFrame, fitted: DataFrame, *by: str) -> DataFrame:
+    """Charges by type of token, in proportion to rate times tokens, and what has no tokens; ``fitted``: (model, r)."""
+    e = events.filter("charged_cents > 0").join(fitted, "model", "left")
+    t = F.array(*[F.coalesce(c, F.lit(0)).cast("double") for c in COLS])
+    e = e.withColumn("t", t).withColumn("w", F.zip_with(F.coalesce("r", F.array(*map(F.lit, FALLBACK))), "t", lambda a, b: a * b))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    e = e.withColumn("w", F.when(total(F.col("w")) > 0, F.col("w")).otherwise(F.col("t"))).withColumn("all", total(F.col("w")))
+    cents = [F.sum(F.when(F.col("all") > 0, F.col("charged_cents") * F.col("w")[i] / F.col("all")).otherwise(0.0)).alias(f"c{i}") for i in range(4)]
+    sums = [F.sum(F.col("t")[i]).alias(f"t{i}") for i in range(4)]
+    other = F.sum(F.when(F.col("all") > 0, 0.0).otherwise(F.col("charged_cents"))).alias("c4")
+    d = e.groupBy(*by).agg(*cents, *sums, other)
+    rows = [F.struct(F.lit(c).alias("type"), F.col(f"t{i}").cast("long").alias("tokens"), F.round(F.col(f"c{i}") / 100, 2).alias("dollars")) for i, c in enumerate(COLS)]
+    rows.append(F.struct(F.lit("other").alias("type"), F.lit(0).cast("long").alias("tokens"), F.round(F.col("c4") / 100, 2).alias("dollars")))
+    return d.select(*by, F.inline(F.array(*rows)))
+
+
+def fast_what_if(events: DataFrame, fitted: DataFrame, *by: str) -> DataFrame:
+    """What fast models' tokens would cost at the normal speed; only differences of a dollar at least."""
+    e = events.filter(is_fast(F.col("model")) & (F.col("charged_cents") > 0)).groupBy(*by, "model").agg(F.sum("charged_cents").alias("c"), *[F.sum(c).alias(c) for c in COLS])
+    normal = e.withColumn("model", F.regexp_replace("model", "-fast$", "")).join(fitted.filter("r is not null"), "model")
+    cost = sum((F.col("r")[i] * F.col(c) / 1e6 for i, c in enumerate(COLS)), F.lit(0.0))
+    d = normal.groupBy(*by).agg(F.round(F.sum("c") / 100, 2).alias("actual"), F.round(F.sum(cost), 2).alias("normal"))
+    return d.filter(F.col("actual") - F.col("normal") >= 1).withColumn("saving", F.round(F.col("actual") - F.col("normal"), 2))
+
+
+def week_per_prompt(events: DataFrame, as_of: str) -> DataFrame:
+    """Each user's cents a prompt over the seven days before."""
+    e = _trailing(events, as_of, WEEK_PROMPTS).groupBy("user_email").agg(F.sum("charged_cents").alias("c"), F.count("*").alias("n"))
+    return e.select("user_email", F.round(F.col("c") / F.col("n"), 6).alias("cents"), "n")
+
+
+def free_periods(events: DataFrame, min_prompts: int = 50, share: float = 0.8) -> DataFrame:
+    """(family, last_free): families that were almost always free up to an instant and charged since."""
+    e = events.withColumn("family", family(F.col("model")))
+    last = e.filter("kind = 'Free'").groupBy("family").agg(F.max("ts").alias("last_free"))
+    upto = F.col("ts") <= F.col("last_free")
+    d = e.join(last, "family").groupBy("family", "last_free").agg(
+        F.count_if(upto & (F.col("kind") == "Free")).alias("free"), F.count_if(upto).alias("n"), F.count_if(~upto & (F.col("charged_cents") > 0)).alias("charged")
+    )
+    return d.filter((F.col("charged") > 0) & (F.col("free") >= min_prompts) & (F.col("free") >= share * F.col("n"))).select("family", "last_free")
+
+
+def newest_families(events: DataFrame, as_of: str, days: int = 14, min_prompts: int = 20) -> DataFrame:
+    """(family, newest): families in use of which a newer version has prompts enough."""
+    e = _trailing(events, as_of, days).groupBy(family(F.col("model")).alias("family")).agg(F.count("*").alias("n"))
+    stem, numbers = version(F.col("family"))
+    e = e.withColumn("stem", stem).withColumn("v", numbers).filter("stem is not null")
+    best = e.filter(F.col("n") >= min_prompts).groupBy("stem").agg(F.max(F.struct("v", "family")).alias("b"))
+    return e.join(best, "stem").filter(F.col("v") < F.col("b.v")).select("family", F.col("b.family").alias("newest"))
+
+
+def restart_excess(events: DataFrame, first: int = 5) -> DataFrame:
+    """What each chat's later prompts cost above the mean of its first ones, by user."""
+    by = Window.partitionBy("user_email", "conversation_id")
+    e = events.withColumn("k", F.row_number().over(by.orderBy("ts", "id")))
+    e = e.withColumn("base", F.avg(F.when(F.col("k") <= first, F.col("charged_cents"))).over(by))
+    over = F.when(F.col("k") > first, F.greatest(F.col("charged_cents") - F.col("base"), F.lit(0.0))).otherwise(0.0)
+    return e.groupBy("user_email").agg(F.round(F.sum(over), 4).alias("cents"))

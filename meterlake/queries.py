@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.operators import audit, reports, scan, team, waste, windows
-from meterlake.plans.ratecard import CARD, priced
+from meterlake.functions import labels
+from meterlake.operators import audit, payload, reports, scan, status, team, tools, waste, windows
+from meterlake.plans.ratecard import CARD, card, priced
 from meterlake.sources import views
 from meterlake.sources.views import AS_OF, entries, members, requests, table, team_events
 from meterlake.streaming import loops
@@ -91,6 +92,26 @@ query("latest_call", f"SELECT id, ts, provider, model FROM ({R}) WHERE NOT block
 query("model_rates", f"WITH {_CARD}, f AS ({R}), x AS (SELECT m.model, min(ord) ord FROM (SELECT DISTINCT model FROM f) m LEFT JOIN card ON m.model = key OR starts_with(m.model, key || '-') OR starts_with(m.model, key || '[') GROUP BY 1) SELECT model, ri rate_in, rw rate_cw, rr rate_cr, ro rate_out FROM x LEFT JOIN card USING (ord)")(lambda s, d: priced(requests(s, d)).select("model", "rate_in", "rate_cw", "rate_cr", "rate_out").distinct())
 query("model_labels", rf"SELECT DISTINCT model, regexp_replace(regexp_replace(regexp_replace(regexp_replace(model, '\[[^\]]*\]$', ''), '-(20[0-9]{{6}}|20[0-9]{{2}}-[0-9]{{2}}(-[0-9]{{2}})?)$', ''), '^(claude|gpt|gemini)-', ''), '-([0-9]+)-([0-9]+)$', '-\1.\2') AS label FROM ({R})")(lambda s, d: requests(s, d).select("model", reports.short_label(F.col("model")).alias("label")).distinct())
 
+_SINCE = "2024-01-12 08:00:00"
+_IN_APP = "(lower(workspace) = '/w/app' OR starts_with(lower(workspace), '/w/app/'))"
+query("branch_attribution", _with(E, f"SELECT tool, model, {_USD}, count(*) turns FROM p WHERE {_IN_APP} AND ts >= TIMESTAMP '{_SINCE}' GROUP BY 1, 2"))(lambda s, d: status.attribution(entries(s, d), "/w/app", _SINCE))
+query("branch_attribution_totals", _with(E, f"SELECT {_USD}, count(*) turns FROM p WHERE {_IN_APP} AND ts >= TIMESTAMP '{_SINCE}'"))(lambda s, d: status.attribution_totals(entries(s, d), "/w/app", _SINCE))
+_TOOLS = {"tool-a": "anthropic", "tool-b": "openai", "tool-c": "not-proxied"}
+query("combined_day", f"WITH {_CARD}, f AS (SELECT * FROM ({R}) WHERE day = {DAY}), g AS (SELECT tool, model, {_TOKENS} FROM ({E}) WHERE day = {DAY} GROUP BY 1, 2), {_priced('p', 'f')}, {_priced('q', 'g')}, l AS (SELECT nano FROM q WHERE NOT coalesce(CASE tool WHEN 'tool-a' THEN 'anthropic' WHEN 'tool-b' THEN 'openai' END IN (SELECT provider FROM p WHERE NOT blocked GROUP BY 1 HAVING sum(nano) > 0), false)) SELECT {_usd('(SELECT sum(nano) FROM p)')} proxied_usd, {_usd('(SELECT coalesce(sum(nano), 0) FROM l)')} logs_usd, {_usd('((SELECT sum(nano) FROM p) + (SELECT coalesce(sum(nano), 0) FROM l))')} cost_usd")(lambda s, d: status.combined_today(on_day(requests(s, d)), on_day(entries(s, d)), _TOOLS))
+query("previous_day", _with(R, f"SELECT {_USD}, round(CASE WHEN sum({_PROMPT}) FILTER (NOT blocked) > 0 THEN sum(cache_read_tokens) FILTER (NOT blocked) / sum({_PROMPT}) FILTER (NOT blocked) * 100 ELSE 0 END, 9) hit_pct, count(*) FILTER (blocked) blocked FROM p WHERE day = {DAY} - 1"))(lambda s, d: status.previous_day(requests(s, d), AS_OF))
+query("prior_window", _with(R, f", t AS (SELECT day, {_USD}, count(*) FILTER (blocked) blocked, round(CASE WHEN sum({_PROMPT}) > 0 THEN sum(cache_read_tokens) / sum({_PROMPT}) ELSE 0 END, 9) h FROM p WHERE day >= {DAY} - 13 AND day < {DAY} - 6 GROUP BY 1) SELECT round(sum(cost_usd), 6) cost_usd, round(avg(h) * 100, 6) hit_pct, CAST(sum(blocked) AS BIGINT) blocked FROM t"))(lambda s, d: status.prior_window(requests(s, d), AS_OF, 7))
+query("hourly_average", _with(R, f"SELECT {_usd('coalesce(sum(nano), 0)')} spent, {_usd('floor(coalesce(sum(nano), 0) / 15.5)')} per_hour FROM p WHERE day = {DAY} AND ts <= TIMESTAMP '{AS_OF} 15:30:00'"))(lambda s, d: status.hourly_average(requests(s, d), f"{AS_OF} 15:30:00"))
+query("live_sessions", f"SELECT session_id, id, model, prompt, ts < TIMESTAMP '{AS_OF} 12:00:00' - INTERVAL 1 HOUR idle FROM (SELECT *, {_PROMPT} prompt, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC) k FROM ({R}) WHERE NOT blocked AND session_id IS NOT NULL) WHERE k = 1")(lambda s, d: status.last_call(requests(s, d), f"{AS_OF} 12:00:00"))
+query("running_month_spend", _with(R, "SELECT id, CAST(sum(nano) OVER (PARTITION BY date_trunc('month', day) ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) spent FROM p"))(lambda s, d: windows.running(requests(s, d), "month"))
+query("running_session_spend", _with(R, "SELECT id, session_id, CAST(sum(nano) OVER (PARTITION BY session_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) spent FROM p WHERE session_id IS NOT NULL"))(lambda s, d: windows.running(requests(s, d), "session"))
+_CONTEXT = "CASE " + " ".join(f"WHEN starts_with(model, '{k}') THEN {w}" for k, w in labels.CONTEXT_WINDOWS) + " END"
+query("context_gauges", f"SELECT id, w AS context_window, pct, CASE WHEN pct < 60 THEN 'green' WHEN pct < 85 THEN 'yellow' ELSE 'red' END band FROM (SELECT id, CAST({_CONTEXT} AS BIGINT) w, CASE WHEN {_PROMPT} <= {_CONTEXT} THEN round({_PROMPT} / {_CONTEXT} * 100, 6) END pct FROM ({R}))")(lambda s, d: requests(s, d).select("id", labels.context_window(F.col("model")).alias("context_window"), F.round(labels.context_percent(F.col("model"), F.col("input_tokens") + F.col("cache_creation_tokens") + F.col("cache_read_tokens")), 6).alias("pct")).withColumn("band", labels.gauge_band(F.col("pct"))))
+_HEADER = "concat(' Team = t', CAST(user_id % 5 AS VARCHAR(20)), ',bad,k!=', CAST(event_id % 3 AS VARCHAR(20)), ',team=dup,=x,e=,', CASE WHEN event_id % 2 = 0 THEN 'a=1,b=2,c=3,d=4,f=5' ELSE '' END)"
+query("request_tags", """SELECT id, tag, value FROM (SELECT event_id AS id, unnest([struct_pack(tag := 'team', value := 't' || CAST(user_id % 5 AS VARCHAR)), struct_pack(tag := 'k', value := CAST(event_id % 3 AS VARCHAR))] || CASE WHEN event_id % 2 = 0 THEN [struct_pack(tag := 'a', value := '1'), struct_pack(tag := 'b', value := '2'), struct_pack(tag := 'c', value := '3'), struct_pack(tag := 'd', value := '4')] ELSE [] END, recursive := true) FROM events)""")(lambda s, d: views.view(s, d, f"SELECT event_id AS id, {_HEADER} AS header FROM events").select("id", F.explode(labels.tags_of(F.col("header"))).alias("tag", "value")))
+query("billing_periods", f"SELECT day, strftime(CASE WHEN dayofmonth(day) < least(15, dayofmonth(last_day(day))) THEN date_trunc('month', day) - INTERVAL 1 MONTH ELSE date_trunc('month', day) END, '%Y-%m') AS period, count(*) n FROM ({R}) GROUP BY 1, 2")(lambda s, d: requests(s, d).groupBy("day", labels.period_of(F.col("day"), 15).alias("period")).agg(F.count("*").alias("n")))
+query("seconds_to_midnight", f"SELECT id, CAST(greatest(1, 86400 - (hour(ts) * 3600 + minute(ts) * 60 + second(ts))) AS INTEGER) wait FROM ({R})")(lambda s, d: requests(s, d).select("id", labels.seconds_to_midnight(F.col("ts")).cast("int").alias("wait")))
+query("trimmed_outputs", "SELECT doc_id, CASE WHEN length(text) > 2600 THEN left(text, 1200) || chr(10) || '… [' || CAST(length(text) - 2400 AS VARCHAR) || ' characters trimmed] …' || chr(10) || right(text, 1200) ELSE text END AS text FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", labels.trimmed_output(F.col("text")).alias("text")))
+
 query("rolling_hour_spend", _with(R, f"SELECT id, {_usd('sum(nano) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)')} hour_usd FROM p"))(lambda s, d: windows.rolling_hour(requests(s, d)))
 query("burn_rate", _with(R, f"SELECT id, {_usd('sum(nano) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 15 MINUTE PRECEDING AND CURRENT ROW) * 60 / 15')} per_hour FROM p"))(lambda s, d: windows.burn_rate(requests(s, d)))
 query("running_day_spend", _with(R, "SELECT id, CAST(sum(nano) OVER (PARTITION BY day ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) spent FROM p"))(lambda s, d: windows.running(requests(s, d)))
@@ -120,14 +141,24 @@ _WASTE = f""", w AS (
 query("waste_findings", _with(E, f" SELECT rule, severity, n, {_usd('waste')} waste_usd FROM found", _WASTE))(lambda s, d: waste.findings(entries(s, d)))
 query("waste_headline", _with(E, f" SELECT {_usd('least((SELECT coalesce(sum(waste), 0) FROM found), (SELECT sum(nano) FROM p))')} waste_usd", _WASTE))(lambda s, d: waste.headline(entries(s, d)))
 
+_FAMILY = "regexp_replace(model, '(-thinking)?(-(low|medium|high|xhigh|max))?(-thinking)?(-fast)?$', '')"
 _PERIOD = "day >= DATE '2024-01-10' AND day < DATE '2024-01-25'"
 _START, _END = "2024-01-10", "2024-01-25"
 query("team_overview", f"WITH c AS (SELECT user_email email, sum(charged_cents) c, count(*) n FROM ({T}) WHERE {_PERIOD} GROUP BY 1), s AS (SELECT email, round(coalesce(c, 0) / 100, 6) spent, coalesce(n, 0) prompts, round(round(coalesce(c, 0) / 100, 6) / 10 * 15, 6) projected, limit_dollars l FROM ({views.MEMBERS}) LEFT JOIN c USING (email) WHERE is_removed = 0) SELECT email, spent, prompts, projected, CASE WHEN spent >= l THEN 'over_limit' WHEN projected >= l THEN 'over_pace' WHEN projected >= 0.8 * l THEN 'watch' ELSE 'ok' END AS status FROM s")(lambda s, d: team.overview(team_events(s, d), members(s, d), _START, _END, 10.0, 15))
 query("team_median_prompt", f"SELECT round(median(c / n), 6) cents FROM (SELECT user_email, sum(charged_cents) c, count(*) n FROM ({T}) WHERE {_PERIOD} GROUP BY 1 HAVING count(*) >= 5)")(lambda s, d: team.median_per_prompt(team_events(s, d), _START, _END))
 query("team_daily_series", f"WITH e AS (SELECT * FROM ({T}) WHERE {_PERIOD}), d AS (SELECT user_email, CAST(DATE '2024-01-10' + CAST(i AS INTEGER) AS DATE) AS day FROM (SELECT DISTINCT user_email FROM e), range(15) t(i)), s AS (SELECT user_email, day, coalesce(sum(charged_cents), 0) c FROM d LEFT JOIN e USING (user_email, day) GROUP BY 1, 2) SELECT user_email, day, round(c, 6) cents, round(sum(c) OVER (PARTITION BY user_email ORDER BY day), 6) running FROM s")(lambda s, d: team.daily_series(team_events(s, d), _START, _END))
 query("team_top_chats", f"WITH e AS ({T}), s AS (SELECT user_email, conversation_id, round(sum(charged_cents), 6) cents FROM e WHERE {_PERIOD} GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_email ORDER BY cents DESC, conversation_id) AS rank FROM s), a AS (SELECT conversation_id, min(ts) first_ts, max(ts) last_ts, count(*) n FROM e GROUP BY 1) SELECT user_email, conversation_id, cents, rank, first_ts, last_ts, n FROM r JOIN a USING (conversation_id) WHERE rank <= 5")(lambda s, d: team.top_chats(team_events(s, d), _START, _END))
-query("team_families", f"SELECT regexp_replace(model, '(-(low|medium|high|xhigh|max|thinking|fast))+$', '') AS family, contains(model, '-fast') AS fast, round(sum(charged_cents), 6) cents, count(*) n FROM ({T}) GROUP BY 1, 2")(lambda s, d: team.by_family(team_events(s, d)))
+query("team_families", f"SELECT {_FAMILY} AS family, contains(model, '-fast') AS fast, round(sum(charged_cents), 6) cents, count(*) n FROM ({T}) GROUP BY 1, 2")(lambda s, d: team.by_family(team_events(s, d)))
 query("team_free_use", f"SELECT model, min(ts) first_ts, count(*) n, count(*) FILTER (kind = 'Free') free, round((count(*) FILTER (kind = 'Free')) / count(*), 9) AS share FROM ({T}) GROUP BY 1")(lambda s, d: team.free_use(team_events(s, d)))
+query("team_week_per_prompt", f"SELECT user_email, round(sum(charged_cents) / count(*), 6) cents, count(*) n FROM ({T}) WHERE day >= {DAY} - 7 AND day < {DAY} GROUP BY 1")(lambda s, d: team.week_per_prompt(team_events(s, d), AS_OF))
+query("team_fit_windows", f"SELECT model, CAST(CASE WHEN a >= 100 THEN 7 WHEN b >= 100 THEN 14 ELSE 30 END AS INTEGER) AS days, CASE WHEN a >= 100 THEN a WHEN b >= 100 THEN b ELSE n END n FROM (SELECT model, count(*) FILTER (day >= {DAY} - 7) a, count(*) FILTER (day >= {DAY} - 14) b, count(*) n FROM ({T}) WHERE charged_cents > 0 AND day >= {DAY} - 30 AND day < {DAY} GROUP BY 1)")(lambda s, d: team.fit_windows(team_events(s, d), AS_OF))
+query("team_family_moments", f"SELECT {_FAMILY} AS family, ends_with(model, '-fast') AS fast, count(*) n, round(sum(input_tokens / 1e6), 6) x0, round(sum(output_tokens / 1e6), 6) x1, round(sum(input_tokens / 1e6 * (output_tokens / 1e6)), 6) xx01 FROM ({T}) WHERE charged_cents > 0 GROUP BY 1, 2")(lambda s, d: team.family_moments(team.moments(team_events(s, d))).select("family", "fast", "n", *[F.round(c, 6).alias(c) for c in ("x0", "x1", "xx01")]))
+query("team_charge_split")(lambda s, d: team.charge_split(team.between(team_events(s, d), _START, _END), team.rates(team_events(s, d), AS_OF), "user_email"))
+query("team_fast_what_if")(lambda s, d: team.fast_what_if(team.between(team_events(s, d), _START, _END), team.rates(team_events(s, d), AS_OF), "user_email"))
+query("team_free_periods", f"WITH e AS (SELECT *, {_FAMILY} AS family FROM ({views.FREE_START})), l AS (SELECT family, max(ts) last_free FROM e WHERE kind = 'Free' GROUP BY 1) SELECT family, last_free FROM e JOIN l USING (family) GROUP BY 1, 2 HAVING count(*) FILTER (ts > last_free AND charged_cents > 0) > 0 AND count(*) FILTER (kind = 'Free' AND ts <= last_free) >= 50 AND count(*) FILTER (kind = 'Free' AND ts <= last_free) >= 0.8 * count(*) FILTER (ts <= last_free)")(lambda s, d: team.free_periods(views.view(s, d, views.FREE_START)))
+_VERSION = "list_transform(string_split(regexp_extract(family, '[0-9]+([.][0-9]+)*'), '.'), lambda x: CAST(x AS INTEGER))"
+query("team_newest_families", f"WITH e AS (SELECT {_FAMILY} AS family, count(*) n FROM ({views.TEAM_VERSIONS}) WHERE day >= {DAY} - 14 AND day < {DAY} GROUP BY 1), v AS (SELECT *, {_VERSION} v, trim(replace(regexp_replace(family, '-?[0-9]+([.][0-9]+)*', ''), '--', '-'), '-') stem FROM e), b AS (SELECT stem, arg_max(family, v) newest, max(v) top FROM v WHERE n >= 20 GROUP BY 1) SELECT family, newest FROM v JOIN b USING (stem) WHERE v < top")(lambda s, d: team.newest_families(views.view(s, d, views.TEAM_VERSIONS), AS_OF))
+query("team_restart_excess", f"SELECT user_email, round(sum(CASE WHEN k > 5 THEN greatest(charged_cents - base, 0) ELSE 0 END), 4) cents FROM (SELECT *, avg(CASE WHEN k <= 5 THEN charged_cents END) OVER (PARTITION BY user_email, conversation_id) base FROM (SELECT *, row_number() OVER (PARTITION BY user_email, conversation_id ORDER BY ts, id) k FROM ({T}))) GROUP BY 1")(lambda s, d: team.restart_excess(team_events(s, d)))
 _X = [f"({c} / 1e6)" for c in team.COLS]
 query(
     "team_rate_moments",
@@ -147,3 +178,22 @@ query("page_hosts", "SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(ht
 query("payload_violations")(lambda s, d: table(s, d, "documents").select("doc_id", scan.first_violation(F.col("text"), scan.DENY_PATHS, scan.DENY_COMMANDS, exfil=False).alias("violation")).filter("violation is not null"))
 query("file_findings")(lambda s, d: scan.scan_lines(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")))
 query("ssn_documents", r"SELECT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?:[^0-9-]|$)', 1)) x FROM documents) WHERE x[1:3] NOT IN ('000', '666') AND x[1] <> '9' AND x[5:6] <> '00' AND x[8:11] <> '0000'")(lambda s, d: table(s, d, "documents").filter(scan.has_ssn(F.col("text"))).select("doc_id"))
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request body of each turn of a conversation: a call of a shell that holds the turn's text."""
+    call = F.struct(F.lit("tool_use").alias("type"), F.lit("bash").alias("name"), F.struct(F.col("text").alias("command")).alias("input"))
+    turn = F.struct(F.col("role"), F.array(call).alias("content"))
+    return table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), F.to_json(F.struct(F.array(turn).alias("messages"))).alias("body"))
+
+
+query("tool_argument_scopes", "SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'args' ELSE 'history' END AS scope, CASE WHEN role = 'assistant' THEN 'bash' END tool, length(text) AS size FROM conversations WHERE text IS NOT NULL")(lambda s, d: payload.leaves(bodies(s, d)).filter("slot = 'command'").select("id.conv_id", "id.turn", "scope", F.when(F.col("scope") == "args", F.col("tool")).alias("tool"), F.length("text").cast("long").alias("size")))
+_DENIED = " OR ".join(f"contains(lower(text), '{p.lstrip('~')}')" for p in scan.DENY_PATHS)
+query("conversation_violations", f"SELECT conv_id, turn, CASE WHEN {_DENIED} THEN 'path_blocked' ELSE 'command_blocked' END AS violation, 'args' AS scope, 'bash' AS tool FROM conversations WHERE role = 'assistant' AND ({_DENIED} OR contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), 'of the'))")(lambda s, d: payload.violations(bodies(s, d), commands=["OF  the"]).select("id.conv_id", "id.turn", "violation", "scope", "tool"))
+_SIGHTINGS = "SELECT event_id AS id, ts, concat('s', CAST(user_id % 5 AS VARCHAR(20))) AS server, event_type AS tool, CASE WHEN event_id % 97 < 60 THEN 'aaaaaaaaaaaaaaaa' ELSE concat(CAST(event_id % 2 AS VARCHAR(20)), repeat('b', 63)) END AS fingerprint FROM events"
+_SEEN = f"SELECT *, CASE WHEN was IS NULL THEN 'New' WHEN was = fingerprint OR (length(was) = 16 AND length(fingerprint) = 64) THEN 'Unchanged' ELSE 'Changed' END seen FROM (SELECT *, lag(fingerprint) OVER (PARTITION BY server, tool ORDER BY ts, id) was FROM ({_SIGHTINGS}))"
+query("tool_fingerprints", f"SELECT id, server, tool, seen FROM ({_SEEN})")(lambda s, d: tools.observed(views.view(s, d, _SIGHTINGS), ["server", "tool"]).select("id", "server", "tool", "seen"))
+query("tool_trust", f"WITH e AS (SELECT server, tool, ts, id, CASE WHEN id % 50 = 0 THEN 'approved' WHEN seen <> 'Unchanged' THEN 'pending' END state FROM ({_SEEN})) SELECT server, tool, arg_max(state, (ts, id)) AS state FROM e WHERE state IS NOT NULL GROUP BY 1, 2")(lambda s, d: tools.trust(tools.observed(views.view(s, d, _SIGHTINGS), ["server", "tool"]).withColumn("kind", F.when(F.col("id") % 50 == 0, "approve").otherwise(F.col("seen"))), ["server", "tool"]))
+query("request_routes", "SELECT id, CASE WHEN p = '/click' OR starts_with(p, '/click/') THEN 'click' WHEN p = '/view' OR starts_with(p, '/view/') THEN 'view' ELSE 'default' END AS server, CASE WHEN starts_with(p, '/click/') THEN p[7:] WHEN starts_with(p, '/view/') THEN p[6:] WHEN p IN ('/click', '/view') THEN '/' ELSE p END AS forward FROM (SELECT event_id AS id, '/' || event_type || CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN '/a/b' ELSE 'x' END p FROM events)")(lambda s, d: views.view(s, d, "SELECT event_id AS id, concat('/', event_type, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN '/a/b' ELSE 'x' END) AS p FROM events").select("id", tools.route(F.col("p"), ["click", "view"]).alias("r")).select("id", "r.server", "r.forward"))
+_OVERRIDES = [("gpt-5.5", 4.0, 0.0, 0.4, 20.0), ("own-model", 1.0, 1.25, 0.1, 5.0)]
+query("effective_card", f"WITH {_CARD} SELECT key, 'override' AS source, 4.0::DOUBLE rate_in, 0.0::DOUBLE rate_cw, 0.4::DOUBLE rate_cr, 20.0::DOUBLE rate_out FROM (SELECT 'gpt-5.5' key) UNION ALL SELECT 'own-model', 'new', 1.0, 1.25, 0.1, 5.0 UNION ALL SELECT key, CASE WHEN key = 'gpt-5.5' THEN 'shadowed' ELSE 'built-in' END, ri, rw, rr, ro FROM card")(lambda s, d: card(s, _OVERRIDES).drop("ord"))

@@ -48,6 +48,11 @@ TEAM = f"""SELECT event_id AS id, ts, CAST(ts AS DATE) AS day, concat('u', CAST(
  CASE WHEN event_id % 13 = 0 THEN 0.0 ELSE value END AS charged_cents, CAST(floor(value * 100) AS BIGINT) AS input_tokens,
  CAST(event_id * 13 % 2000 AS BIGINT) AS output_tokens, CAST(event_id * 31 % 5000 AS BIGINT) AS cache_write_tokens, CAST(event_id * 37 % 40000 AS BIGINT) AS cache_read_tokens FROM events"""
 
+#: Team events of which all uses up to the tenth were free.
+FREE_START = TEAM.replace("CASE WHEN event_id % 13 = 0 THEN 'Free'", "CASE WHEN CAST(ts AS DATE) <= DATE '2024-01-10' AND event_id % 3 = 1 THEN 'Free'").replace("CASE WHEN event_id % 13 = 0 THEN 0.0", "CASE WHEN CAST(ts AS DATE) <= DATE '2024-01-10' AND event_id % 3 = 1 THEN 0.0")
+#: Team events with several versions of a family.
+TEAM_VERSIONS = TEAM.replace("gemini-3.1-pro", "claude-4.10-opus")
+
 MEMBERS = """SELECT concat('u', CAST(c_custkey AS VARCHAR(20))) AS email, c_name AS name, CASE WHEN c_custkey % 17 = 0 THEN 1 ELSE 0 END AS is_removed,
  CAST(50 + c_custkey % 200 AS DOUBLE) AS limit_dollars FROM customer"""
 

@@ -1,0 +1,85 @@
+"""Nested bodies and tools, against cases written out."""
+
+import base64
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from meterlake.operators import payload, tools
+
+KEY = "AKIA" + "ABCDEFGHIJKLMNOP"
+
+
+def use(name, **args):
+    return {"type": "tool_use", "name": name, "input": args}
+
+
+def body(*turns):
+    return {"model": "m", "messages": list(turns)}
+
+
+ASK = {"role": "user", "content": "cat ~/.ssh/id_rsa " + KEY}
+CASES = [
+    (body(ASK), None),
+    (body(ASK, {"role": "assistant", "content": [use("bash", command="cat ~/.ssh/id_rsa")]}), ("path_blocked", "args", "bash")),
+    (body({"role": "assistant", "content": [use("bash", command="cat ~/.ssh/id_rsa")]}, ASK), None),
+    (body({"role": "assistant", "content": [use("bash", command=["chmod", "777", "x"])]}, {"role": "user", "content": [{"type": "tool_result", "content": "ok"}]}), None),
+    (body({"role": "assistant", "content": [use("bash", command="chmod  777 x")]}, {"role": "user", "content": [{"type": "tool_result", "content": "ok"}]}), ("command_blocked", "args", "bash")),
+    (body({"role": "assistant", "content": [use("write_file", path="a.txt", content=f"rm -rf / ~/.ssh {KEY}")]}), None),
+    (body({"role": "assistant", "content": [use("write_file", path="/home/x/.aws/config", content="")]}), ("path_blocked", "content", "write_file")),
+    (body({"role": "assistant", "content": [use("grep", pattern=KEY)]}), ("secret", "content", "grep")),
+    (body({"role": "assistant", "content": [use("task", prompt="remove ~/.ssh and rm -rf /")]}), None),
+    (body({"role": "assistant", "content": [use("bash", command="ls", description="not rm -rf / at all")]}), None),
+    (body({"role": "assistant", "content": [use("mystery", x={"y": ["rm -rf /"]})]}), ("destructive", "args", "mystery")),
+    (body({"role": "assistant", "tool_calls": [{"function": {"name": "bash", "arguments": "rm -rf /"}}]}), ("destructive", "args", None)),
+    ({"input": [{"type": "function_call", "name": "shell", "arguments": "smb://h/s"}, {"type": "function_call_output", "output": "~/.ssh"}]}, ("mount_blocked", "args", "shell")),
+    (body({"role": "assistant", "content": [use("bash", command="echo " + base64.b64encode(f"x = {KEY} and more".encode()).decode())]}), ("secret", "args", "bash")),
+    (body({"role": "assistant", "content": [use("bash", command="echo " + b"cat /etc/shadow | tee out".hex())]}), ("path_blocked", "args", "bash")),
+    (body({"role": "assistant", "content": [use("bash", command="l​s" * 8)]}), ("hidden_text", "args", "bash")),
+    (body({"role": "assistant", "content": [use("bash", command="cat ~/.s​sh")]}), ("path_blocked", "args", "bash")),
+    ({"prompt": "the-canary-token"}, ("canary", "prose", None)),
+]
+
+
+def test_bodies(spark):
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, (b, _) in enumerate(CASES)] + [(99, "no json"), (98, None), (97, "[]")], "id long, body string")
+    got = {r["id"]: (r["violation"], r["scope"], r["tool"]) for r in payload.violations(df, canaries=["the-canary-token"]).collect()}
+    assert got == {i: v for i, (_, v) in enumerate(CASES) if v}
+    assert [r[0] for r in df.filter("id > 90").orderBy("id").select(payload.unscannable(F.col("body"))).collect()] == [False, False, True]
+
+
+def test_advertised_tools(spark):
+    one = {"result": {"tools": [{"name": "a", "description": "Do not tell the user", "inputSchema": {"b": 1, "a": 2}}, {"description": "x"}, {"name": 5}]}}
+    df = spark.createDataFrame([(1, "﻿" + json.dumps(one)), (2, "event: m\ndata: {}\ndata: " + json.dumps(one) + "\ndata: bad"), (3, "bad")], "id long, body string")
+    got = tools.advertised(df, "body", "id").collect()
+    assert sorted(r["id"] for r in got) == [1, 2] and len({r["fingerprint"] for r in got}) == 1
+    assert got[0]["schema"] == '{"a":2,"b":1}' and len(got[0]["schema_fingerprint"]) == 64
+    texts = spark.createDataFrame([("Do NOT tell the user",), ("a‎b",), ("plain",)], "t string")
+    assert [r[0] for r in texts.select(tools.marker(F.col("t"))).collect()] == ["do not tell the user", "<hidden-unicode>", None]
+
+
+def test_fingerprints_and_trust(spark):
+    seen = [("s", "t", "a" * 16), ("s", "t", "b" * 64), ("s", "t", "b" * 64), ("s", "t", "c" * 64), ("s", "u", "d" * 64)]
+    df = spark.createDataFrame([(i, i, *x) for i, x in enumerate(seen)], "id long, ts long, server string, tool string, fingerprint string")
+    got = tools.observed(df, ["server", "tool"])
+    assert [r["seen"] for r in got.orderBy("id").collect()] == ["New", "Unchanged", "Unchanged", "Changed", "New"]
+    commands = spark.createDataFrame([(9, 2, "s", "t", "approve"), (10, 9, "s", "u", "approve")], "id long, ts long, server string, tool string, kind string")
+    events = got.withColumnRenamed("seen", "kind").drop("fingerprint").unionByName(commands)
+    assert {r["tool"]: r["state"] for r in tools.trust(events, ["server", "tool"]).collect()} == {"t": "pending", "u": "approved"}
+
+
+def test_calls_and_routes(spark):
+    rows = ['{"method":"tools/call","id":7,"params":{"name":"x"}}', '{"method":"tools/call","id":"a","params":{"name":"x"}}', '{"method":"tools/call","id":[1],"params":{"name":"x"}}', '{"method":"ping"}', "bad"]
+    df = spark.createDataFrame([(r,) for r in rows], "b string")
+    assert [r[0] and tuple(r[0]) for r in df.select(tools.call(F.col("b"))).collect()] == [("x", "7"), ("x", "a"), ("x", None), None, None]
+    paths = spark.createDataFrame([("/fs",), ("/fs/a/b",), ("/fsx",), ("/",)], "p string")
+    got = [tuple(r[0]) for r in paths.select(tools.route(F.col("p"), ["fs", "db"])).collect()]
+    assert got == [("fs", "/"), ("fs", "/a/b"), ("default", "/fsx"), ("default", "/")]
+
+
+@pytest.mark.parametrize("server,tool,violation,state,want", [("fs", "rm_all", None, "approved", "denied"), ("fs", "ls", None, "approved", None), ("db", "ls", None, "approved", "server_not_allowed"), ("fs", "ls", None, None, "not_approved"), ("fs", "rm_x", "secret", None, "secret")])
+def test_decisions(spark, server, tool, violation, state, want):
+    df = spark.createDataFrame([(server, tool, violation, state)], "server string, tool string, v string, state string")
+    got = df.select(tools.decision(F.col("server"), F.col("tool"), F.col("v"), F.col("state"), ["*/rm*", "x/*"], ["fs"], True, True)).first()[0]
+    assert got == want
