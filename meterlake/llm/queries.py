@@ -71,4 +71,23 @@ QUERIES = {f.__name__: f for f in (
     op6_vector_near_dups, op7_quality_rules, op8_jaccard_join, op9_secret_ledger, op10_substring_dedup,
 )}
 
-ORACLES: dict[str, str] = {}
+_SPLIT = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op8_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_SPLIT.format(_LOWER)} ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) g FROM w),
+ n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+ c AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+ r AS (SELECT doc_id, doc_id AS z FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.z = e.x)
+ SELECT doc_id, coalesce(n, 0) n_shingles, min(z) component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1, 2""",
+    "op10_substring_dedup": f"""WITH w AS (SELECT doc_id, {_SPLIT.format("text")} ws FROM documents),
+ g AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) i, unnest(list_transform(range(1, len(ws) - 48), lambda i: sha256(array_to_string(ws[i:i + 49], ' ')))) h FROM w),
+ f AS (SELECT h, min(doc_id) lo FROM g GROUP BY 1),
+ x AS (SELECT DISTINCT doc_id, i + k AS p FROM g JOIN f USING (h), range(50) t(k) WHERE lo < doc_id),
+ a AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) p, unnest(ws) AS word FROM w),
+ k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) kept, count(*) n FROM a ANTI JOIN x USING (doc_id, p) GROUP BY 1)
+ SELECT doc_id, len(ws) n_words, len(ws) - coalesce(n, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+}
