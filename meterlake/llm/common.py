@@ -25,9 +25,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (tests only) a new one."""
+    """The folder that all executors share: spark.checkpoint.dir; on one machine, where it is unset, a new one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="meterlake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
