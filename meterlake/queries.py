@@ -154,7 +154,7 @@ query("team_week_per_prompt", f"SELECT user_email, round(sum(charged_cents) / co
 query("team_fit_windows", f"SELECT model, CAST(CASE WHEN a >= 100 THEN 7 WHEN b >= 100 THEN 14 ELSE 30 END AS INTEGER) AS days, CASE WHEN a >= 100 THEN a WHEN b >= 100 THEN b ELSE n END n FROM (SELECT model, count(*) FILTER (day >= {DAY} - 7) a, count(*) FILTER (day >= {DAY} - 14) b, count(*) n FROM ({T}) WHERE charged_cents > 0 AND day >= {DAY} - 30 AND day < {DAY} GROUP BY 1)")(lambda s, d: team.fit_windows(team_events(s, d), AS_OF))
 query("team_family_moments", f"SELECT {_FAMILY} AS family, ends_with(model, '-fast') AS fast, count(*) n, round(sum(input_tokens / 1e6), 6) x0, round(sum(output_tokens / 1e6), 6) x1, round(sum(input_tokens / 1e6 * (output_tokens / 1e6)), 6) xx01 FROM ({T}) WHERE charged_cents > 0 GROUP BY 1, 2")(lambda s, d: team.family_moments(team.moments(team_events(s, d))).select("family", "fast", "n", *[F.round(c, 6).alias(c) for c in ("x0", "x1", "xx01")]))
 query("team_charge_split")(lambda s, d: team.charge_split(team.between(team_events(s, d), _START, _END), team.rates(team_events(s, d), AS_OF), "user_email"))
-query("team_fast_what_if")(lambda s, d: team.fast_what_if(team.between(team_events(s, d), _START, _END), team.rates(team_events(s, d), AS_OF), "user_email"))
+query("team_fast_what_if")(lambda s, d: team.fast_what_if(team.between(views.view(s, d, views.FAST_DEARER), _START, _END), team.rates(views.view(s, d, views.FAST_DEARER), AS_OF)))
 query("team_free_periods", f"WITH e AS (SELECT *, {_FAMILY} AS family FROM ({views.FREE_START})), l AS (SELECT family, max(ts) last_free FROM e WHERE kind = 'Free' GROUP BY 1) SELECT family, last_free FROM e JOIN l USING (family) GROUP BY 1, 2 HAVING count(*) FILTER (ts > last_free AND charged_cents > 0) > 0 AND count(*) FILTER (kind = 'Free' AND ts <= last_free) >= 50 AND count(*) FILTER (kind = 'Free' AND ts <= last_free) >= 0.8 * count(*) FILTER (ts <= last_free)")(lambda s, d: team.free_periods(views.view(s, d, views.FREE_START)))
 _VERSION = "list_transform(string_split(regexp_extract(family, '[0-9]+([.][0-9]+)*'), '.'), lambda x: CAST(x AS INTEGER))"
 query("team_newest_families", f"WITH e AS (SELECT {_FAMILY} AS family, count(*) n FROM ({views.TEAM_VERSIONS}) WHERE day >= {DAY} - 14 AND day < {DAY} GROUP BY 1), v AS (SELECT *, {_VERSION} v, trim(replace(regexp_replace(family, '-?[0-9]+([.][0-9]+)*', ''), '--', '-'), '-') stem FROM e), b AS (SELECT stem, arg_max(family, v) newest, max(v) top FROM v WHERE n >= 20 GROUP BY 1) SELECT family, newest FROM v JOIN b USING (stem) WHERE v < top")(lambda s, d: team.newest_families(views.view(s, d, views.TEAM_VERSIONS), AS_OF))

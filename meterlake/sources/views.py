@@ -50,6 +50,8 @@ TEAM = f"""SELECT event_id AS id, ts, CAST(ts AS DATE) AS day, concat('u', CAST(
 
 #: Team events of which all uses up to the tenth were free.
 FREE_START = TEAM.replace("CASE WHEN event_id % 13 = 0 THEN 'Free'", "CASE WHEN CAST(ts AS DATE) <= DATE '2024-01-10' AND event_id % 3 = 1 THEN 'Free'").replace("CASE WHEN event_id % 13 = 0 THEN 0.0", "CASE WHEN CAST(ts AS DATE) <= DATE '2024-01-10' AND event_id % 3 = 1 THEN 0.0")
+#: Team events of which the fast ones cost three times as much.
+FAST_DEARER = TEAM.replace("ELSE value END AS charged_cents", "ELSE value * CASE WHEN event_id % 4 = 1 THEN 3 ELSE 1 END END AS charged_cents")
 #: Team events with several versions of a family.
 TEAM_VERSIONS = TEAM.replace("gemini-3.1-pro", "claude-4.10-opus")
 

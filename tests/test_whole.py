@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from meterlake.operators import reports, scan
+from meterlake.operators import reports, scan, team
 from meterlake.queries import QUERIES
 
 
@@ -89,3 +89,19 @@ def test_tags_of_other_types(spark):
     df = spark.createDataFrame([("gpt-5.4-mini", 10**6, 0, 0, 0, t) for t in tags], row)
     assert [tuple(r) for r in reports.tag_rollup(df).collect()] == [("k", "a", 1.5, 2)]
     assert tuple(reports.tag_totals(df).first()) == (3.0, 4)
+
+
+def test_charges_by_type(spark):
+    """A fitted model, one without a fit (relative weights), and a charge without tokens."""
+    rows = [("a-fast", 300.0, 10**6, 10**6, 0, 0), ("b", 250.0, 10**6, 0, 0, 10**7), ("b", 7.0, 0, 0, 0, 0), ("b", 0.0, 5, 5, 5, 5)]
+    events = spark.createDataFrame(rows, "model string, charged_cents double, input_tokens long, output_tokens long, cache_write_tokens long, cache_read_tokens long")
+    fitted = spark.createDataFrame([("a-fast", [1.0, 2.0, 0.0, 0.0]), ("b", None), ("a", [0.5, 0.5, 0.0, 0.0])], "model string, r array<double>")
+    got = {r["type"]: (r["tokens"], r["dollars"]) for r in team.charge_split(events, fitted).collect()}
+    assert got == {"input_tokens": (2 * 10**6, 2.25), "output_tokens": (10**6, 2.0), "cache_write_tokens": (0, 0.0), "cache_read_tokens": (10**7, 1.25), "other": (0, 0.07)}
+    assert [tuple(r) for r in team.fast_what_if(events, fitted).collect()] == [(3.0, 1.0, 2.0)]
+
+
+def test_versions(spark):
+    df = spark.createDataFrame([("claude-opus-5-5",), ("claude-4.6-opus",), ("gpt-5.4-nano",), ("auto",), ("5.4",)], "f string")
+    got = [(r[0], r[1]) for r in df.select(*team.version(F.col("f"))).collect()]
+    assert got == [("claude-opus", [5, 5]), ("claude-opus", [4, 6]), ("gpt-nano", [5, 4]), (None, None), (None, None)]
