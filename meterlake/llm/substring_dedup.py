@@ -39,6 +39,9 @@ WINDOW, PERIOD = 50, 31
 #: A perfect difference set: each non-zero residue is one difference of two members.
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
+#: Bits of an anchor's hash.  Anchors only nominate windows, so an accidental meeting costs an extension and no word;
+#: shorter hashes make both exchanges of anchors smaller.
+ANCHOR_BITS = 48
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -68,6 +71,7 @@ def anchors(texts: DataFrame) -> DataFrame:
             at = _positions(w)
             pick = np.flatnonzero((w.left() >= ANCHOR) & _IN_COVER[at % PERIOD] & (np.repeat(w.count, w.count) >= WINDOW))
             h = tk.window_hashes(tk.word_hashes(w), ANCHOR)[pick] if len(pick) else np.zeros(0, np.uint64)
+            h = h >> np.uint64(64 - ANCHOR_BITS)
             doc = b.column("doc").to_numpy()[w.text_of()[pick]]
             yield pa.RecordBatch.from_arrays([tk.signed(h), pa.array(doc, pa.int64()), pa.array(at[pick], pa.int32())], ["h", "doc", "at"])
 
