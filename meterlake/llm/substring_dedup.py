@@ -7,12 +7,12 @@ both lie on cover positions, so two equal runs of `WINDOW` words share an aligne
 positions are hashed and shuffled: |cover| in PERIOD of all positions.
 
 Anchors that stand in two different texts are extended: windows of `WINDOW` words that hold such an
-anchor are hashed (128 bits), and a window whose words also start in a text of a smaller id is
+anchor are hashed (96 bits), and a window whose words also start in a text of a smaller id is
 removed.  Whole-text copies are one class; only the smallest of a class is anchored.
 
 What decides are how often an anchor stands, and the least document of a window: aggregates with partial
-sums, so that a passage in a third of all texts is one row a task, joined back by a join that adaptive
-execution can split.  (An anchor that one text alone repeats is extended in vain; windows decide.)  Texts are
+sums, so that a passage in a third of all texts is one row a task, joined back by a join whose frequent keys
+are dealt over many tasks (`joined`).  (An anchor that one text alone repeats is extended in vain; windows decide.)  Texts are
 shuffled once, by document; anchor generation, extension and the final cutting read that same exchange.
 What moves besides are anchors and windows, as numbers.
 
@@ -42,6 +42,8 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Bits of an anchor's hash.  Anchors only nominate windows, so an accidental meeting costs an extension and no word;
 #: shorter hashes make both exchanges of anchors smaller.
 ANCHOR_BITS = 48
+#: A key is hot that stands more than once in `HOT` words of the corpus; its rows are dealt over `SALTS` parts.
+HOT, SALTS = 4096, 64
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -95,12 +97,25 @@ def windows(texts: DataFrame) -> DataFrame:
             np.add.at(mark, low, 1)
             np.add.at(mark, anchor + 1, -1)
             pick = np.flatnonzero((np.cumsum(mark)[:n] > 0) & (w.left() >= WINDOW))
-            h = [tk.signed(tk.window_hashes(tk.word_hashes(w, k), WINDOW, k)[pick] if len(pick) else np.zeros(0, np.uint64)) for k in (0, 1)]
+            h = [tk.window_hashes(tk.word_hashes(w, k), WINDOW, k)[pick] if len(pick) else np.zeros(0, np.uint64) for k in (0, 1)]
+            half = pa.array((h[1] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             doc = b.column("doc").to_numpy()[text[pick]]
             at = _positions(w)[pick]
-            yield pa.RecordBatch.from_arrays([*h, pa.array(doc, pa.int64()), pa.array(at, pa.int32())], ["h1", "h2", "doc", "at"])
+            yield pa.RecordBatch.from_arrays([tk.signed(h[0]), half, pa.array(doc, pa.int64()), pa.array(at, pa.int32())], ["h1", "h2", "doc", "at"])
 
-    return texts.mapInArrow(run, "h1 long, h2 long, doc long, at int")
+    return texts.mapInArrow(run, "h1 long, h2 int, doc long, at int")
+
+
+def joined(rows: DataFrame, found: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows``, at most ``total``, with the columns of ``found``, which has one row a key and how many ``times`` the key
+    stands in ``rows``.  A key that stands over total / `HOT` times is hot: fewer than `HOT` keys are, so their broadcast
+    is bounded.  Rows of a hot key are dealt by document over `SALTS` parts, each with a copy of the key's row."""
+    hot = F.col("times") * HOT > total
+    marks = F.broadcast(found.filter(hot).select(*keys, F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = found.withColumn("salt", F.explode(salts)).drop("times")
+    return rows.join(marks, keys, "left").withColumn("salt", salt).drop("hot").join(copies, [*keys, "salt"]).drop("salt")
 
 
 def _covered(n: int, places: np.ndarray) -> np.ndarray:
@@ -144,11 +159,13 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     own = given.repartition(parts, "doc").join(copies, "doc", "left_anti")
 
     every = anchors(own)
-    shared = every.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h")
-    places = every.join(shared, "h").groupBy("doc").agg(F.collect_list("at").alias("places"))
+    total = seq.agg(F.sum("n")).first()[0] or 0
+    shared = every.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1")
+    places = joined(every, shared, ["h"], total).groupBy("doc").agg(F.collect_list("at").alias("places"))
     held = windows(own.join(places, "doc"))
-    first = held.groupBy("h1", "h2").agg(F.min("doc").alias("lo"))
-    gone = held.join(first, ["h1", "h2"]).filter("lo < doc")
+    several = held.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("times"))
+    first = several.filter("lo < hi").drop("hi")
+    gone = joined(held, first, ["h1", "h2"], total).filter("lo < doc")
     gone = gone.groupBy("doc").agg(F.collect_list("at").alias("places"))
     kept = trimmed(own.join(gone, "doc", "left").select("doc", "text", "places"))
     whole = seq.join(copies, "doc", "left_semi").select("doc", F.col("n").alias("n_words"), F.col("n").alias("n_removed"), F.lit("").alias("kept"))
