@@ -10,9 +10,10 @@ Anchors that stand in two different texts are extended: windows of `WINDOW` word
 anchor are hashed (96 bits), and a window whose words also start in a text of a smaller id is
 removed.  Whole-text copies are one class; only the smallest of a class is anchored.
 
-What decides are how often an anchor stands, and the least document of a window: aggregates with partial
-sums, so that a passage in a third of all texts is one row a task, joined back by a join whose frequent keys
-are dealt over many tasks (`joined`).  (An anchor that one text alone repeats is extended in vain; windows decide.)  Texts are
+What decides are how often an anchor stands, and the least document of a window.  Both are found where the rows of
+a key meet, so anchors and windows move once each.  Keys of more than one in `HOT` of the rows are told beforehand by
+Spark's sketch of frequent items, `HOT` at most: their rows are dealt over many tasks, and a passage in a third of all
+texts gathers nowhere.  (An anchor that one text alone repeats is extended in vain; windows decide.)  Texts are
 shuffled once, by document; anchor generation, extension and the final cutting read that same exchange.
 What moves besides are anchors and windows, as numbers.
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -42,7 +43,7 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Bits of an anchor's hash.  Anchors only nominate windows, so an accidental meeting costs an extension and no word;
 #: shorter hashes make both exchanges of anchors smaller.
 ANCHOR_BITS = 48
-#: A key is hot that stands more than once in `HOT` words of the corpus; its rows are dealt over `SALTS` parts.
+#: A key is hot that makes up more than one in `HOT` of the rows; the rows of hot keys are dealt over `SALTS` parts.
 HOT, SALTS = 4096, 64
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
@@ -106,16 +107,33 @@ def windows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h1 long, h2 int, doc long, at int")
 
 
-def joined(rows: DataFrame, found: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """``rows``, at most ``total``, with the columns of ``found``, which has one row a key and how many ``times`` the key
-    stands in ``rows``.  A key that stands over total / `HOT` times is hot: fewer than `HOT` keys are, so their broadcast
-    is bounded.  Rows of a hot key are dealt by document over `SALTS` parts, each with a copy of the key's row."""
-    hot = F.col("times") * HOT > total
-    marks = F.broadcast(found.filter(hot).select(*keys, F.lit(True).alias("hot")))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int")
-    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copies = found.withColumn("salt", F.explode(salts)).drop("times")
-    return rows.join(marks, keys, "left").withColumn("salt", salt).drop("hot").join(copies, [*keys, "salt"]).drop("salt")
+def frequent(rows: DataFrame, key: str) -> DataFrame:
+    """(key,): `HOT` values of ``key`` at most, by Spark's sketch of frequent items; all that make up more than one
+    in `HOT` of the rows are among them, so a broadcast of them is bounded."""
+    return rows.freqItems([key], 1 / HOT).select(F.explode(f"{key}_freqItems").alias(key))
+
+
+def shared_anchors(every: DataFrame) -> DataFrame:
+    """(doc, at) of the anchors (h, doc, at) that stand more than once.  Frequent ones are dealt over `SALTS` parts by document
+    and taken as shared."""
+    hot = F.broadcast(frequent(every, "h").withColumn("hot", F.lit(True)))
+    dealt = every.join(hot, "h", "left").select("h", "doc", "at", _salt(F.col("hot")))
+    times = F.count("*").over(Window.partitionBy("h", "salt"))
+    return dealt.withColumn("times", times).filter("salt is not null or times > 1").select("doc", "at")
+
+
+def repeated_windows(held: DataFrame) -> DataFrame:
+    """(doc, at) of the windows (h1, h2, doc, at) that stand in a smaller document too.  The least document of a frequent window
+    is an aggregate with partial results; its rows are dealt over `SALTS` parts by document."""
+    hot = held.join(F.broadcast(frequent(held, "h1")), "h1").groupBy("h1", "h2").agg(F.min("doc").alias("lo"))
+    dealt = held.join(F.broadcast(hot), ["h1", "h2"], "left").filter("lo is null or lo < doc")
+    dealt = dealt.select("h1", "h2", "doc", "at", _salt(F.col("lo").isNotNull()))
+    lo = F.min("doc").over(Window.partitionBy("h1", "h2", "salt"))
+    return dealt.withColumn("lo", lo).filter("salt is not null or lo < doc").select("doc", "at")
+
+
+def _salt(hot: Column) -> Column:
+    return F.when(hot, F.pmod(F.xxhash64("doc"), F.lit(SALTS))).cast("int").alias("salt")
 
 
 def _covered(n: int, places: np.ndarray) -> np.ndarray:
@@ -158,15 +176,9 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = given.repartition(parts, "doc").join(copies, "doc", "left_anti")
 
-    every = anchors(own)
-    total = seq.agg(F.sum("n")).first()[0] or 0
-    shared = every.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1")
-    places = joined(every, shared, ["h"], total).groupBy("doc").agg(F.collect_list("at").alias("places"))
+    places = shared_anchors(anchors(own)).groupBy("doc").agg(F.collect_list("at").alias("places"))
     held = windows(own.join(places, "doc"))
-    several = held.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("times"))
-    first = several.filter("lo < hi").drop("hi")
-    gone = joined(held, first, ["h1", "h2"], total).filter("lo < doc")
-    gone = gone.groupBy("doc").agg(F.collect_list("at").alias("places"))
+    gone = repeated_windows(held).groupBy("doc").agg(F.collect_list("at").alias("places"))
     kept = trimmed(own.join(gone, "doc", "left").select("doc", "text", "places"))
     whole = seq.join(copies, "doc", "left_semi").select("doc", F.col("n").alias("n_words"), F.col("n").alias("n_removed"), F.lit("").alias("kept"))
     apart = trimmed(unnamed.select("doc", "text", F.lit(None).cast("array<int>").alias("places")))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from meterlake.llm import jaccard_join, license_scan, near_vectors, packing, pii, secret_scan
+from meterlake.llm import jaccard_join, license_scan, near_vectors, packing, pii, secret_scan, substring_dedup
 from tests.llm import brute
 
 
@@ -102,3 +102,21 @@ def test_merging_ends(spark, monkeypatch, size, least, most):
     got = packing.pack(spark.range(300).withColumnRenamed("id", "doc_id"), "").collect()
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == 300
     assert least <= len({r["sequence_id"] for r in got}) <= most
+
+
+@pytest.mark.parametrize("hot", [2, 64, 4096])
+def test_frequent_passages_beside_rare_ones(spark, monkeypatch, hot):
+    """One passage in half of all documents, some in two, one repeated inside a text: no key, some keys or all keys are hot."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    r = np.random.default_rng(hot)
+    words = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    often, rare = words(53), [words(r.integers(48, 70)) for _ in range(12)]
+    rows = []
+    for i in range(200):
+        parts = [words(r.integers(0, 40)), often if i % 2 else [], words(r.integers(0, 40)), rare[i // 8] if i % 8 < 2 and i < 96 else [], words(5)]
+        rows.append((1000 - i, " ".join(sum(parts, []))))
+    rows.append((7, " ".join(words(55) * 3)))
+    got = {x["doc_id"]: x["kept"] for x in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.op10_kept(rows)
+    assert {d: got[d] for d, x in want.items() if x is not None} == {d: x for d, x in want.items() if x is not None}
+    assert len(got) == len(rows)
