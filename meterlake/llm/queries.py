@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, license_scan, near_vectors, packing, pii, quality_rules, secret_scan, substring_dedup, url_filter
+from . import bpe, exponion, jaccard_join, license_scan, near_vectors, packing, pii, prefix_trie, quality_rules, secret_scan, source_mix, substring_dedup, url_filter
 from .common import documents, prepare
 
 
@@ -66,9 +66,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.report(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(documents(spark, sf_dir))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe_chunk_reuse, op2_pii_spans, op3_license_scan, op4_sum_of_squares_packing, op5_url_reputation,
     op6_vector_near_dups, op7_quality_rules, op8_jaccard_join, op9_secret_ledger, op10_substring_dedup,
+    op11_exponion, op12_source_mix, op13_prefix_trie,
 )}
 
 _SPLIT = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -1,9 +1,11 @@
 """Plain versions of the numbered queries, for small tables: dict of doc_id to the contract's columns."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -180,3 +182,74 @@ def op10(docs):
 def op10_kept(docs):
     """Texts that lost words; None for the others."""
     return {d: kept if gone else None for d, _, gone, kept in _without_repeats(docs)}
+
+
+def op11(rows, k=16, rounds=3):
+    """rows: (vec_id, components)."""
+    kept = [(i, [math.floor(64 * float(c)) for c in v]) for i, v in rows if v is not None and len(v) == 64 and all(c is not None and math.isfinite(c) for c in v)]
+    cent = [v for _, v in sorted(kept, key=lambda r: (sha(f"1:{'' if r[0] is None else r[0]}"), r[1]))[:k]]
+
+    def near(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(cent))
+
+    for _ in range(rounds):
+        own = defaultdict(list)
+        for _, v in kept:
+            own[near(v)[1]].append(v)
+        for j, vs in own.items():
+            cent[j] = [sum(x) // len(vs) for x in zip(*vs, strict=True)]
+    got = [(i, *near(v)) for i, v in kept]
+    by = Counter()
+    for _, d, j in got:
+        by[j] += d
+    marks = [sha(",".join(map(str, c))) for c in cent]
+    return sorted(((i, j, d, by[j], sum(by.values()), marks[j]) for i, d, j in got), key=str)
+
+
+def op12_targets(rows):
+    """rows: (doc_id, text, source); target of each source by repeated resharing, in exact fractions."""
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, free, left = {}, set(names), Fraction(3 * sum(size.values()), 2)
+    while free:
+        total = sum(weight[s] for s in free)
+        share = {s: left * weight[s] / total for s in free}
+        above = {s for s in free if share[s] > 2 * size[s]}
+        if not above:
+            target |= share
+            break
+        for s in above:
+            target[s] = Fraction(2 * size[s])
+            left -= 2 * size[s]
+        free -= above
+    return {s: (size[s], target[s]) for s in names}
+
+
+def op13(rows):
+    """rows: (conv_id, turn, role, text)."""
+    convs = defaultdict(list)
+    for c, n, r, t in rows:
+        if c is not None:
+            convs[c].append((n is not None, n or 0, r or "", t or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in convs.items()}
+    full = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - int(math.fmod(c, 100))
+        full[c] = tuple(own.get(base, [])[:h] + v[h:])
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, v in full.items():
+        for d in range(len(v) + 1):
+            members[v[:d]].append(c)
+        ends[v].append(c)
+    kids = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, m in members.items():
+        cost = (len(m) - 1) * len(p[-1][1]) if p else 0
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not kids[p]
+            saved[p[:d]] += cost
+    return sorted(((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), kids[p], leaves[p], saved[p], sha(",".join(map(str, sorted(ends[p]))))) for p, m in members.items()), key=str)
