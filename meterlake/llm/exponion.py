@@ -138,11 +138,24 @@ def _pass(vectors: DataFrame, search: Search, last: bool) -> DataFrame:
 
 def means(assigned: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """Each centroid's mean, rounded down; one without vectors stays."""
-    dims = centroids.shape[1]
-    sums = assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.array(*(F.sum(F.col("x")[i]) for i in range(dims))).alias("s")).collect()
+    k, dims = centroids.shape
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = np.zeros(k, np.int64), np.zeros((k, dims), np.int64)
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            a = b.column("cluster").to_numpy()
+            for j in np.unique(a):
+                n[j] += (a == j).sum()
+                s[j] += x[a == j].sum(0, dtype=np.int64)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some]), pa.array(s[some].tolist(), pa.list_(pa.int64()))], ["cluster", "n", "s"])
+
+    own = assigned.select("x", "cluster").mapInArrow(summed, "cluster int, n long, s array<long>")
+    each = own.select("cluster", "n", F.posexplode("s").alias("at", "s")).groupBy("cluster", "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     out = centroids.copy()
-    for r in sums:
-        out[r["cluster"]] = np.array(r["s"], np.int64) // r["n"]
+    for r in each.collect():  # k x dims
+        out[r["cluster"], r["at"]] = r["s"] // r["n"]
     return out
 
 

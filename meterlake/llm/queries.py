@@ -104,3 +104,51 @@ ORACLES: dict[str, str] = {
  k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) kept, count(*) n FROM a ANTI JOIN x USING (doc_id, p) GROUP BY 1)
  SELECT doc_id, len(ws) n_words, len(ws) - coalesce(n, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
 }
+
+
+def _kmeans_sql(rounds: int = 3) -> str:
+    """Assignments and means, written out round by round."""
+    near = "SELECT r, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), k := k)) m FROM e, {} c GROUP BY r"
+    out = [
+        "WITH e AS MATERIALIZED (SELECT row_number() OVER () r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 k, v FROM (SELECT sha256('1:' || vec_id) h, v FROM e ORDER BY h, v LIMIT 16))",
+    ]
+    for i in range(rounds):
+        out.append(f"a{i} AS MATERIALIZED ({near.format(f'c{i}')})")
+        out.append(f"u{i} AS (SELECT k, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY p) v FROM (SELECT m.k k, p, sum(v[p]) s, count(*) n FROM a{i} JOIN e USING (r), range(1, 65) t(p) GROUP BY 1, 2) GROUP BY 1)")
+        out.append(f"c{i + 1} AS MATERIALIZED (SELECT k, coalesce(u{i}.v, c{i}.v) v FROM c{i} LEFT JOIN u{i} USING (k))")
+    out.append(f"a AS MATERIALIZED ({near.format(f'c{rounds}')})")
+    return ", ".join(out) + f" SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) inertia, sha256(array_to_string(c.v, ',')) centroid_sha256 FROM a JOIN e USING (r) JOIN c{rounds} c ON c.k = m.k"
+
+
+_BLOCK, _BEFORE = source_mix.BLOCK, "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c) + 1), lambda i: CAST(ascii(c[i]) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295)"
+
+ORACLES |= {
+    "op11_exponion": _kmeans_sql(),
+    "op12_source_mix": f"""WITH d AS (SELECT row_number() OVER () r, doc_id, source, CAST(len({_SPLIT.format("text")}) AS BIGINT) AS size FROM documents),
+ s0 AS (SELECT source, CAST(sum(size) AS BIGINT) source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY 1),
+ s1 AS (SELECT *, 2 * source_size most, [5, 2, 1][rank % 3 + 1] weight FROM s0),
+ s2 AS (SELECT *, 150 * sum(source_size) OVER () - 100 * coalesce(sum(most) OVER w, 0) AS hundredths, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS rest FROM s1 WINDOW w AS (ORDER BY most * (10 // weight), rank {_BEFORE})),
+ s3 AS (SELECT *, hundredths * weight >= most * 100 * rest AS full_up FROM s2),
+ s4 AS (SELECT * FROM s3 WHERE NOT full_up ORDER BY most * (10 // weight), rank LIMIT 1),
+ s5 AS (SELECT s3.source, s3.rank, s3.source_size, CASE WHEN s3.full_up THEN CAST(s3.most AS DOUBLE) ELSE CAST(s4.hundredths * s3.weight AS DOUBLE) / CAST(100 * s4.rest AS DOUBLE) END AS target FROM s3 LEFT JOIN s4 ON true),
+ s6 AS (SELECT *, CAST(round(target) AS BIGINT) AS words, CAST(round(target) AS BIGINT) // {_BLOCK} + CASE WHEN CAST(round(target) AS BIGINT) % {_BLOCK} > 0 THEN 1 ELSE 0 END AS blocks FROM s5),
+ s AS MATERIALIZED (SELECT *, CAST(coalesce(sum(blocks) OVER (ORDER BY rank {_BEFORE}), 0) AS BIGINT) AS first, CAST(sum(blocks) OVER () AS BIGINT) AS total FROM s6),
+ l AS (SELECT rank, blocks, slot, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS k FROM (SELECT CAST(slot AS BIGINT) AS slot FROM (SELECT unnest(range((SELECT max(total) FROM s))) AS slot)) x JOIN s ON (slot % {source_mix.POINTS} * {source_mix.STEP} % {source_mix.POINTS}) * total // {source_mix.POINTS} >= first AND (slot % {source_mix.POINTS} * {source_mix.STEP} % {source_mix.POINTS}) * total // {source_mix.POINTS} < first + blocks),
+ o AS (SELECT d.r, doc_id, size, source_size, target, rank, words, first, total, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY CAST('0x' || left(md5('{source_mix.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), 15) AS BIGINT), doc_id, size {_BEFORE}), 0) AS pos FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+ g AS (SELECT *, CAST(pos + e * source_size AS BIGINT) AS a, CAST(least(pos + e * source_size + size, words) AS BIGINT) AS b FROM o, range(2) t(e)),
+ p AS (SELECT *, unnest(range(a // {_BLOCK}, (b - 1) // {_BLOCK} + 1)) AS k FROM g WHERE b > a),
+ q AS (SELECT p.r, CAST(sum(least(b, (k + 1) * {_BLOCK}) - greatest(a, k * {_BLOCK})) AS BIGINT) AS taken, min(coalesce(slot, total + first + k)) AS first_slot FROM p LEFT JOIN (SELECT * FROM l WHERE k < blocks) l USING (rank, k) GROUP BY 1)
+ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot FROM o LEFT JOIN q USING (r)""",
+    "op13_prefix_trie": f"""WITH t AS (SELECT conv_id, coalesce(role, '') r, coalesce(text, '') x, turn FROM conversations WHERE conv_id IS NOT NULL),
+ o AS MATERIALIZED (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY turn NULLS FIRST, r, x) l FROM t GROUP BY 1),
+ h AS (SELECT conv_id, l, conv_id - conv_id % 100 base, {_CRC} % 6 h FROM (SELECT *, CAST(conv_id AS VARCHAR) c FROM o)),
+ f AS (SELECT h.conv_id, coalesce(b.l[1:h], []) || h.l[h + 1:] f FROM h LEFT JOIN o b ON b.conv_id = base),
+ p AS (SELECT conv_id, f, unnest(range(0, len(f) + 1)) AS depth FROM f),
+ n AS MATERIALIZED (SELECT f[1:depth] pre, depth, CASE WHEN depth > 0 THEN length(any_value(f[depth].x)) ELSE 0 END size, min(conv_id) conv_id, count(*) n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len(f)), '')) ends FROM p GROUP BY 1, 2),
+ k AS (SELECT pre[1:depth - 1] pre, count(*) n_children FROM n WHERE depth > 0 GROUP BY 1),
+ m AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) n_children FROM n LEFT JOIN k USING (pre)),
+ s AS (SELECT pre[1:j] pre, CAST(sum((n - 1) * size) AS BIGINT) saved, count(*) FILTER (n_children = 0) leaves FROM (SELECT *, unnest(range(0, depth + 1)) j FROM m) GROUP BY 1)
+ SELECT m.conv_id, m.depth, u.conv_id parent_conv_id, m.n n_convs, m.n_children, leaves n_leaves, saved saved_tokens, m.ends ends_sha256 FROM m JOIN s USING (pre) LEFT JOIN n u ON m.depth > 0 AND u.pre = m.pre[1:m.depth - 1]""",
+}
