@@ -1,0 +1,95 @@
+"""Registered queries of decisions, actions, audit, rule packs and tool lists, beside those of `queries`."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meterlake.operators import actions
+from meterlake.plans.ratecard import priced
+from meterlake.queries import _CARD, _priced, ORACLES, QUERIES, query
+from meterlake.sources import views
+from meterlake.streaming import decisions
+
+__all__ = ["ORACLES", "QUERIES"]
+
+#: Calls of owners, with what they ask, what they do and how they pay; a few were found to hold secrets.
+CALLS = views.REQUESTS.replace("SELECT event_id AS id", """SELECT event_id AS id, concat('u', CAST(user_id % 60 AS VARCHAR(20))) AS owner,
+ CASE WHEN event_id % 17 = 0 THEN NULL ELSE concat(event_type, CAST(user_id % 3 AS VARCHAR(20))) END AS request,
+ CASE WHEN event_id % 4 = 0 THEN concat('a', CAST(event_id % 8 AS VARCHAR(20))) END AS action, event_id % 9 <> 0 AS metered,
+ CASE WHEN event_id % 101 = 0 THEN 'secret_detected' END AS violation""", 1)
+LIMITS = decisions.Limits(month=5.0, day=0.4, hour=0.15, session=2.5, span=21_600, repeats=2, spiral=0.3, spiral_enforce=True, actions=2, actions_enforce=True)
+CHEAPER = decisions.Limits(month=3.0, day=0.3, span=21_600, repeats=3, fallback=True, enforce_on_plan=True)
+RESUMED = "2024-01-15 12:00:00"
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priced(views.view(spark, sf_dir, CALLS))
+
+
+def arriving(facts: DataFrame) -> DataFrame:
+    """A call beyond its budget goes on at a fifth of its cost, where a cheaper model is allowed."""
+    return decisions.arrivals(facts, F.col("owner"), F.col("request"), F.col("action"), F.col("metered"), F.expr("nano div 5"), F.col("violation"))
+
+
+def _decided(limits: decisions.Limits, resumed: bool = False) -> str:
+    """The fold as a recursion over each owner's calls, that keeps the list of what was counted."""
+    entry = "STRUCT(t BIGINT, d BIGINT, m BIGINT, c BIGINT, s VARCHAR, r VARCHAR, a VARCHAR)"
+    nano = decisions.NANO
+    total = lambda where: f"coalesce(list_sum(list_transform(list_filter(h, lambda e: {where}), lambda e: e.c)), 0)"
+    over = lambda x, name: f"({getattr(limits, name) > 0} AND {x} >= {round(getattr(limits, name) * nano)})"
+    pays = f"(metered OR {limits.enforce_on_plan})"
+    since = f"WHERE ts > TIMESTAMP '{RESUMED}'" if resumed else ""
+    own = f"(SELECT owner, sum(nano) FILTER (day = DATE '{RESUMED[:10]}') ds, sum(nano) ms FROM p WHERE ts <= TIMESTAMP '{RESUMED}' AND day >= DATE '{RESUMED[:8]}01' GROUP BY 1)"
+    stored = f"CAST([(-9e18::BIGINT, dk, mk, coalesce(ds, 0), NULL, NULL, NULL), (-9e18::BIGINT, -1, mk, coalesce(ms - coalesce(ds, 0), 0), NULL, NULL, NULL)] AS {entry}[])"
+    begin = f"SELECT q.owner, {stored} h FROM (SELECT DISTINCT owner FROM q) q LEFT JOIN {own} o USING (owner), (SELECT epoch_us(TIMESTAMP '{RESUMED}') // 86400000000 dk, CAST({RESUMED[:4]} * 12 + {RESUMED[5:7]} AS BIGINT) mk)" if resumed else f"SELECT DISTINCT owner, CAST([] AS {entry}[]) h FROM q"
+    dollars = "CASE " + " ".join(f"WHEN {pays} AND {over(x, name)} THEN '{reason}'" for x, name, reason in (("ms", "month", "monthly_budget_exceeded"), ("ds", "day", "budget_exceeded"), ("hs", "hour", "hourly_budget_exceeded"))) + " END"
+    return f"""WITH RECURSIVE {_CARD}, f AS ({CALLS}), {_priced('p', 'f')},
+ q AS MATERIALIZED (SELECT owner, id, epoch_us(ts) t, epoch_us(ts) // 86400000000 d, CAST(year(ts) * 12 + month(ts) AS BIGINT) m, nullif(session_id, '') s, request r, action a, metered, http_status >= 200 AND http_status < 300 good, nano, violation, row_number() OVER (PARTITION BY owner ORDER BY ts, id) k FROM p {since}),
+ b AS ({begin}),
+ o AS (SELECT owner, 0::BIGINT k, NULL::BIGINT id, NULL::VARCHAR reason, false fallback, NULL::BIGINT retry_after, NULL::VARCHAR day_status, h FROM b
+ UNION ALL SELECT owner, k, id, reason, cheap IS NOT NULL AND reason IS NULL,
+  CASE reason WHEN 'monthly_budget_exceeded' THEN 86400 - t // 1000000 % 86400 WHEN 'budget_exceeded' THEN 86400 - t // 1000000 % 86400 WHEN 'hourly_budget_exceeded' THEN 3600 WHEN 'loop_detected' THEN greatest(1, {limits.span} - (t - same[1]) // 1000000) WHEN 'action_loop_detected' THEN {limits.span} WHEN 'cost_spiral' THEN {limits.span} END,
+  CASE WHEN {limits.day} <= 0 THEN 'off' WHEN ds >= {round(limits.day * nano)} THEN 'exceeded' WHEN ds * 100 >= {round(limits.day * nano * limits.warn_percent)} THEN 'warn' ELSE 'ok' END,
+  list_concat(CASE WHEN counted THEN list_append(h, CAST((t, d, m, 0, NULL, NULL, a) AS {entry})) ELSE h END, CASE WHEN reason IS NULL THEN CAST([(t, d, m, CASE WHEN cheap IS NULL THEN nano ELSE nano // 5 END, s, CASE WHEN good THEN r END, NULL)] AS {entry}[]) ELSE CAST([] AS {entry}[]) END)
+ FROM (SELECT *, first IS NULL AND r IS NOT NULL AND a IS NOT NULL AND {limits.actions} > 0 AS counted,
+   CASE WHEN first IS NOT NULL THEN first WHEN r IS NOT NULL AND a IS NOT NULL AND {limits.actions_enforce and limits.actions > 0} AND seen + 1 >= {limits.actions} THEN 'action_loop_detected' WHEN {limits.spiral_enforce and limits.spiral > 0} AND ws > {round(limits.spiral * nano)} THEN 'cost_spiral' END AS reason
+  FROM (SELECT *, CASE WHEN violation IS NOT NULL THEN violation WHEN cheap IS NOT NULL AND NOT {limits.fallback} THEN cheap WHEN {pays} AND s IS NOT NULL AND {over('ss', 'session')} THEN 'session_budget_exceeded' WHEN r IS NOT NULL AND len(same) >= {limits.repeats} THEN 'loop_detected' END AS first
+   FROM (SELECT *, CASE WHEN violation IS NULL THEN {dollars} END AS cheap
+    FROM (SELECT q.*, o.h, {total('e.m = q.m')} ms, {total('e.d = q.d')} ds, {total('e.t >= q.t - 3600000000')} hs, {total(f'e.t >= q.t - {limits.span}000000')} ws, {total('e.s = q.s')} ss,
+      list_transform(list_filter(h, lambda e: e.r = q.r AND e.t >= q.t - {limits.span}000000), lambda e: e.t) same, len(list_filter(h, lambda e: e.a = q.a AND e.t >= q.t - {limits.span}000000)) seen FROM o JOIN q ON q.owner = o.owner AND q.k = o.k + 1)))))
+ SELECT owner, id, reason IS NOT NULL AS blocked, reason, fallback, retry_after, day_status FROM o WHERE k > 0"""
+
+
+query("call_decisions", _decided(LIMITS))(lambda s, d: decisions.decide(arriving(calls(s, d)), LIMITS))
+query("call_decisions_cheaper", _decided(CHEAPER))(lambda s, d: decisions.decide(arriving(calls(s, d)), CHEAPER))
+
+
+@query("call_decisions_resumed", _decided(LIMITS, True))
+def call_decisions_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger started anew at noon from what was stored by then."""
+    facts, noon = calls(spark, sf_dir), F.lit(RESUMED).cast("timestamp_ntz")
+    stored = decisions.stored_totals(facts.filter(F.col("ts") <= noon), F.col("owner"), RESUMED[:10])
+    return decisions.decide(arriving(facts.filter(F.col("ts") > noon)), LIMITS, stored)
+
+
+def bodies_of_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, ts, body): transcripts in three shapes, keys in two orders; one in seven ends without a call."""
+    e, n = views.table(spark, sf_dir, "events"), F.col("event_id")
+    path = F.concat(F.lit("p"), (n % 5).cast("string"))
+    mixed = F.concat(F.lit('{"path": "'), path, F.lit('", "opts": {"b": 2, "a": [1, {"y": 0, "x": 1}]}}'))
+    other = F.concat(F.lit('{"opts":{"a":[1,{"x":1,"y":0}],"b":2},"path":"'), path, F.lit('"}'))
+    args = F.when(n % 2 == 0, mixed).otherwise(other)
+    around = lambda before, x, after: F.concat(F.lit(before), x, F.lit(after))
+    body = (
+        F.when(n % 7 == 6, F.lit('{"messages":[{"role":"assistant","content":[{"type":"tool_use","name":"old","input":{}}]},{"role":"assistant","content":[{"type":"text","text":"done"}]}]}'))
+        .when(n % 3 == 0, around('{"messages":[{"role":"user","content":"x"},{"role":"assistant","content":[{"type":"text","text":"hm"},{"type":"tool_use","name":"read","input":', args, "}]}]}"))
+        .when(n % 3 == 1, around('{"messages":[{"role":"assistant","tool_calls":[{"function":{"name":"read","arguments":"', F.replace(args, F.lit('"'), F.lit('\\"')), '"}}]},{"role":"tool","content":"ok"}]}'))
+        .otherwise(around('{"contents":[{"role":"model","parts":[{"functionCall":{"args":', args, ',"name":"read"}}]},{"role":"user","parts":[]}]}'))
+    )
+    return e.select(n.alias("id"), "ts", body.alias("body"))
+
+
+_SIGNED = """SELECT event_id AS id, ts, CASE WHEN event_id % 7 <> 6 THEN sha256('read' || chr(0) || '{"opts":{"a":[1,{"x":1,"y":0}],"b":2},"path":"p' || CAST(event_id % 5 AS VARCHAR) || '"}') END AS signature FROM events"""
+query("action_signatures", f"SELECT id, signature FROM ({_SIGNED})")(lambda s, d: actions.signed(bodies_of_calls(s, d)).select("id", "signature"))
+query("action_repeats", f"SELECT id, signature, n FROM (SELECT *, count(*) OVER (PARTITION BY signature ORDER BY ts RANGE BETWEEN INTERVAL 10800 SECOND PRECEDING AND CURRENT ROW) n FROM ({_SIGNED}) WHERE signature IS NOT NULL) WHERE n >= 10")(lambda s, d: actions.repeats(actions.signed(bodies_of_calls(s, d)), span_s=10_800))

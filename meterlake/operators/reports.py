@@ -165,8 +165,9 @@ def latest(facts: DataFrame) -> DataFrame:
 
 
 def short_label(model: Column) -> Column:
-    """A model's name without bracket tag, date, family prefix; a minor version after a dot."""
-    x = F.regexp_replace(model, r"\[[^\]]*\]$", "")
-    x = F.regexp_replace(x, r"-(20[0-9]{6}|20[0-9]{2}-[0-9]{2}(-[0-9]{2})?)$", "")
-    x = F.regexp_replace(x, r"^(claude|gpt|gemini)-", "")
-    return F.regexp_replace(x, r"-([0-9]+)-([0-9]+)$", "-$1.$2")
+    """A model's name without a date of eight digits and the first family's prefix, a minor version after a dot; a bracketed
+    tag at the end stays, in upper case."""
+    x = F.trim(model)
+    tag = F.upper(F.regexp_extract(x, r"\[[^\[]*\]$", 0))
+    x = F.regexp_replace(F.regexp_replace(x, r"\[[^\[]*\]$", ""), r"-[0-9]{8}$", "")
+    return F.concat(F.regexp_replace(F.regexp_replace(x, "^claude-", ""), r"([0-9])-([0-9]+)$", "$1.$2"), tag)

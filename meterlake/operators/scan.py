@@ -67,12 +67,27 @@ def path_denied(text: Column, paths: list[str]) -> Column:
     return out
 
 
+#: Targets of a removal that are too broad.
+BROAD = ["/", "/*", "~", "~/", ".", "./*", "*", "$home", "$home/"]
+
+
 def destructive(text: Column) -> Column:
-    """A recursive forced removal of a broad target in one shell segment, a disk writer, or a dropped table."""
-    segments = F.split(text, r"[;&|\n\r]")
-    broad = r"\s(/|/\*|~|~/|\$HOME|\.|\*|/(etc|usr|var|home|bin)/?\*?)(\s|$)"
-    removal = F.exists(segments, lambda s: s.rlike(r"(^|\s)rm\s") & s.rlike(r"\s(-[a-zA-Z]*[rR]|--recursive)") & s.rlike(r"\s(-[a-zA-Z]*f|--force)") & (s.rlike(broad) | s.rlike(r"--no-preserve-root|\$\(|`")))
-    return removal | text.rlike(r"(^|\s)(mkfs(\.\w+)?\s|dd\s[^\n]*of=/dev/)") | text.rlike(r"(?i)(^|[^a-z])(drop\s+(table|database)|truncate\s+table)\s")
+    """A recursive forced removal of a broad target in one shell segment, a disk writer, or a dropped table.
+
+    Commands often stand in JSON, so words end at its marks too, but not at slashes."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    mark = r"""[\s"'{}:,();|&]"""
+    word = lambda *w: rf"(^|{mark})({'|'.join(w)})({mark}|$)"
+    flag = lambda c: rf"(^|\s)-(?!-)\S*{c}"
+    broad = word(*(rf"\Q{t}\E" for t in BROAD))
+
+    def removal(s: Column) -> Column:
+        return s.rlike(word("rm")) & s.rlike(flag("r") + "|--recursive") & s.rlike(flag("f") + "|--force") & s.rlike(rf"--no-preserve-root|\$\(|`|{broad}")
+
+    removed = F.contains(low, F.lit("rm")) & F.exists(F.split(low, r"[;&|\n\r]"), removal)
+    disk = low.rlike(rf"(^|{mark})mkfs") | (F.contains(low, F.lit("of=/dev/")) & low.rlike(word("dd"))) | (F.contains(low, F.lit("/dev/")) & low.rlike(r">\s*/dev/(sd|nvme)"))
+    table = low.rlike(r"drop\s+(table|database|schema)|truncate\s+\S")
+    return removed | disk | table
 
 
 def network_mount(text: Column) -> Column:

@@ -40,16 +40,15 @@ def card(spark: SparkSession, overrides: list[tuple] = ()) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, source string, key string, rate_in double, rate_cw double, rate_cr double, rate_out double")
 
 
-def fits(model: Column, key: Column) -> Column:
-    return (model == key) | F.startswith(model, F.concat(key, F.lit("-"))) | F.startswith(model, F.concat(key, F.lit("[")))
-
-
 def resolve(facts: DataFrame, overrides: list[tuple] = (), model: str = "model") -> DataFrame:
     """``facts`` with the four rates of each row's model; null where no entry fits."""
     given = sorted(((k, *(float(r or 0) for r in [*rates, *[0] * 4][:4])) for k, *rates in overrides), key=lambda r: -len(r[0]))
-    hit = F.lit(None).cast("struct<" + ",".join(f"{x}:double" for x in RATES) + ">")
-    for key, *rates in reversed([*given, *CARD]):
-        hit = F.when(fits(F.col(model), F.lit(key)), F.struct(*[F.lit(r).alias(x) for r, x in zip(rates, RATES, strict=True)])).otherwise(hit)
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    when = " ".join(
+        f"WHEN m = {quoted(k)} OR startswith(m, {quoted(k + '-')}) OR startswith(m, {quoted(k + '[')}) THEN named_struct({', '.join(f'{quoted(x)}, {r!r}D' for x, r in zip(RATES, rates, strict=True))})"
+        for k, *rates in [*given, *CARD]
+    )
+    hit = F.expr(f"CASE {when} END".replace("WHEN m =", f"WHEN `{model}` =").replace("startswith(m,", f"startswith(`{model}`,"))
     return facts.withColumn("_r", hit).select(facts["*"], *[F.col(f"_r.{x}").alias(x) for x in RATES])
 
 

@@ -90,7 +90,7 @@ query("dense_days", _with(R, f", d AS (SELECT CAST({DAY} - CAST(i AS INTEGER) AS
 query("month_burndown", _with(R, f"SELECT {_usd('coalesce(sum(nano), 0)')} spent, {_usd('coalesce(sum(nano), 0) / 30 * 31')} projected FROM p WHERE day <= {DAY} AND day >= DATE '2024-01-01'"))(lambda s, d: reports.burndown(requests(s, d), AS_OF))
 query("latest_call", f"SELECT id, ts, provider, model FROM ({R}) WHERE NOT blocked ORDER BY ts DESC, id DESC LIMIT 1")(lambda s, d: reports.latest(requests(s, d)))
 query("model_rates", f"WITH {_CARD}, f AS ({R}), x AS (SELECT m.model, min(ord) ord FROM (SELECT DISTINCT model FROM f) m LEFT JOIN card ON m.model = key OR starts_with(m.model, key || '-') OR starts_with(m.model, key || '[') GROUP BY 1) SELECT model, ri rate_in, rw rate_cw, rr rate_cr, ro rate_out FROM x LEFT JOIN card USING (ord)")(lambda s, d: priced(requests(s, d)).select("model", "rate_in", "rate_cw", "rate_cr", "rate_out").distinct())
-query("model_labels", rf"SELECT DISTINCT model, regexp_replace(regexp_replace(regexp_replace(regexp_replace(model, '\[[^\]]*\]$', ''), '-(20[0-9]{{6}}|20[0-9]{{2}}-[0-9]{{2}}(-[0-9]{{2}})?)$', ''), '^(claude|gpt|gemini)-', ''), '-([0-9]+)-([0-9]+)$', '-\1.\2') AS label FROM ({R})")(lambda s, d: requests(s, d).select("model", reports.short_label(F.col("model")).alias("label")).distinct())
+query("model_labels", rf"SELECT DISTINCT model, CASE WHEN starts_with(x, 'claude-') THEN substr(x, 8) ELSE x END || tag AS label FROM (SELECT model, regexp_replace(regexp_replace(base, '-[0-9]{{8}}$', ''), '([0-9])-([0-9]+)$', '\1.\2') x, tag FROM (SELECT model, CASE WHEN ends_with(model, ']') THEN string_split(model, '[')[1] ELSE model END base, CASE WHEN ends_with(model, ']') THEN '[' || upper(string_split(model, '[')[2]) ELSE '' END tag FROM ({R})))")(lambda s, d: requests(s, d).select("model", reports.short_label(F.col("model")).alias("label")).distinct())
 
 _SINCE = "2024-01-12 08:00:00"
 _IN_APP = "(lower(workspace) = '/w/app' OR starts_with(lower(workspace), '/w/app/'))"

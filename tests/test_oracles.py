@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from meterlake.queries import ORACLES, QUERIES
+from meterlake.guard_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
