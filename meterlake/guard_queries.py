@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.operators import actions
+from meterlake.operators import actions, receipts
 from meterlake.plans.ratecard import priced
-from meterlake.queries import _CARD, _priced, ORACLES, QUERIES, query
+from meterlake.queries import _CARD, _priced, ORACLES, QUERIES, _with, query
 from meterlake.sources import views
 from meterlake.streaming import decisions
 
@@ -93,3 +93,61 @@ def bodies_of_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIGNED = """SELECT event_id AS id, ts, CASE WHEN event_id % 7 <> 6 THEN sha256('read' || chr(0) || '{"opts":{"a":[1,{"x":1,"y":0}],"b":2},"path":"p' || CAST(event_id % 5 AS VARCHAR) || '"}') END AS signature FROM events"""
 query("action_signatures", f"SELECT id, signature FROM ({_SIGNED})")(lambda s, d: actions.signed(bodies_of_calls(s, d)).select("id", "signature"))
 query("action_repeats", f"SELECT id, signature, n FROM (SELECT *, count(*) OVER (PARTITION BY signature ORDER BY ts RANGE BETWEEN INTERVAL 10800 SECOND PRECEDING AND CURRENT ROW) n FROM ({_SIGNED}) WHERE signature IS NOT NULL) WHERE n >= 10")(lambda s, d: actions.repeats(actions.signed(bodies_of_calls(s, d)), span_s=10_800))
+
+
+#: Calls with why they were refused, and security events: both sources of the audit chain.
+AUDITED = views.REQUESTS.replace("SELECT event_id AS id", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'budget_exceeded' ELSE 'loop_detected' END END AS block_reason", 1)
+SECURITY = """SELECT event_id AS id, ts, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'path_blocked' WHEN 1 THEN 'secret_detected' WHEN 2 THEN 'dlp_blocked' WHEN 3 THEN 'mcp_tool_changed' ELSE 'command_blocked' END AS event_type,
+ concat('user ', CAST(user_id AS VARCHAR(20))) AS details, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'mcp' END AS provider, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS model FROM events"""
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return priced(views.view(spark, sf_dir, AUDITED))
+
+
+def security(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.view(spark, sf_dir, SECURITY).filter("id % 4 = 0")
+
+
+def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return receipts.sealed(audited(spark, sf_dir), security(spark, sf_dir))
+
+
+def _content(kind: str, **fields: str) -> str:
+    return f"sha256('{kind}' || " + " || ".join(f"chr(10) || '{k}=' || coalesce(CAST({v} AS VARCHAR), '')" for k, v in fields.items()) + ")"
+
+
+_RECORDS = f"""r AS MATERIALIZED (SELECT ts, 'request' AS source, id AS source_id, CASE WHEN blocked THEN 'block' ELSE 'forward' END AS action, provider, model, block_reason AS detail,
+  {_content('request', id='id', ts='epoch_us(ts)', provider='provider', model='model', blocked='CAST(blocked AS INTEGER)', reason='block_reason', cost='nano', input='input_tokens', cache_write='cache_creation_tokens', cache_read='cache_read_tokens', output='output_tokens', status='http_status')} content_hash FROM p
+ UNION ALL SELECT ts, 'security_event', id, 'security', provider, model, event_type, {_content('security_event', id='id', ts='epoch_us(ts)', type='event_type', details='details', provider='provider', model='model')} FROM ({SECURITY}) WHERE id % 4 = 0),
+ n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ts, source, source_id, content_hash) - 1 AS seq, seq // {receipts.SEGMENT} AS segment FROM r)"""
+_CHAINED = f"""{_RECORDS},
+ g AS MATERIALIZED (SELECT segment, sha256(string_agg(content_hash, chr(10) ORDER BY seq)) digest FROM n GROUP BY 1),
+ z AS (SELECT 0::BIGINT segment, repeat('0', 64) seed UNION ALL SELECT z.segment + 1, sha256(seed || chr(10) || digest) FROM z JOIN g USING (segment)),
+ k AS (SELECT n.*, seed prev_hash, sha256(seed || chr(10) || content_hash) AS hash FROM n JOIN z USING (segment) WHERE seq % {receipts.SEGMENT} = 0
+  UNION ALL SELECT n.*, k.hash, sha256(k.hash || chr(10) || n.content_hash) FROM k JOIN n ON n.seq = k.seq + 1 AND n.segment = k.segment)"""
+
+
+def _audit(body: str, ctes: str = _RECORDS) -> str:
+    return _with(AUDITED, body, f", {ctes}").replace("WITH card", "WITH RECURSIVE card", 1)
+
+
+query("audit_receipts", _audit("SELECT seq, ts, source, source_id, action, provider, model, detail, content_hash FROM n"))(lambda s, d: chained(s, d).select("seq", *receipts.RECORD))
+query("audit_whole_chain", _audit("SELECT seq, segment, content_hash, prev_hash, hash FROM k", _CHAINED))(lambda s, d: chained(s, d).select("seq", "segment", "content_hash", "prev_hash", "hash"))
+query("audit_intact", _audit("SELECT count(*) receipts, CAST(0 AS BIGINT) faults, CAST(NULL AS BIGINT) seq, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS BIGINT) source_id, CAST(NULL AS VARCHAR) reason FROM n"))(lambda s, d: receipts.verdict(chained(s, d), receipts.request_records(audited(s, d)).unionByName(receipts.event_records(security(s, d)))))
+
+
+@query("audit_faults", _audit(f"""SELECT seq, source, source_id, CASE WHEN CASE WHEN seq % {receipts.SEGMENT} = 0 THEN segment > 0 AND (segment - 1) IN (SELECT segment FROM n WHERE seq % 701 = 9) ELSE (seq - 1) % 701 = 9 OR (seq - 1) % 503 = 11 END THEN 'broken link'
+ WHEN source = 'security_event' AND source_id % 499 = 3 THEN 'source missing' WHEN source = 'request' AND source_id % 97 = 5 THEN 'source changed' WHEN seq % 503 = 11 THEN 'hash mismatch' END AS reason FROM n WHERE seq % 701 <> 9 AND reason IS NOT NULL"""))
+def audit_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of a tampered copy: receipts taken out, hashes replaced, calls changed, events deleted."""
+    chain = chained(spark, sf_dir).filter("seq % 701 <> 9").withColumn("hash", F.when(F.col("seq") % 503 == 11, F.sha2(F.lit("forged"), 256)).otherwise(F.col("hash")))
+    changed = audited(spark, sf_dir).withColumn("output_tokens", F.col("output_tokens") + F.when(F.col("id") % 97 == 5, 1).otherwise(0))
+    left = security(spark, sf_dir).filter("id % 499 <> 3")
+    return receipts.faults(chain, receipts.request_records(changed).unionByName(receipts.event_records(left)))
+
+
+_MATRIX = " UNION ALL ".join(f"SELECT '{t}' event_type, '{f}' framework, '{c}' control" for t, own in receipts.CONTROLS.items() for f, c in [*own, *receipts.RECORD_KEEPING])
+_GENERAL = " UNION ALL ".join(f"SELECT '{f}' framework, '{c}' control" for f, c in [*receipts.OTHER, *receipts.RECORD_KEEPING])
+query("control_evidence", _audit(f"SELECT framework, control, count(*) receipts, min(seq) first_seq, max(seq) last_seq FROM (SELECT seq, framework, control FROM n JOIN m ON detail = event_type WHERE action <> 'forward' UNION ALL SELECT seq, framework, control FROM n, ({_GENERAL}) WHERE action <> 'forward' AND detail NOT IN (SELECT event_type FROM m)) GROUP BY 1, 2", f"{_RECORDS}, m AS ({_MATRIX})"))(lambda s, d: receipts.control_evidence(chained(s, d)))
+query("regime_evidence", _audit("SELECT unnest([" + ", ".join(f"'{x}'" for x in receipts.REGIMES) + "]) AS regime, * FROM (SELECT count(*) receipts, count(*) FILTER (action = 'block') blocked, count(*) FILTER (action <> 'block') forwarded, min(seq) first_seq, max(seq) last_seq FROM n)"))(lambda s, d: receipts.regime_evidence(chained(s, d)))
