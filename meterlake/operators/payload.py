@@ -1,7 +1,8 @@
 """Scan of nested request bodies: leaves with the scope in which they stand, then the detectors a leaf's scope asks for.
 
 A body is walked level by level: all containers of a level, of all bodies at once, are exploded by one lateral
-`variant_explode`, and each child's scope follows from its parent's columns.  Of a list of turns only the last
+`variant_explode`, and each child's scope follows from its parent's columns.  Levels are written to the shared
+folder, so plans stay short and nothing stays cached.  Of a list of turns only the last
 actor's is live, and only while nothing but tool results follows.  A body's violation is that of its first leaf
 in order of places, so it is one `min_by` a body.
 """
@@ -10,11 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlake.functions.labels import lower_ascii
 from meterlake.operators import scan
+from meterlake.tables import cut
 
 ARGS, CONTENT, PROSE, HISTORY = "args", "content", "prose", "history"
 
@@ -96,57 +98,101 @@ def leaves(bodies: DataFrame, body: str = "body", key: str = "id") -> DataFrame:
         "id", F.array().cast("array<int>").alias("place"), F.lit(PROSE).alias("scope"), F.lit(None).cast("string").alias("tool"),
         F.lit(None).cast("string").alias("slot"), F.lit(None).cast("int").alias("live"), "v",
     )
-    out = []
+    known, members = "kind in ('OBJECT', 'ARRAY', 'STRING')", _members()
+    kind = F.substring_index(F.schema_of_variant("v"), "<", 1)
     while True:
-        level = level.withColumn("kind", F.substring_index(F.schema_of_variant("v"), "<", 1)).filter("kind in ('OBJECT', 'ARRAY', 'STRING')").persist()
-        out.append(level.filter("kind = 'STRING'").select(F.col("id").alias(key), "place", "scope", "tool", "slot", F.variant_get("v", "$", "string").alias("text")))
-        inner = level.filter("kind <> 'STRING'")
-        if inner.isEmpty():
-            return reduce(DataFrame.unionByName, out)
-        each = spark.sql("SELECT t.*, e.pos, e.key AS k, e.value AS c FROM {t} t, LATERAL variant_explode(t.v) e", t=inner)
-        prose, named = F.col("scope") == PROSE, F.col("k").isNotNull()
-        turns = F.when(prose & F.col("k").isin(TURN_KEYS), F.try_variant_get("c", "$", "array<variant>"))
-        told = F.exists(turns, lambda t: F.variant_get(t, "$.role", "variant").isNotNull() | F.variant_get(t, "$.type", "variant").isNotNull())
-        name = F.coalesce(_text(F.col("v"), "$.name"), _text(F.col("v"), "$.function.name"))
-        args = prose & named & holds_arguments(F.col("k"), F.col("v"))
-        turn = F.col("live").isNotNull()
-        level = each.select(
-            "id", F.concat("place", F.array("pos")).alias("place"),
-            F.when(turn, F.when(F.col("pos") == F.col("live"), PROSE).otherwise(HISTORY)).when(args & ~F.coalesce(told, F.lit(False)), tool_scope(name)).otherwise(F.col("scope")).alias("scope"),
-            F.when(~turn, F.when(args, F.coalesce(name, F.col("tool"))).otherwise(F.col("tool"))).alias("tool"),
-            F.when(~turn, F.coalesce("k", "slot")).alias("slot"), F.when(told, live_turn(turns)).alias("live"), F.col("c").alias("v"),
-        )
+        for _ in range(LEVELS):
+            inner = spark.sql("SELECT t.*, e.pos, e.key AS k, e.value AS c FROM {t} t, LATERAL variant_explode_outer(t.v) e", t=level.withColumn("kind", kind).filter(known))
+            level = inner.filter("kind = 'STRING' or pos is not null").select(*members)  # empty containers have no members
+        level = cut(level.withColumn("kind", kind).filter(known), "level")
+        if level.filter("kind <> 'STRING'").isEmpty():
+            return level.select(F.col("id").alias(key), "place", "scope", "tool", "slot", F.variant_get("v", "$", "string").alias("text"))
+
+
+#: Levels of a body that are opened in one job; deeper ones take further jobs.
+LEVELS = 7
+
+
+def _members() -> list[Column]:
+    """Columns of the members of a level's containers; strings stay as they are.  Made once for all levels."""
+    leaf, prose, named = F.col("kind") == "STRING", F.col("scope") == PROSE, F.col("k").isNotNull()
+    turns = F.when(prose & F.col("k").isin(TURN_KEYS), F.try_variant_get("c", "$", "array<variant>"))
+    told = F.exists(turns, lambda t: F.variant_get(t, "$.role", "variant").isNotNull() | F.variant_get(t, "$.type", "variant").isNotNull())
+    name = F.coalesce(_text(F.col("v"), "$.name"), _text(F.col("v"), "$.function.name"))
+    args = prose & named & holds_arguments(F.col("k"), F.col("v"))
+    turn = F.col("live").isNotNull()
+    return [
+        F.col("id"), F.when(leaf, F.col("place")).otherwise(F.concat("place", F.array("pos"))).alias("place"),
+        F.when(leaf, F.col("scope")).when(turn, F.when(F.col("pos") == F.col("live"), PROSE).otherwise(HISTORY)).when(args & ~F.coalesce(told, F.lit(False)), tool_scope(name)).otherwise(F.col("scope")).alias("scope"),
+        F.when(leaf, F.col("tool")).when(~turn, F.when(args, F.coalesce(name, F.col("tool"))).otherwise(F.col("tool"))).alias("tool"),
+        F.when(leaf, F.col("slot")).when(~turn, F.coalesce("k", "slot")).alias("slot"), F.when(~leaf & told, live_turn(turns)).alias("live"), F.when(leaf, F.col("v")).otherwise(F.col("c")).alias("v"),
+    ]
 
 
 def visible(text: Column) -> Column:
     return F.regexp_replace(text, f"[{scan.INVISIBLE}]", "")
 
 
+#: Bytes of a leaf that is looked into and bytes decoded of it, runs, and their least lengths.
+LONGEST_LEAF, MOST_DECODED, MOST_RUNS, LEAST_RUN, LEAST_HEX = 256 * 1024, 256 * 1024, 16, 32, 40
+ALPHABET = "A-Za-z0-9+/=_-"
+
+
+def _let(x: Column, f) -> Column:
+    """``f`` of a value that is made once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _decoded(run: Column, budget: Column) -> Column:
+    """(budget, texts): a run read as hex and as base64, each cut to what the budget leaves, if it is text."""
+    text = lambda b: F.try_validate_utf8(b.cast("string"))
+    plain = F.translate(F.substring_index(run, "=", 1), "-_", "+/")
+    whole = F.left(plain, F.length(plain) - F.when(F.length(plain) % 4 == 1, 1).otherwise(0))
+    padded = F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), F.lit("="))
+    hexed = F.when(run.rlike(f"^[0-9a-fA-F]{{{LEAST_HEX},}}$"), F.try_to_binary(F.left(run, F.length(run) - F.length(run) % 2), F.lit("hex")))
+    within = lambda b, n: F.substring(b, F.lit(1), n)
+    size = lambda b: F.coalesce(F.length(b), F.lit(0))
+
+    def both(h: Column) -> Column:
+        left = budget - size(h)
+        return _let(within(F.try_to_binary(padded, F.lit("base64")), left), lambda b: F.struct((left - size(b)).alias("budget"), F.array_distinct(F.array_compact(F.array(text(h), text(b)))).alias("texts")))
+
+    return _let(within(hexed, budget), both)
+
+
 def encoded(text: Column) -> Column:
-    """Texts hidden in the first sixteen runs of base64 (32 characters at least) or hex (40)."""
-    runs = F.slice(F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/_-]{32,}"), F.lit(0)), 1, 16)
-    def opened(r: Column) -> Column:
-        plain = F.translate(r, "-_", "+/")
-        whole = F.left(plain, F.length(plain) - F.when(F.length(plain) % 4 == 1, 1).otherwise(0))
-        padded = F.rpad(whole, (F.ceil(F.length(whole) / 4) * 4).cast("int"), F.lit("="))
-        hexed = F.when(r.rlike("^[0-9a-fA-F]{40,}$"), F.try_to_binary(F.left(r, F.length(r) - F.length(r) % 2), F.lit("hex")))
-        return F.try_validate_utf8(F.coalesce(hexed, F.try_to_binary(padded, F.lit("base64"))).cast("string"))
-    return F.array_compact(F.transform(runs, opened))
-
-
-def violation(text: Column, scope: Column, tool: Column, slot: Column, paths: list[str], commands: list[str], canaries: list[str] = (), exfil: bool = False) -> Column:
-    """The first violation of a leaf, in the order of checks."""
+    """Texts hidden in the first sixteen runs of base64 or hex, and in those that are one run themselves; a leaf's
+    decoded bytes are limited, through all its runs."""
+    runs = F.slice(F.regexp_extract_all(text, F.lit(f"[{ALPHABET}]{{{LEAST_RUN},}}"), F.lit(0)), 1, MOST_RUNS)
+    state = lambda budget, out: F.struct(budget.alias("budget"), out.alias("out"))
+
+    def inner(a: Column, t: Column) -> Column:
+        bare = F.trim(t, F.lit(" \t\r\n"))
+        again = _let(_decoded(bare, a["budget"]), lambda r: state(r["budget"], F.concat(a["out"], F.array(t), r["texts"])))
+        return F.when(bare.rlike(f"^[{ALPHABET}]{{{LEAST_RUN},}}$") & (F.length(bare) <= F.length(text)), again).otherwise(state(a["budget"], F.concat(a["out"], F.array(t))))
+
+    def step(a: Column, run: Column) -> Column:
+        return _let(_decoded(run, a["budget"]), lambda r: F.aggregate(r["texts"], state(r["budget"], a["out"]), inner))
+
+    none = F.array().cast("array<string>")
+    found = F.aggregate(runs, state(F.lit(MOST_DECODED), none), step)["out"]
+    return F.when((F.octet_length(text) <= LONGEST_LEAF) & text.rlike(f"[{ALPHABET}]{{{LEAST_RUN}}}"), found).otherwise(none)
+
+
+def violation(text: Column, scope: Column, tool: Column, slot: Column, paths: list[str], commands: list[str], canaries: list[str] = (), exfil: bool = False, cleaned: Column | None = None) -> Column:
+    """The first violation of a leaf, in the order of checks; ``cleaned``: its text without hidden characters."""
     def canary(t: Column) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in canaries if len(c) >= 8], F.lit(False))
 
     def data(t: Column) -> Column:
-        return F.when(canary(t), "canary").when(scan.path_denied(t, paths), "path_blocked").when(scan.secret_kind(t).isNotNull(), "secret").when(F.size(scan.card_numbers(t)) > 0, "card_number").when(scan.has_ssn(t), "ssn")
+        t = F.when(t.rlike(f"[{scan.INVISIBLE}]"), visible(t)).otherwise(t)
+        return F.when(scan.path_denied(t, paths), "path_blocked").when(canary(t), "canary").when(scan.secret_kind(t).isNotNull(), "secret").when(F.size(scan.card_numbers(t)) > 0, "card_number").when(scan.has_ssn(t), "ssn")
 
-    k, deep, t = lower_ascii(slot), scope.isin(ARGS, CONTENT), visible(text)
+    k, deep, t = lower_ascii(slot), scope.isin(ARGS, CONTENT), visible(text) if cleaned is None else cleaned
     command = (scope == ARGS) & ~F.coalesce(k.isin(NOTE_KEYS), F.lit(False))
     place = (scope == CONTENT) & F.coalesce(k.isin(PATH_KEYS) | k.rlike(PATH_ENDINGS), F.lit(False)) & (F.octet_length(t) <= LONGEST_PATH) & ~F.contains(t, F.lit("\n"))
     values = deep & ~((scope == CONTENT) & is_editor(tool))
-    hidden = F.filter(F.transform(encoded(t), data), lambda x: x.isNotNull())
+    hidden = F.filter(F.transform(encoded(t), lambda x: _let(x, data)), lambda x: x.isNotNull())
     return (
         F.when((scope != HISTORY) & canary(text), "canary").when(deep & (scan.hidden_characters(text) >= 8), "hidden_text").when(deep & canary(t), "canary")
         .when((command | place) & scan.path_denied(t, paths), "path_blocked").when(command & scan.command_denied(t, commands), "command_blocked")
@@ -158,7 +204,10 @@ def violation(text: Column, scope: Column, tool: Column, slot: Column, paths: li
 
 def violations(bodies: DataFrame, paths=scan.DENY_PATHS, commands=scan.DENY_COMMANDS, canaries=(), exfil: bool = False, body: str = "body", key: str = "id") -> DataFrame:
     """(key, violation, scope, tool) of the first violating leaf of each body that has one."""
-    found = leaves(bodies, body, key).withColumn("violation", violation(F.col("text"), F.col("scope"), F.col("tool"), F.col("slot"), paths, commands, canaries, exfil))
+    found = cut(leaves(bodies, body, key).withColumn("cleaned", visible(F.col("text"))), "leaves")
+    what = violation(F.col("text"), F.col("scope"), F.col("tool"), F.col("slot"), paths, commands, canaries, exfil, F.col("cleaned"))
+    # a generator of one row keeps the filter from making the whole expression twice
+    found = found.select(key, "place", "scope", "tool", F.explode(F.array(what)).alias("violation"))
     first = found.filter("violation is not null").groupBy(key).agg(F.min_by(F.struct("violation", "scope", "tool"), "place").alias("x"))
     return first.select(key, "x.violation", "x.scope", "x.tool")
 
