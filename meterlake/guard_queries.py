@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.operators import actions, inspect_tools, packs, receipts, turns, windows
+from meterlake.operators import actions, cache_hints, coaching, inspect_tools, packs, receipts, turns, windows
 from meterlake.plans.ratecard import priced
 from meterlake.queries import _CARD, _priced, ORACLES, QUERIES, _with, query
 from meterlake.sources import views
-from meterlake.streaming import decisions
+from meterlake.streaming import decisions, ingest
+from meterlake.tables import cut, shared_folder
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -211,3 +215,76 @@ def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session's running total at each of its calls; refused ones show it unmoved."""
     facts = views.requests(spark, sf_dir)
     return windows.running(facts, "session").withColumnRenamed("spent", "total").join(facts.select("id", "ts"), "id")
+
+
+#: A body of each turn: a system prompt, marked in one conversation of five, and the turn's text.
+_ASKED = f"SELECT conv_id, turn, text, conv_id % 5 = 0 AS marked, {views._case('CAST(conv_id % 8 AS INT)', views._MODELS)} AS model, concat('Be brief. ', CAST(conv_id AS VARCHAR(20))) AS system FROM conversations"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.view(spark, sf_dir, _ASKED, "conversations")
+    mark = F.when(F.col("marked"), F.struct(F.lit("ephemeral").alias("type")))
+    block = F.struct(F.lit("text").alias("type"), F.col("system").alias("text"), mark.alias("cache_control"))
+    message = F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    return d.select("conv_id", "turn", F.to_json(F.struct("model", F.array(block).alias("system"), F.array(message).alias("messages"))).alias("body"))
+
+
+_FOREGONE = f"WITH {_CARD}, f AS (SELECT *, CASE WHEN marked THEN 0 ELSE length(system) + length(coalesce(text, '')) END chars FROM ({_ASKED})), x AS (SELECT m.model, min(ord) ord FROM (SELECT DISTINCT model FROM f) m JOIN card ON m.model = key OR starts_with(m.model, key || '-') OR starts_with(m.model, key || '[') GROUP BY 1), g AS (SELECT f.*, CAST(greatest(round(coalesce(chars / 4 * ((ri - rr) / 1e6), 0) * 1e9), 0) AS BIGINT) savings FROM f LEFT JOIN x USING (model) LEFT JOIN card USING (ord))"
+query("foregone_cache_savings", f"{_FOREGONE} SELECT conv_id, turn, model, CAST(chars AS INTEGER) AS characters, savings FROM g")(lambda s, d: cache_hints.foregone(asked(s, d)).select("conv_id", "turn", "model", "characters", "savings"))
+query("cache_hints", f"SELECT conv_id, turn, NOT marked AS modified, CASE WHEN marked THEN 1 ELSE 2 END AS markers FROM ({_ASKED})")(lambda s, d: cache_hints.hinted(asked(s, d)).select("conv_id", "turn", "modified", F.regexp_count("hinted", F.lit('[{,]"cache_control":')).alias("markers")))
+
+
+@query("projected_savings", f"{_FOREGONE} SELECT CAST(DATE '2024-01-01' + CAST(conv_id % 10 AS INTEGER) AS DATE) AS day, CAST(sum(savings) AS DOUBLE) savings FROM g WHERE savings > 0 GROUP BY 1")
+def projected_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily projections accumulated over three batches, of which one is written twice."""
+    path = f"{shared_folder(spark)}/projections-{uuid.uuid4().hex}"
+    d = cache_hints.foregone(asked(spark, sf_dir)).select("conv_id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 10).cast("int")).alias("day"), F.col("savings").cast("double").alias("savings"))
+    d = cut(d, "foregone")
+    for batch in (0, 1, 2, 1):
+        ingest.put_batch(ingest.projected(d.filter(F.col("conv_id") % 3 == batch)), path, batch)
+    return ingest.accumulated(spark, path)
+
+
+@query("synced_days", "SELECT day, count(*) n, round(sum(cents), 6) cents FROM (SELECT CAST(ts AS DATE) AS day, CASE WHEN CAST(ts AS DATE) < DATE '2024-01-19' THEN value ELSE value * 2 END cents FROM events) WHERE day <> DATE '2024-01-25' GROUP BY 1")
+def synced_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two syncs that overlap by a day; by the second all amounts have doubled and one day has gone."""
+    path = f"{shared_folder(spark)}/synced-{uuid.uuid4().hex}"
+    e = views.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("date").alias("day"), F.col("value").alias("cents"))
+    first = ingest.next_start(spark, path, datetime.date(2024, 1, 1))
+    ingest.put_sync(e, path, 0, first, datetime.date(2024, 1, 20))
+    later = e.withColumn("cents", F.col("cents") * 2).filter("day <> '2024-01-25'")
+    for _ in range(2):
+        ingest.put_sync(later, path, 1, datetime.date(2024, 1, 19), datetime.date(2024, 1, 31))
+    return ingest.synced(spark, path, "event_id long, day date, cents double").groupBy("day").agg(F.count("*").alias("n"), F.round(F.sum("cents"), 6).alias("cents"))
+
+
+_COACH = coaching.Rules(long_chat_prompts=5, big_context_tokens=30_000, older_min_dollars=2.0, max_effort_min_share=0.25, fast_min_share=0.25)
+_LINEUP = [("claude-4.6-opus", "claude-4.10-opus", 0.8), ("gpt-5.4", "gpt-5.5", 0.95)]
+_EVERY_TIP = f"""e AS (SELECT *, CASE regexp_replace(model, '(-thinking)?(-(low|medium|high|xhigh|max))?(-thinking)?(-fast)?$', '') WHEN 'claude-4.6-opus' THEN 0.8::DOUBLE END ratio FROM ({views.TEAM})),
+ p AS (SELECT * FROM e WHERE day >= DATE '2024-01-10' AND day < DATE '2024-01-25'),
+ u AS (SELECT user_email, sum(charged_cents) total, coalesce(sum(charged_cents) FILTER (contains(model, '-fast')), 0) fast, coalesce(sum(charged_cents) FILTER (contains(model, 'xhigh')), 0) mx, coalesce(sum(charged_cents) FILTER (ratio IS NOT NULL), 0) older,
+  coalesce(sum(charged_cents * (1 - ratio) * CASE WHEN contains(model, '-fast') THEN 1 - 0.45::DOUBLE ELSE 1 END), 0) worth, coalesce(sum(charged_cents) FILTER (cache_read_tokens > 30000), 0) big FROM p GROUP BY 1 HAVING sum(charged_cents) > 0),
+ s AS (SELECT user_email, conversation_id, sum(charged_cents) c, row_number() OVER (PARTITION BY user_email ORDER BY sum(charged_cents) DESC, conversation_id) k FROM p GROUP BY 1, 2),
+ a AS (SELECT conversation_id, count(*) n, epoch_us(max(ts)) - epoch_us(min(ts)) us FROM e GROUP BY 1),
+ x AS (SELECT user_email, sum(greatest(charged_cents - base, 0)) excess FROM (SELECT *, avg(charged_cents) FILTER (k <= 5) OVER (PARTITION BY user_email, conversation_id) base FROM (SELECT p.*, row_number() OVER (PARTITION BY user_email, conversation_id ORDER BY ts, id) k FROM p JOIN (SELECT user_email, conversation_id FROM s WHERE k = 1) USING (user_email, conversation_id))) WHERE k > 5 GROUP BY 1),
+ l AS (SELECT user_email, c, coalesce(excess, 0) * 0.5 saved FROM s JOIN a USING (conversation_id) JOIN u USING (user_email) LEFT JOIN x USING (user_email) WHERE k = 1 AND round(c / 100, 2) >= 5 AND (round(c / total, 4) >= 0.15 OR round(c / 100, 2) >= 25) AND (n >= 5 OR round(us / 86400e6, 1) >= 1)),
+ t AS (SELECT user_email, 'long_chat' id, 1 o, round(c / 100, 2) at_stake, CASE WHEN saved >= 100 THEN round(saved / 100, 2) END saving FROM l
+  UNION ALL SELECT user_email, 'fast', 2, round(fast / 100, 2), round(fast * 0.45 / 100, 2) FROM u WHERE fast / total >= 0.25
+  UNION ALL SELECT user_email, 'max_effort', 3, round(mx / 100, 2), NULL FROM u WHERE mx / total >= 0.25
+  UNION ALL SELECT user_email, 'legacy', 4, round(older / 100, 2), round(worth / 100, 2) FROM u WHERE older >= 200
+  UNION ALL SELECT user_email, 'big_context', 5, round(big / 100, 2), NULL FROM u WHERE big / total >= 0.3 AND user_email NOT IN (SELECT user_email FROM l)),
+ r AS (SELECT t.*, total / 100 total, row_number() OVER (PARTITION BY user_email ORDER BY at_stake DESC, o) AS rank FROM t JOIN u USING (user_email))"""
+
+
+def _tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lineup = spark.createDataFrame(_LINEUP, "family string, newest string, ratio double")
+    return coaching.tips(coaching.every_tip(views.team_events(spark, sf_dir), "2024-01-10", "2024-01-25", lineup, rules=_COACH), _COACH)
+
+
+query("coaching_tips", f"WITH {_EVERY_TIP} SELECT user_email, CAST(rank AS INTEGER) AS rank, id, at_stake, saving FROM r WHERE rank <= 3")(lambda s, d: _tips(s, d).drop("total"))
+query("coaching_savings", f"WITH {_EVERY_TIP} SELECT user_email, round(least(total - total * list_product([1 - x / total for x in g]), 0.6 * total), 2) AS saving FROM (SELECT user_email, total, coalesce(list(saving) FILTER (saving IS NOT NULL), []) g FROM r WHERE rank <= 3 GROUP BY 1, 2)".replace("list_product([1 - x / total for x in g])", "coalesce(list_product(list_transform(g, lambda x: 1 - x / total)), 1)"))(lambda s, d: coaching.stacked(_tips(s, d), _COACH))
+_LAST = views._case("CAST(user_id % 4 AS INT)", coaching.ROTATION)
+_USED = f"SELECT concat('s', CAST(user_id AS VARCHAR(20))) AS who, min({_LAST}) AS last, CAST(max(CASE WHEN user_id % 3 = 0 THEN 20 ELSE 0 END) AS INT) AS budget, CAST(sum(event_id * 31 % 5000) AS BIGINT) AS written, CAST(sum(event_id * 37 % 40000 * (user_id % 3) / 30) AS BIGINT) AS cached, count(CASE WHEN event_type = 'error' AND user_id % 5 > 0 THEN 1 END) AS blocked, sum(value) AS spent FROM events GROUP BY user_id"
+query("nudges", f"""SELECT who, CASE WHEN len(able) > 0 THEN able[coalesce(list_position(able, last), 0) % len(able) + 1] END AS nudge FROM (SELECT who, last, list_filter([CASE WHEN spent > 0 AND budget <= 0 THEN 'no_daily_budget' END, CASE WHEN written + cached >= 50000 AND cached / (written + cached) < 0.2 THEN 'low_cache_hit' END, CASE WHEN blocked > 0 THEN 'security_receipt' END], lambda x: x IS NOT NULL) able FROM ({_USED}))""")(
+    lambda s, d: views.view(s, d, _USED).select("who", coaching.nudge(F.col("spent"), F.col("budget"), F.col("written") + F.col("cached"), F.col("cached") / (F.col("written") + F.col("cached")), F.col("blocked"), F.lit(0), F.col("last")).alias("nudge"))
+)
