@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.operators import actions, cache_hints, coaching, inspect_tools, packs, receipts, turns, windows
-from meterlake.plans.ratecard import priced
+from meterlake.operators import actions, cache_hints, coaching, inspect_tools, packs, plans, receipts, turns, windows
+from meterlake.plans.ratecard import card, priced
 from meterlake.queries import _CARD, _priced, ORACLES, QUERIES, _with, query
 from meterlake.sources import views
 from meterlake.streaming import decisions, ingest
@@ -288,3 +288,39 @@ _USED = f"SELECT concat('s', CAST(user_id AS VARCHAR(20))) AS who, min({_LAST})
 query("nudges", f"""SELECT who, CASE WHEN len(able) > 0 THEN able[coalesce(list_position(able, last), 0) % len(able) + 1] END AS nudge FROM (SELECT who, last, list_filter([CASE WHEN spent > 0 AND budget <= 0 THEN 'no_daily_budget' END, CASE WHEN written + cached >= 50000 AND cached / (written + cached) < 0.2 THEN 'low_cache_hit' END, CASE WHEN blocked > 0 THEN 'security_receipt' END], lambda x: x IS NOT NULL) able FROM ({_USED}))""")(
     lambda s, d: views.view(s, d, _USED).select("who", coaching.nudge(F.col("spent"), F.col("budget"), F.col("written") + F.col("cached"), F.col("cached") / (F.col("written") + F.col("cached")), F.col("blocked"), F.lit(0), F.col("last")).alias("nudge"))
 )
+
+
+#: Replies with plan windows, as text: utilizations, resets, which of them binds; some are no numbers.
+_REPLIES = """SELECT event_id AS id, ts, user_id, CASE WHEN event_id % 7 = 0 THEN 'openai' ELSE 'anthropic' END AS provider, CASE WHEN event_id % 11 = 0 THEN 'none' ELSE CAST(event_id % 100 / 100.0 AS VARCHAR(20)) END AS five,
+ CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(event_id % 50 / 100.0 AS VARCHAR(20)) END AS seven, CAST(event_id AS VARCHAR(20)) AS reset, CASE WHEN event_id % 3 = 0 THEN 'seven_day' ELSE 'five_hour' END AS claim FROM events"""
+_PLAN_AS_OF = "2024-01-20 12:00:00"
+
+
+def plan_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last snapshot as of an instant."""
+    names = {"5h-utilization": "five", "5h-reset": "reset", "7d-utilization": "seven", "7d-reset": "reset", "representative-claim": "claim"}
+    headers = F.create_map(*(x for k, c in names.items() for x in (F.lit(plans.PREFIX + k), F.col(c))))
+    snaps = plans.snapshots(views.view(spark, sf_dir, _REPLIES).withColumn("headers", headers).withColumn("provider", F.col("provider")))
+    return snaps
+
+
+_SNAPS = f"s AS (SELECT *, TRY_CAST(five AS DOUBLE) a, coalesce(TRY_CAST(seven AS DOUBLE), 0) b FROM ({_REPLIES}) WHERE provider = 'anthropic' AND TRY_CAST(five AS DOUBLE) IS NOT NULL AND ts <= TIMESTAMP '{_PLAN_AS_OF}'), w AS (SELECT *, CASE WHEN claim = 'seven_day' THEN '7d' ELSE '5h' END AS label, CASE WHEN claim = 'seven_day' THEN b ELSE a END AS utilization FROM s)"
+
+
+@query("plan_windows", f"WITH {_SNAPS}, l AS (SELECT *, epoch(TIMESTAMP '{_PLAN_AS_OF}') - floor(epoch(ts)) age FROM w WHERE (ts, utilization) = (SELECT max((ts, utilization)) FROM w)) SELECT provider, label, utilization, CAST(age AS BIGINT) age_s, age > 43200 AS stale, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') captured FROM l")
+def plan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = plans.latest(plan_snapshots(spark, sf_dir), F.lit(_PLAN_AS_OF).cast("timestamp_ntz"))
+    w = F.col("windows")[0]
+    return d.select("provider", w["label"].alias("label"), w["utilization"].alias("utilization"), "age_s", "stale", F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss").alias("captured"))
+
+
+query("effective_entries", _with(views.REQUESTS, "SELECT model, n, CASE WHEN model = 'gpt-5.5' OR starts_with(model, 'gpt-5.5-') THEN 'gpt-5.5' WHEN model = 'unlisted-model' THEN 'unlisted' ELSE key END AS key, CASE WHEN model = 'gpt-5.5' OR starts_with(model, 'gpt-5.5-') THEN 'override' WHEN model = 'unlisted-model' THEN 'new' WHEN key IS NOT NULL THEN 'built-in' END AS source FROM (SELECT model, count(*) n FROM f GROUP BY 1) LEFT JOIN (SELECT m.model, arg_min(key, ord) key FROM (SELECT DISTINCT model FROM f) m JOIN card ON m.model = key OR starts_with(m.model, key || '-') OR starts_with(m.model, key || '[') GROUP BY 1) USING (model)"))(lambda s, d: effective_entries(s, d))
+
+
+def effective_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which entry of the effective card each model in use takes, and where it comes from."""
+    used = views.requests(spark, sf_dir).groupBy("model").agg(F.count("*").alias("n"))
+    entries = card(spark, [("gpt-5.5", 4.0, 0.0, 0.4, 20.0), ("unlisted", 1.0, 1.25, 0.1, 5.0)])  # a few dozen rows
+    fits = (F.col("model") == F.col("key")) | F.startswith("model", F.concat("key", F.lit("-"))) | F.startswith("model", F.concat("key", F.lit("[")))
+    taken = used.join(F.broadcast(entries), fits, "left").groupBy("model", "n").agg(F.min_by(F.struct("key", "source"), "ord").alias("e"))
+    return taken.select("model", "n", "e.key", "e.source")

@@ -122,10 +122,10 @@ def savings(facts: DataFrame) -> DataFrame:
     return s.select(usd(F.col("c")).alias("real"), usd(F.col("w")).alias("without_cache"), usd(F.greatest(F.col("w") - F.col("c"), F.lit(0))).alias("captured"))
 
 
-def opportunities(facts: DataFrame) -> DataFrame:
-    """Models of some spend whose prompts come from the cache for less than 30 in 100."""
+def opportunities(facts: DataFrame, least_usd: float = 0.5, below_percent: float = 30) -> DataFrame:
+    """Models of some spend whose prompts come from the cache for less than ``below_percent`` in 100."""
     m = _by_model(facts).withColumn("share", F.col("cache_read_tokens") / F.when(prompt_tokens() > 0, prompt_tokens()) * 100)
-    return m.filter("c >= 500000000 and share < 30").select("provider", "model", usd(F.col("c")).alias("cost_usd"), F.round("share", 6).alias("share"))
+    return m.filter((F.col("c") >= round(least_usd * 1e9)) & (F.col("share") < below_percent)).select("provider", "model", usd(F.col("c")).alias("cost_usd"), F.round("share", 6).alias("share"))
 
 
 def accuracy(facts: DataFrame) -> DataFrame:

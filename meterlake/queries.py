@@ -83,7 +83,8 @@ query("repository_costs", _with(E, f", w AS (SELECT workspace, arg_max(root, len
 query("wire_log_drift", f"WITH {_CARD}, f AS (SELECT * FROM ({R}) WHERE NOT blocked), g AS (SELECT * FROM ({E})), {_priced('p', 'f')}, {_priced('q', 'g')}, a AS (SELECT model, sum(nano) wire, count(*) wn FROM p GROUP BY 1), b AS (SELECT model, sum(nano) logs, count(*) ln FROM q GROUP BY 1), j AS (SELECT coalesce(a.model, b.model) model, coalesce(wire, 0) wire, coalesce(logs, 0) logs, coalesce(wn, 0) wire_n, coalesce(ln, 0) logs_n FROM a FULL JOIN b ON a.model = b.model) SELECT model, {_usd('wire')} wire, {_usd('logs')} logs, wire_n, logs_n, {_usd('(logs - wire)')} gap, round(CASE WHEN wire <> 0 THEN (logs - wire) / wire * 100 END, 6) gap_pct FROM j")(lambda s, d: reports.drift(requests(s, d), entries(s, d)))
 _SUMMED = f"WITH {_CARD}, f AS (SELECT provider, model, {_TOKENS} FROM ({R}) WHERE NOT blocked GROUP BY 1, 2), {_priced('p', 'f')}, m AS (SELECT *, {_nano(_COST)} c, {_nano(_NAIVE)} w FROM p) "
 query("cache_savings", _SUMMED + f"SELECT {_usd('sum(c)')} AS real, {_usd('sum(w)')} without_cache, {_usd('greatest(sum(w) - sum(c), 0)')} captured FROM m")(lambda s, d: reports.savings(requests(s, d)))
-query("cache_opportunities", _SUMMED + f"SELECT provider, model, {_usd('c')} cost_usd, round(cache_read_tokens / {_PROMPT} * 100, 6) share FROM m WHERE c >= 500000000 AND cache_read_tokens / {_PROMPT} * 100 < 30")(lambda s, d: reports.opportunities(requests(s, d)))
+_SELDOM = f"WITH {_CARD}, f AS (SELECT tool AS provider, model, {_TOKENS} FROM ({E}) GROUP BY 1, 2), {_priced('p', 'f')}, m AS (SELECT *, {_nano(_COST)} c FROM p) "
+query("cache_opportunities", _SELDOM + f"SELECT provider, model, {_usd('c')} cost_usd, round(cache_read_tokens / {_PROMPT} * 100, 6) share FROM m WHERE c >= 500000000 AND cache_read_tokens / {_PROMPT} * 100 < 30")(lambda s, d: reports.opportunities(entries(s, d).withColumn("provider", F.col("tool")).withColumn("blocked", F.lit(False))))
 query("naive_overstatement", _SUMMED + f"SELECT provider, model, {_usd('c')} AS real, {_usd('w')} naive, {_usd('greatest(w - c, 0)')} overstated FROM m")(lambda s, d: reports.accuracy(requests(s, d)))
 query("digest", _with(R, f"SELECT {_USD}, count(*) FILTER (NOT blocked) turns, count(*) FILTER (blocked) blocked, string_agg(DISTINCT model, ',' ORDER BY model) models FROM p"))(lambda s, d: reports.digest(requests(s, d)))
 query("dense_days", _with(R, f", d AS (SELECT CAST({DAY} - CAST(i AS INTEGER) AS DATE) AS day FROM range(14) t(i)), c AS (SELECT d.day, coalesce(sum(nano), 0) c FROM d LEFT JOIN p USING (day) GROUP BY 1) SELECT day, {_usd('c')} cost_usd, {_usd('sum(c) OVER (ORDER BY day)')} running FROM c"))(lambda s, d: reports.dense_days(requests(s, d), AS_OF, 14))
@@ -174,10 +175,12 @@ query("card_numbers", f"WITH runs AS (SELECT doc_id, i, regexp_replace(unnest({_
     lambda s, d: table(s, d, "documents").select("doc_id", F.size(scan.card_numbers(F.col("text"))).cast("long").alias("n")).filter("n > 0")
 )
 query("denied_commands", "SELECT conv_id, turn FROM conversations WHERE contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), 'of the')")(lambda s, d: table(s, d, "conversations").filter(scan.command_denied(F.col("text"), ["OF  the"])).select("conv_id", "turn"))
-query("page_hosts", "SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(html, '://([^/:\"\\\\\\s]+)', 1))) AS host FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.explode(scan.hosts(F.col("html"))).alias("host")))
+query("page_hosts", "SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(url, '://([^/:\"\\\\\\s]+)', 1))) AS host FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", F.explode(scan.hosts(F.col("url"))).alias("host")))
 query("payload_violations")(lambda s, d: table(s, d, "documents").select("doc_id", scan.first_violation(F.col("text"), scan.DENY_PATHS, scan.DENY_COMMANDS, exfil=False).alias("violation")).filter("violation is not null"))
-query("file_findings")(lambda s, d: scan.scan_lines(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")))
-query("ssn_documents", r"SELECT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?:[^0-9-]|$)', 1)) x FROM documents) WHERE x[1:3] NOT IN ('000', '666') AND x[1] <> '9' AND x[5:6] <> '00' AND x[8:11] <> '0000'")(lambda s, d: table(s, d, "documents").filter(scan.has_ssn(F.col("text"))).select("doc_id"))
+#: Documents of which some end with a key, hidden characters or a number like a person's.
+_ENDED = f"SELECT doc_id, concat(text, CASE WHEN doc_id % 9 = 0 THEN concat(chr(10), 'key AKIA', repeat('Q', 16)) WHEN doc_id % 11 = 0 THEN concat(chr(10), 'a{chr(8203)}b') WHEN doc_id % 13 = 0 THEN concat(chr(10), 'no. ', CAST(doc_id % 3 AS VARCHAR(20)), '12-', CASE WHEN doc_id % 5 = 0 THEN '00' ELSE '34' END, '-5678.') ELSE '' END) AS text FROM documents"
+query("file_findings", f"SELECT CAST(doc_id AS VARCHAR) path, CAST(len(string_split(text, chr(10))) AS INTEGER) line, CASE WHEN doc_id % 9 = 0 THEN 'aws' ELSE 'hidden_text' END AS rule, CASE WHEN doc_id % 9 = 0 THEN 'error' ELSE 'warning' END AS level FROM ({_ENDED}) WHERE text IS NOT NULL AND (doc_id % 9 = 0 OR doc_id % 11 = 0)")(lambda s, d: scan.scan_lines(views.view(s, d, _ENDED, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")))
+query("ssn_documents", rf"SELECT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9-])([0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})(?:[^0-9-]|$)', 1)) x FROM ({_ENDED})) WHERE x[1:3] NOT IN ('000', '666') AND x[1] <> '9' AND x[5:6] <> '00' AND x[8:11] <> '0000'")(lambda s, d: views.view(s, d, _ENDED, "documents").filter(scan.has_ssn(F.col("text"))).select("doc_id"))
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ def test_query(spark, sql, name):
     cols = sorted(df.columns)
     got = sorted(tuple(map(plain, (r[c] for c in cols))) for r in df.collect())
     if name not in ORACLES:
-        assert got or name == "file_findings"
+        assert got
         return
     rel = sql.execute(ORACLES[name])
     names = [x[0] for x in rel.description]
