@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.operators import actions, cache_hints, coaching, inspect_tools, packs, plans, receipts, turns, windows
+from meterlake.operators import actions, cache_hints, coaching, inspect_tools, packs, payload, plans, receipts, security_log, turns, windows
 from meterlake.plans.ratecard import card, priced
 from meterlake.queries import _CARD, _priced, ORACLES, QUERIES, _with, query
 from meterlake.sources import views
@@ -324,3 +324,26 @@ def effective_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits = (F.col("model") == F.col("key")) | F.startswith("model", F.concat("key", F.lit("-"))) | F.startswith("model", F.concat("key", F.lit("[")))
     taken = used.join(F.broadcast(entries), fits, "left").groupBy("model", "n").agg(F.min_by(F.struct("key", "source"), "ord").alias("e"))
     return taken.select("model", "n", "e.key", "e.source")
+
+
+_ADVISED = ", ".join(f"'{x}'" for x in security_log.ADVISORY)
+_PLACES = "[" + ", ".join(f"'{x}'" for x in security_log.SEVERITY) + "]"
+_TOLD = f"SELECT * FROM ({SECURITY}) WHERE id % 4 = 0"
+query("security_newest", f"SELECT id, ts, event_type FROM ({_TOLD}) WHERE event_type IN ('secret_detected', 'mcp_tool_changed') AND provider = 'mcp' ORDER BY ts DESC, id DESC LIMIT 100")(lambda s, d: security_log.newest(security(s, d), ["secret_detected", "mcp_tool_changed"], "mcp", 100).select("id", "ts", "event_type"))
+query("security_bundle", f"SELECT id, ts, event_type, '<redacted>' AS details FROM ({_TOLD}) ORDER BY ts, id LIMIT 50")(lambda s, d: security_log.bundle(security(s, d)).select("id", "ts", "event_type", "details"))
+query("security_summary", f"SELECT CAST(row_number() OVER (ORDER BY coalesce(p, 99), CASE WHEN p IS NULL THEN -n ELSE 0 END, event_type) AS INTEGER) AS rank, event_type, n, event_type IN ({_ADVISED}) AS advisory FROM (SELECT event_type, count(*) n, list_position({_PLACES}, event_type) p FROM ({_TOLD}) GROUP BY 1)")(lambda s, d: security_log.summary(security(s, d)))
+query("security_daily", f"SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type NOT IN ({_ADVISED})) enforced, count(*) FILTER (event_type IN ({_ADVISED})) advised FROM ({_TOLD}) GROUP BY 1")(lambda s, d: security_log.daily_split(security(s, d)))
+_PAYS = """SELECT event_id AS id, ts, concat('s', CAST(user_id AS VARCHAR(20))) AS session_id, CASE WHEN event_id % 3 = 0 THEN 'openai' ELSE 'anthropic' END AS provider, CASE WHEN event_id % 5 = 0 THEN 'key' WHEN event_id % 7 = 0 THEN '' END AS api_key,
+ CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'sk-ant-oat01' WHEN event_id % 4 = 2 THEN 'Bearer sk-ant-oat01' ELSE 'bearer sk-ant-oat02' END AS auth FROM events"""
+_KINDS = f"SELECT id, ts, session_id, CASE WHEN coalesce(api_key, '') = '' AND provider = 'anthropic' AND regexp_matches(coalesce(auth, ''), '^[Bb]earer sk-ant-oat') THEN 'subscription' ELSE 'metered' END AS kind FROM ({_PAYS})"
+
+
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.view(spark, sf_dir, _PAYS)
+    return d.select("id", "ts", "session_id", security_log.credential_kind(F.col("api_key"), F.col("auth"), F.col("provider")).alias("kind"))
+
+
+query("credential_kinds", f"SELECT id, kind FROM ({_KINDS})")(lambda s, d: kinds(s, d).select("id", "kind"))
+query("billing_flips", f"SELECT id, session_id FROM (SELECT *, lag(kind) OVER (PARTITION BY session_id ORDER BY ts, id) was FROM ({_KINDS})) WHERE was = 'subscription' AND kind = 'metered'")(lambda s, d: security_log.billing_flips(kinds(s, d)))
+_UPLOAD = "SELECT doc_id, concat(CASE WHEN doc_id % 6 = 0 THEN concat(repeat('{x}', 3000), 'AKIA', repeat('Q', 16)) ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN concat(' AKIA', repeat('Q', 16), ' ') WHEN doc_id % 10 = 0 THEN ' canary-value ' ELSE '' END, translate(text, '0123456789', '')) AS text FROM documents".replace("{x}", chr(0xFFFD))
+query("upload_violations", f"SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 10 = 0 THEN 'canary' ELSE 'secret' END AS violation FROM ({_UPLOAD}) WHERE text IS NOT NULL AND (doc_id % 6 = 0 OR doc_id % 4 = 0 OR doc_id % 10 = 0) AND NOT (doc_id % 6 = 0 AND 3000 > 0.3 * length(text))")(lambda s, d: views.view(s, d, _UPLOAD, "documents").select("doc_id", payload.upload_violation(F.col("text"), ["canary-value"]).alias("violation")).filter("violation is not null"))

@@ -89,13 +89,22 @@ def live_turn(turns: Column) -> Column:
     return F.when(F.array_contains(actors, F.lit(True)) & F.forall(after, _result), last).otherwise(-1)
 
 
-def leaves(bodies: DataFrame, body: str = "body", key: str = "id") -> DataFrame:
+def leaves(bodies: DataFrame, body: str = "body", key: str = "id", entry: str = "request") -> DataFrame:
     """(key, place, scope, tool, slot, text): every string of the bodies that are JSON, with the key of the object
-    it stands in (through lists) as its slot; places order a body's leaves."""
+    it stands in (through lists) as its slot; places order a body's leaves.
+
+    ``entry``: a request's turns and calls have their scopes; of a message to a tool server the arguments of a call
+    count, as a shell's where the tool is one, else as contents; ``strict`` takes every leaf for a shell's argument."""
     spark = bodies.sparkSession
-    start = bodies.select(F.col(key).alias("id"), F.try_parse_json(F.col(body)).alias("v")).filter("v is not null")
+    start = bodies.select(F.col(key).alias("id"), F.try_parse_json(F.regexp_replace(F.col(body), r"^\x{FEFF}", "")).alias("v")).filter("v is not null")
+    scope, tool = F.lit(ARGS if entry == "strict" else PROSE), F.lit(None).cast("string")
+    if entry == "server":
+        name = _text(F.col("v"), "$.params.name")
+        shell = F.coalesce(lower_ascii(name).isin(SHELL_NAMES) | _any(lower_ascii(name), SHELLS), F.lit(False))
+        start = start.filter(_text(F.col("v"), "$.method") == "tools/call").select("id", F.variant_get("v", "$.params.arguments", "variant").alias("v"), name.alias("name"), F.when(shell, ARGS).otherwise(CONTENT).alias("as"))
+        start, scope, tool = start.filter("v is not null"), F.col("as"), F.col("name")
     level = start.select(
-        "id", F.array().cast("array<int>").alias("place"), F.lit(PROSE).alias("scope"), F.lit(None).cast("string").alias("tool"),
+        "id", F.array().cast("array<int>").alias("place"), scope.alias("scope"), tool.alias("tool"),
         F.lit(None).cast("string").alias("slot"), F.lit(None).cast("int").alias("live"), "v",
     )
     known, members = "kind in ('OBJECT', 'ARRAY', 'STRING')", _members()
@@ -179,39 +188,74 @@ def encoded(text: Column) -> Column:
     return F.when((F.octet_length(text) <= LONGEST_LEAF) & text.rlike(f"[{ALPHABET}]{{{LEAST_RUN}}}"), found).otherwise(none)
 
 
-def violation(text: Column, scope: Column, tool: Column, slot: Column, paths: list[str], commands: list[str], canaries: list[str] = (), exfil: bool = False, cleaned: Column | None = None) -> Column:
-    """The first violation of a leaf, in the order of checks; ``cleaned``: its text without hidden characters."""
+def violation(text: Column, scope: Column, tool: Column, slot: Column, paths: list[str], commands: list[str], canaries: list[str] = (), exfil: bool = False, cleaned: Column | None = None, allowed: list[str] = (), destination: Column | None = None) -> Column:
+    """The first violation of a leaf, in the order of checks; ``cleaned``: its text without hidden characters.  A text that
+    names an ``allowed`` path is not checked for denied ones, but for all else.  With a ``destination``, a credential of
+    another provider is misdirected."""
     def canary(t: Column) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in canaries if len(c) >= 8], F.lit(False))
 
+    def denied(t: Column) -> Column:
+        return scan.path_denied(t, paths) & ~scan.path_denied(t, allowed) if allowed else scan.path_denied(t, paths)
+
     def data(t: Column) -> Column:
         t = F.when(t.rlike(f"[{scan.INVISIBLE}]"), visible(t)).otherwise(t)
-        return F.when(scan.path_denied(t, paths), "path_blocked").when(canary(t), "canary").when(scan.secret_kind(t).isNotNull(), "secret").when(F.size(scan.card_numbers(t)) > 0, "card_number").when(scan.has_ssn(t), "ssn")
+        return F.when(denied(t), "path_blocked").when(canary(t), "canary").when(scan.secret_kind(t).isNotNull(), "secret").when(F.size(scan.card_numbers(t)) > 0, "card_number").when(scan.has_ssn(t), "ssn")
 
     k, deep, t = lower_ascii(slot), scope.isin(ARGS, CONTENT), visible(text) if cleaned is None else cleaned
     command = (scope == ARGS) & ~F.coalesce(k.isin(NOTE_KEYS), F.lit(False))
     place = (scope == CONTENT) & F.coalesce(k.isin(PATH_KEYS) | k.rlike(PATH_ENDINGS), F.lit(False)) & (F.octet_length(t) <= LONGEST_PATH) & ~F.contains(t, F.lit("\n"))
     values = deep & ~((scope == CONTENT) & is_editor(tool))
+    astray = F.lit(False) if destination is None else F.coalesce(credential_provider(t) != destination, F.lit(False))
     hidden = F.filter(F.transform(encoded(t), lambda x: _let(x, data)), lambda x: x.isNotNull())
     return (
         F.when((scope != HISTORY) & canary(text), "canary").when(deep & (scan.hidden_characters(text) >= 8), "hidden_text").when(deep & canary(t), "canary")
-        .when((command | place) & scan.path_denied(t, paths), "path_blocked").when(command & scan.command_denied(t, commands), "command_blocked")
+        .when((command | place) & denied(t), "path_blocked").when(command & scan.command_denied(t, commands), "command_blocked")
         .when(command & scan.destructive(t), "destructive").when((command | place) & scan.network_mount(t), "mount_blocked")
-        .when(values & scan.secret_kind(t).isNotNull(), "secret").when(F.lit(exfil) & command & scan.exfiltration(t), "exfiltration")
+        .when(values & astray, "misdirected").when(values & scan.secret_kind(t).isNotNull(), "secret").when(F.lit(exfil) & command & scan.exfiltration(t), "exfiltration")
         .when(values & (F.size(scan.card_numbers(t)) > 0), "card_number").when(values & scan.has_ssn(t), "ssn").when(values & (F.size(hidden) > 0), F.get(hidden, F.lit(0)))
     )
 
 
-def violations(bodies: DataFrame, paths=scan.DENY_PATHS, commands=scan.DENY_COMMANDS, canaries=(), exfil: bool = False, body: str = "body", key: str = "id") -> DataFrame:
-    """(key, violation, scope, tool) of the first violating leaf of each body that has one."""
-    found = cut(leaves(bodies, body, key).withColumn("cleaned", visible(F.col("text"))), "leaves")
-    what = violation(F.col("text"), F.col("scope"), F.col("tool"), F.col("slot"), paths, commands, canaries, exfil, F.col("cleaned"))
+def violations(
+    bodies: DataFrame, paths=scan.DENY_PATHS, commands=scan.DENY_COMMANDS, canaries=(), exfil: bool = False, body: str = "body", key: str = "id",
+    allowed=(), destination: str | None = None, entry: str = "request",
+) -> DataFrame:
+    """(key, violation, scope, tool) of the first violating leaf of each body that has one.  ``destination``: the column
+    with the provider to which a body goes."""
+    found = leaves(bodies, body, key, entry).withColumn("cleaned", visible(F.col("text")))
+    if destination:
+        found = found.join(bodies.select(key, F.col(destination).alias("destination")), key)
+    found = cut(found, "leaves")
+    what = violation(F.col("text"), F.col("scope"), F.col("tool"), F.col("slot"), paths, commands, canaries, exfil, F.col("cleaned"), allowed, F.col("destination") if destination else None)
     # a generator of one row keeps the filter from making the whole expression twice
     found = found.select(key, "place", "scope", "tool", F.explode(F.array(what)).alias("violation"))
     first = found.filter("violation is not null").groupBy(key).agg(F.min_by(F.struct("violation", "scope", "tool"), "place").alias("x"))
     return first.select(key, "x.violation", "x.scope", "x.tool")
 
 
+#: Whose credentials a pattern finds.
+CREDENTIALS_OF = {"anthropic": "anthropic", "openai": "openai", "google": "google"}
+#: Share of characters that could not be decoded from which an upload counts as binary.
+BINARY = 0.30
+
+
+def credential_provider(text: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for kind, pattern in reversed([x for x in scan.SECRETS if x[0] in CREDENTIALS_OF]):
+        out = F.when(text.rlike(pattern), CREDENTIALS_OF[kind]).otherwise(out)
+    return out
+
+
+def upload_violation(text: Column, canaries: list[str] = ()) -> Column:
+    """What the text of an uploaded file holds: a canary, a credential, a card or a person's number.  Text of which too
+    much could not be decoded is binary and not looked into; of other text all is."""
+    canary = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in canaries if len(c) >= 8], F.lit(False))
+    binary = F.length(text) - F.length(F.replace(text, F.lit("\ufffd"), F.lit(""))) > BINARY * F.greatest(F.length(text), F.lit(1))
+    found = F.when(canary, "canary").when(scan.secret_kind(text).isNotNull(), "secret").when(F.size(scan.card_numbers(text)) > 0, "card_number").when(scan.has_ssn(text), "ssn")
+    return F.when(~binary, found)
+
+
 def unscannable(body: Column) -> Column:
     """Something that is no JSON, a byte order mark aside."""
     bare = F.regexp_replace(body, r"^\x{FEFF}", "")

@@ -104,3 +104,25 @@ def test_encoded_rounds(spark):
     df = spark.createDataFrame(list(texts.items()), "name string, text string")
     found = {r["name"] for r in df.filter(F.exists(payload.encoded(F.col("text")), lambda t: scan.path_denied(payload.visible(t), ["~/.ssh"]))).collect()}
     assert found == {"plain", "url", "hex", "unpadded", "twice", "hex in base64", "base64 in hex", "sixteenth", "hidden", "budget", "mixed"}
+
+
+def test_entries(spark):
+    """Strict bodies, messages to tool servers, allowed paths, and credentials that go to another provider."""
+    key = {"anthropic": "sk-ant-" + "a" * 40, "openai": "sk-" + "b" * 48, "google": "AIza" + "c" * 35}
+    call = lambda name, **args: {"method": "tools/call", "params": {"name": name, "arguments": args}}
+    df = lambda rows: spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(rows)], "id long, body string")
+    found = lambda d, **how: {r["id"]: (r["violation"], r["scope"], r["tool"]) for r in payload.violations(d, **how).collect()}
+    strict = df([{"x": "rm -rf /"}, ["cat ~/.ssh/x"], "chmod 777 y", {"x": "fine"}])
+    assert found(strict, entry="strict") == {0: ("destructive", "args", None), 1: ("path_blocked", "args", None), 2: ("command_blocked", "args", None)} and found(strict) == {}
+    server = df([call("memory", note="rm -rf / is bad"), call("run_shell", line="rm -rf /"), call("notes", path="/home/u/.aws/x"), call("notes", text=f"key {KEY}"), {"method": "ping", "params": {"arguments": {"a": KEY}}}, {"method": "tools/call", "params": {}}])
+    assert found(server, entry="server") == {1: ("destructive", "args", "run_shell"), 2: ("path_blocked", "content", "notes"), 3: ("secret", "content", "notes")}
+    shell = lambda command: body({"role": "assistant", "content": [use("bash", command=command)]})
+    paths = df([shell("cat ~/.ssh/known_hosts"), shell("cat ~/.ssh/known_hosts; chmod 777 x"), shell("cat ~/.ssh/id"), shell("echo " + base64.b64encode(b"cat ~/.ssh/known_hosts now or later").decode())])
+    assert found(paths, allowed=["~/.ssh/known_hosts"]) == {1: ("command_blocked", "args", "bash"), 2: ("path_blocked", "args", "bash")}
+    keys = df([shell(f"use {key[k]}") for k in ("anthropic", "openai", "google")] + [shell(KEY), shell("nothing")]).withColumn("to", F.lit("openai"))
+    got = {i: v[0] for i, v in found(keys, destination="to").items()}
+    assert got == {0: "misdirected", 1: "secret", 2: "misdirected", 3: "secret"}
+    assert {v[0] for v in found(keys).values()} == {"secret"}
+    texts = ["x " + KEY, "canary-value " + KEY, "4111 1111 1111 1111", "123-45-6789", "clean", None, "", "�" * 40 + KEY, "�" * 4 + KEY]
+    up = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", payload.upload_violation(F.col("t"), ["canary-value", "short"]).alias("v")).orderBy("id")
+    assert [r["v"] for r in up.collect()] == ["secret", "canary", "card_number", "ssn", None, None, None, None, "secret"]
