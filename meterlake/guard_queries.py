@@ -345,5 +345,5 @@ def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("credential_kinds", f"SELECT id, kind FROM ({_KINDS})")(lambda s, d: kinds(s, d).select("id", "kind"))
 query("billing_flips", f"SELECT id, session_id FROM (SELECT *, lag(kind) OVER (PARTITION BY session_id ORDER BY ts, id) was FROM ({_KINDS})) WHERE was = 'subscription' AND kind = 'metered'")(lambda s, d: security_log.billing_flips(kinds(s, d)))
-_UPLOAD = "SELECT doc_id, concat(CASE WHEN doc_id % 6 = 0 THEN concat(repeat('{x}', 3000), 'AKIA', repeat('Q', 16)) ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN concat(' AKIA', repeat('Q', 16), ' ') WHEN doc_id % 10 = 0 THEN ' canary-value ' ELSE '' END, translate(text, '0123456789', '')) AS text FROM documents".replace("{x}", chr(0xFFFD))
+_UPLOAD = "SELECT doc_id, concat(CASE WHEN doc_id % 6 = 0 THEN concat(repeat('{x}', 3000), 'AKIA', repeat('Q', 16), ' ') ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN concat(' AKIA', repeat('Q', 16), ' ') WHEN doc_id % 10 = 0 THEN ' canary-value ' ELSE '' END, translate(text, '0123456789', '')) AS text FROM documents".replace("{x}", chr(0xFFFD))
 query("upload_violations", f"SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 10 = 0 THEN 'canary' ELSE 'secret' END AS violation FROM ({_UPLOAD}) WHERE text IS NOT NULL AND (doc_id % 6 = 0 OR doc_id % 4 = 0 OR doc_id % 10 = 0) AND NOT (doc_id % 6 = 0 AND 3000 > 0.3 * length(text))")(lambda s, d: views.view(s, d, _UPLOAD, "documents").select("doc_id", payload.upload_violation(F.col("text"), ["canary-value"]).alias("violation")).filter("violation is not null"))
