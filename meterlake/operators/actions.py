@@ -35,32 +35,32 @@ def _call(name: Column, args: Column) -> Column:
     return F.struct(F.coalesce(name, F.lit("")).alias("name"), F.coalesce(args, F.lit("")).alias("arguments"))
 
 
-def last_action(body: Column) -> Column:
-    """(name, arguments) of the last tool call of the last actor's turn, in any of three shapes; null without one."""
-    v = F.try_parse_json(F.regexp_replace(body, r"^\x{FEFF}", ""))
-    turn = _last(F.filter(_list(v, "$.messages"), lambda m: F.coalesce(_text(m, "$.role") == "assistant", F.lit(False))))
-    use = _last(F.filter(_list(turn, "$.content"), lambda b: F.coalesce(_text(b, "$.type") == "tool_use", F.lit(False))))
-    call = F.variant_get(_last(_list(turn, "$.tool_calls")), "$.function", "variant")
-    raw = F.coalesce(_text(call, "$.arguments"), F.lit(""))
-    # a turn without role counts as the actor's in the third shape
+def last_actions(calls: DataFrame, body: str = "body") -> DataFrame:
+    """``calls`` with ``action``: (name, arguments) of the last tool call of the last actor's turn, in any of three shapes; null
+    without one.  Each step is a column of its own, so a body is parsed and searched once."""
     role = lambda c: F.variant_get(c, "$.role", "variant")
-    actor = _last(F.filter(_list(v, "$.contents"), lambda c: role(c).isNull() | F.coalesce(_text(c, "$.role") == "model", F.schema_of_variant(role(c)) != "STRING")))
-    part = F.variant_get(_last(F.filter(_list(actor, "$.parts"), lambda p: F.variant_get(p, "$.functionCall", "variant").isNotNull())), "$.functionCall", "variant")
-    return F.coalesce(
-        F.when(use.isNotNull(), _call(_text(use, "$.name"), canonical(F.variant_get(use, "$.input", "variant")))),
-        F.when(call.isNotNull(), _call(_text(call, "$.name"), F.coalesce(canonical(F.try_parse_json(raw)), raw))),
-        F.when(part.isNotNull(), _call(_text(part, "$.name"), canonical(F.variant_get(part, "$.args", "variant")))),
+    is_text = lambda x, path, word: F.coalesce(_text(x, path) == word, F.lit(False))
+    d = calls.withColumn("_v", F.try_parse_json(F.regexp_replace(F.col(body), r"^\x{FEFF}", "")))
+    d = d.withColumn("_turn", _last(F.filter(_list(F.col("_v"), "$.messages"), lambda m: is_text(m, "$.role", "assistant"))))
+    # a turn without role counts as the actor's in the third shape
+    d = d.withColumn("_actor", _last(F.filter(_list(F.col("_v"), "$.contents"), lambda c: role(c).isNull() | F.coalesce(_text(c, "$.role") == "model", F.schema_of_variant(role(c)) != "STRING"))))
+    d = d.withColumn("_use", _last(F.filter(_list(F.col("_turn"), "$.content"), lambda b: is_text(b, "$.type", "tool_use"))))
+    d = d.withColumn("_call", F.variant_get(_last(_list(F.col("_turn"), "$.tool_calls")), "$.function", "variant"))
+    d = d.withColumn("_part", F.variant_get(_last(F.filter(_list(F.col("_actor"), "$.parts"), lambda p: F.variant_get(p, "$.functionCall", "variant").isNotNull())), "$.functionCall", "variant"))
+    d = d.withColumn("_raw", F.coalesce(_text(F.col("_call"), "$.arguments"), F.lit("")))
+    action = (
+        F.when(F.col("_use").isNotNull(), _call(_text(F.col("_use"), "$.name"), canonical(F.variant_get("_use", "$.input", "variant"))))
+        .when(F.col("_call").isNotNull(), _call(_text(F.col("_call"), "$.name"), F.coalesce(canonical(F.try_parse_json("_raw")), F.col("_raw"))))
+        .when(F.col("_part").isNotNull(), _call(_text(F.col("_part"), "$.name"), canonical(F.variant_get("_part", "$.args", "variant"))))
     )
-
-
-def signature(body: Column) -> Column:
-    a = last_action(body)
-    return F.when(a.isNotNull(), F.sha2(F.concat(a["name"], F.lit("\0"), a["arguments"]), 256))
+    # a generator of one row: filters above don't make the whole expression again
+    return d.select(*(F.col(f"`{c}`") for c in calls.columns), F.explode(F.array(action)).alias("action"))
 
 
 def signed(calls: DataFrame, body: str = "body") -> DataFrame:
     """``calls`` with the signature of their action; null where there is none."""
-    return calls.withColumn("signature", signature(F.col(body)))
+    text = F.concat(F.col("action.name"), F.lit("\0"), F.col("action.arguments"))
+    return last_actions(calls, body).withColumn("signature", F.sha2(text, 256)).drop("action")
 
 
 def repeats(calls: DataFrame, *by: str, span_s: int = SPAN, threshold: int = THRESHOLD) -> DataFrame:

@@ -66,7 +66,7 @@ def on_day(facts: DataFrame) -> DataFrame:
 
 query("model_breakdown_day", _with(R, f"SELECT provider, model, {_USD}, count(*) n, {_TOKENS} FROM p WHERE NOT blocked AND day = {DAY} GROUP BY 1, 2"))(lambda s, d: reports.breakdown(on_day(requests(s, d)), "provider", "model"))
 query("model_breakdown_since", _with(R, f"SELECT provider, model, {_USD}, count(*) n, {_TOKENS} FROM p WHERE NOT blocked AND day >= {DAY} - 6 GROUP BY 1, 2"))(lambda s, d: reports.breakdown(reports.since(requests(s, d), AS_OF, 7), "provider", "model"))
-query("export_daily", _with(R, f"SELECT day, provider, model, {_USD}, count(*) n, {_TOKENS} FROM p WHERE NOT blocked GROUP BY 1, 2, 3"))(lambda s, d: reports.breakdown(requests(s, d), "day", "provider", "model"))
+query("export_daily", _with(R, f"SELECT day, provider, model, {_USD}, count(*) n, {_TOKENS} FROM p WHERE NOT blocked GROUP BY 1, 2, 3"))(lambda s, d: reports.breakdown(requests(s, d), "day", "provider", "model").orderBy(F.desc("day"), "provider", "model"))
 query("total_cost_day", _with(R, f"SELECT {_USD} FROM p WHERE day = {DAY}"))(lambda s, d: reports.total_cost(on_day(requests(s, d))))
 query("total_cost_month", _with(R, f"SELECT {_USD} FROM p WHERE strftime(day, '%Y-%m') = '2024-01'"))(lambda s, d: reports.total_cost(requests(s, d).filter((F.col("day") >= "2024-01-01") & (F.col("day") < "2024-02-01"))))
 query("daily_totals", _with(R, f"SELECT day, {_USD}, count(*) n, count(*) FILTER (blocked) blocked, round(CASE WHEN sum({_PROMPT}) > 0 THEN sum(cache_read_tokens) / sum({_PROMPT}) ELSE 0 END, 9) hit_rate FROM p GROUP BY 1"))(lambda s, d: reports.daily_totals(requests(s, d)))
