@@ -171,7 +171,7 @@ def test_op10(spark, where, docs):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "pages", "labels", "embeddings"):
+    for t in ("documents", "pages", "labels", "embeddings", "conversations"):
         table = pq.read_table(f"/root/testdata/sf0.001/{t}.parquet")
         pq.write_table(table.slice(0, 0), f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []

@@ -1,5 +1,6 @@
 """Centroid clustering, source mixing and the prefix trie against plain versions."""
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -164,3 +165,14 @@ def test_op11_empty(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
     assert exponion.report(df).collect() == []
     assert exponion.report(df.filter(F.lit(False))).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op11_exponion", "op12_source_mix", "op13_prefix_trie"])
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{MORE}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    df = queries.QUERIES[name](spark, MORE)
+    assert sorted(df.columns) == sorted(columns) and listed(df, columns) == sorted(want.fetchall(), key=str)
