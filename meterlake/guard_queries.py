@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.operators import actions, cache_hints, coaching, inspect_tools, packs, payload, plans, receipts, security_log, turns, windows
+from meterlake.operators import actions, cache_hints, coaching, documents, inspect_tools, packs, payload, plans, receipts, security_log, turns, windows
 from meterlake.plans.ratecard import card, priced
 from meterlake.queries import _CARD, _priced, ORACLES, QUERIES, _with, query
 from meterlake.sources import views
@@ -347,3 +347,8 @@ query("credential_kinds", f"SELECT id, kind FROM ({_KINDS})")(lambda s, d: kinds
 query("billing_flips", f"SELECT id, session_id FROM (SELECT *, lag(kind) OVER (PARTITION BY session_id ORDER BY ts, id) was FROM ({_KINDS})) WHERE was = 'subscription' AND kind = 'metered'")(lambda s, d: security_log.billing_flips(kinds(s, d)))
 _UPLOAD = "SELECT doc_id, concat(CASE WHEN doc_id % 6 = 0 THEN concat(repeat('{x}', 3000), 'AKIA', repeat('Q', 16), ' ') ELSE '' END, CASE WHEN doc_id % 4 = 0 THEN concat(' AKIA', repeat('Q', 16), ' ') WHEN doc_id % 10 = 0 THEN ' canary-value ' ELSE '' END, translate(text, '0123456789', '')) AS text FROM documents".replace("{x}", chr(0xFFFD))
 query("upload_violations", f"SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 10 = 0 THEN 'canary' ELSE 'secret' END AS violation FROM ({_UPLOAD}) WHERE text IS NOT NULL AND (doc_id % 6 = 0 OR doc_id % 4 = 0 OR doc_id % 10 = 0) AND NOT (doc_id % 6 = 0 AND 3000 > 0.3 * length(text))")(lambda s, d: views.view(s, d, _UPLOAD, "documents").select("doc_id", payload.upload_violation(F.col("text"), ["canary-value"]).alias("violation")).filter("violation is not null"))
+
+
+query("call_spans", _with(views.REQUESTS, "SELECT left(sha256('span ' || CAST(id AS VARCHAR)), 16) span_id, left(sha256(CASE WHEN session_id IS NOT NULL THEN 'session ' || session_id ELSE 'call ' || CAST(id AS VARCHAR) END), 32) trace_id, 'chat ' || model AS name, CAST(epoch_us(ts) * 1000 AS VARCHAR) started, CAST((epoch_us(ts) + coalesce(latency_ms, 0) * 1000) * 1000 AS VARCHAR) ended, CASE WHEN http_status = 0 OR http_status >= 400 THEN 2 ELSE 1 END AS code, CASE provider WHEN 'google' THEN 'gcp.gemini' ELSE provider END AS system, nano FROM p"))(
+    lambda s, d: documents.spans(views.requests(s, d)).select("span_id", "trace_id", "name", F.col("start_time_unix_nano").alias("started"), F.col("end_time_unix_nano").alias("ended"), F.col("status.code").alias("code"), F.col("attributes")["gen_ai.system"].alias("system"), F.round(F.col("attributes")["meterlake.cost_usd"] * 1e9).cast("long").alias("nano"))
+)

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterlake.plans.ratecard import priced
+
 
 def write_csv(df: DataFrame, path: str, digits: dict[str, int] | None = None) -> None:
     """Quoted as RFC 4180 has it; money with fixed digits."""
@@ -14,16 +16,36 @@ def write_csv(df: DataFrame, path: str, digits: dict[str, int] | None = None) ->
     out.write.csv(path, header=True, escape='"', quote='"')
 
 
-def write_spans(facts: DataFrame, path: str) -> None:
-    """One JSON object a call with the usual attribute names; status 2 is an error."""
+#: What the conventions call a provider.
+SYSTEMS = {"google": "gcp.gemini"}
+
+
+def spans(facts: DataFrame) -> DataFrame:
+    """A span for each call, with the usual attribute names; cost, cache and latency have names of our own.  Status 2 is an
+    error, 1 is none.  Calls of a session are one trace; ids are hashes, so a call has the same ones each time."""
     start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    attributes = F.struct(
-        F.col("provider").alias("gen_ai.system"), F.col("model").alias("gen_ai.request.model"),
-        F.col("input_tokens").alias("gen_ai.usage.input_tokens"), F.col("output_tokens").alias("gen_ai.usage.output_tokens"),
+    latency = F.greatest(F.coalesce("latency_ms", F.lit(0)), F.lit(0)).cast("long")
+    system = F.col("provider")
+    for own, name in SYSTEMS.items():
+        system = F.when(F.col("provider") == own, name).otherwise(system)
+    trace = F.coalesce(F.concat(F.lit("session "), F.nullif("session_id", F.lit(""))), F.concat(F.lit("call "), F.col("id").cast("string")))
+    named = {
+        "gen_ai.operation.name": F.lit("chat"), "gen_ai.system": system, "gen_ai.request.model": F.col("model"), "gen_ai.response.model": F.col("model"),
+        "gen_ai.usage.input_tokens": F.col("input_tokens"), "gen_ai.usage.output_tokens": F.col("output_tokens"), "meterlake.usage.cache_read_tokens": F.col("cache_read_tokens"),
+        "meterlake.usage.cache_creation_tokens": F.col("cache_creation_tokens"), "meterlake.cost_usd": F.col("cost_usd"), "meterlake.latency_ms": latency, "http.response.status_code": F.col("http_status"),
+    }
+    error = F.coalesce((F.col("http_status") == 0) | (F.col("http_status") >= 400), F.lit(False))
+    return priced(facts).select(
+        F.concat(F.lit("chat "), "model").alias("name"), F.left(F.sha2(trace, 256), F.lit(32)).alias("trace_id"), F.left(F.sha2(F.concat(F.lit("span "), F.col("id").cast("string")), 256), F.lit(16)).alias("span_id"),
+        F.lit("SPAN_KIND_CLIENT").alias("kind"), start.cast("string").alias("start_time_unix_nano"), (start + latency * 1_000_000).cast("string").alias("end_time_unix_nano"),
+        F.struct(F.when(error, 2).otherwise(1).alias("code")).alias("status"), F.struct(*(v.alias(k) for k, v in named.items())).alias("attributes"),
     )
-    error = (F.col("http_status") == 0) | (F.col("http_status") >= 400)
-    span = F.struct(F.col("id").alias("span"), start.alias("start_ns"), (start + F.coalesce("latency_ms", F.lit(0)) * 1_000_000).alias("end_ns"), F.when(error, 2).otherwise(1).alias("status"), attributes.alias("attributes"))
-    facts.select(F.to_json(span).alias("value")).write.text(path)
+
+
+def write_spans(facts: DataFrame, path: str) -> None:
+    """One JSON object a call."""
+    d = spans(facts)
+    d.select(F.to_json(F.struct(*d.columns)).alias("value")).write.text(path)
 
 
 def replace_days(events: DataFrame, path: str) -> None:

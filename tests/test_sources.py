@@ -116,7 +116,10 @@ def test_exports(spark, tmp_path):
     documents.write_csv(df, f"{tmp_path}/csv", {"usd": 6})
     assert [r[0] for r in spark.read.text(f"{tmp_path}/csv").collect()] == ["name,usd", '"a""b,c",1.500000']
     documents.write_spans(requests(spark, SF).limit(3), f"{tmp_path}/spans")
-    assert all(json.loads(r[0])["status"] in (1, 2) for r in spark.read.text(f"{tmp_path}/spans").collect())
+    for r in spark.read.text(f"{tmp_path}/spans").collect():
+        span = json.loads(r[0])
+        assert span["status"]["code"] in (1, 2) and len(span["trace_id"]) == 32 and len(span["span_id"]) == 16 and span["name"] == "chat " + span["attributes"]["gen_ai.request.model"]
+        assert int(span["end_time_unix_nano"]) - int(span["start_time_unix_nano"]) == span["attributes"]["meterlake.latency_ms"] * 1_000_000
     days = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "day string, x int")
     documents.replace_days(days, f"{tmp_path}/days")
     documents.replace_days(days.filter("x = 2").withColumn("x", F.lit(5)), f"{tmp_path}/days")
