@@ -15,7 +15,7 @@ exchange read by both the encoding of shared chunks and the final pass).
 The ids equal the tokenizers library's for the whole text, special tokens in it included; decoding
 joins the tokens' bytes.  Defined results: null text is empty and has no ids; an empty table gives no
 rows; copies get equal ids; rows with a null key are encoded whole where they are read; rows
-repeated under one key each get their ids; further columns are not looked at.
+repeated under one key each get their ids, those of unequal texts too; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -61,12 +61,12 @@ def chunk_borders(data: np.ndarray) -> np.ndarray:
 
 
 def chunks(texts: DataFrame) -> DataFrame:
-    """(h1, h2, size, doc, start) of every chunk, from (doc, text)."""
+    """(h1, h2, size, doc, mark, start) of every chunk, from (doc, mark, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.blocks(batches):
             data, offsets = tk.buffer(b.column("text"))
-            docs = b.column("doc").to_numpy()
+            docs, marks = b.column("doc").to_numpy(), b.column("mark").to_numpy()
             start, size, owner = [], [], []
             for i in range(b.num_rows):
                 borders = chunk_borders(data[offsets[i] : offsets[i + 1]])
@@ -77,23 +77,23 @@ def chunks(texts: DataFrame) -> DataFrame:
             at = start + offsets[owner]
             w = tk.Words(data, offsets, at, at + size, offsets)
             yield pa.RecordBatch.from_arrays(
-                [*(tk.signed(tk.word_hashes(w, k)) for k in (0, 1)), pa.array(size, pa.int64()), pa.array(docs[owner], pa.int64()), pa.array(start, pa.int64())],
-                ["h1", "h2", "size", "doc", "start"],
+                [*(tk.signed(tk.word_hashes(w, k)) for k in (0, 1)), pa.array(size, pa.int64()), pa.array(docs[owner], pa.int64()), pa.array(marks[owner], pa.int64()), pa.array(start, pa.int64())],
+                ["h1", "h2", "size", "doc", "mark", "start"],
             )
 
-    return texts.mapInArrow(run, "h1 long, h2 long, size long, doc long, start long")
+    return texts.mapInArrow(run, "h1 long, h2 long, size long, doc long, mark long, start long")
 
 
 def packed(texts: DataFrame) -> DataFrame:
-    """(doc, z): texts compressed, for the exchange."""
+    """(doc, mark, z): texts compressed, for the exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=1)
         for b in batches:
             z = [c.compress((t or "").encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(z, pa.binary())], ["doc", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("mark"), pa.array(z, pa.binary())], ["doc", "mark", "z"])
 
-    return texts.mapInArrow(run, "doc long, z binary")
+    return texts.mapInArrow(run, "doc long, mark long, z binary")
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,18 +186,19 @@ def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str =
     """(key, ids): each text's ids as little-endian unsigned 32-bit numbers.  ``decoded``: and the
     text that these ids stand for, as `decode` gives it, by the same worker."""
     spark = docs.sparkSession
-    every = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    # the mark tells texts of one key apart
+    every = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("text"))
     given, unnamed = every.filter("doc is not null"), every.filter("doc is null")
     found = chunks(given)
     # one occurrence of each chunk that has several encodes it for all
-    shared = found.groupBy("h1", "h2", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("owner")).filter("n > 1")
-    todo = shared.select(F.col("owner.doc").alias("doc"), F.struct("h1", "h2", "size", F.col("owner.start").alias("start")).alias("p"))
-    todo = todo.groupBy("doc").agg(F.collect_set("p").alias("parts"))
+    shared = found.groupBy("h1", "h2", "size").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "start")).alias("owner")).filter("n > 1")
+    todo = shared.select("owner.doc", "owner.mark", F.struct("h1", "h2", "size", F.col("owner.start").alias("start")).alias("p"))
+    todo = todo.groupBy("doc", "mark").agg(F.collect_set("p").alias("parts"))
     # the filter is the inner join's own: stated for both joins, so that they read one exchange
-    texts = packed(given).filter("doc is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
-    coded = texts.join(todo, "doc").mapInArrow(_encode_chunks(tokenizer_file), "h1 long, h2 long, size long, ids binary, wide boolean")
-    each = found.join(coded, ["h1", "h2", "size"]).groupBy("doc").agg(F.collect_set(F.struct("start", "size", "ids", "wide")).alias("parts"))
-    both = texts.join(each, "doc", "left").select("doc", "z", "parts").unionByName(unnamed.select("doc", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("z")), allowMissingColumns=True)
+    texts = packed(given).filter("doc is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "mark")
+    coded = texts.join(todo, ["doc", "mark"]).mapInArrow(_encode_chunks(tokenizer_file), "h1 long, h2 long, size long, ids binary, wide boolean")
+    each = found.join(coded, ["h1", "h2", "size"]).groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "size", "ids", "wide")).alias("parts"))
+    both = texts.join(each, ["doc", "mark"], "left").select("doc", "z", "parts").unionByName(unnamed.select("doc", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("z")), allowMissingColumns=True)
     return both.mapInArrow(_assemble(tokenizer_file, decoded), "doc long, ids binary" + ", text string" * decoded).withColumnRenamed("doc", key)
 
 
