@@ -18,8 +18,10 @@ an empty table gives no rows; further columns are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +54,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches.  A match can begin only where a run of local characters does, or where the
     last match ended; other starts would share the run's ending, so trying them is in vain."""
     at = 0
-    while "@" in text[at:]:
+    while text.find("@", at) >= 0:
         m = EMAIL_HERE.match(text, at) if at else None
         m = m or EMAIL.search(text, at)
         if not m:
@@ -364,7 +366,10 @@ def model_spans(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, in
 def merged(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Base spans and those of the model that overlap none of them, by kind as listed, then start."""
     taken = sorted((a, b) for _, a, b in base)
-    add = [s for s in more if not any(a < s[2] and s[1] < b for a, b in taken)]
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    # of the base spans that start before this one's end, does any end after its start?
+    before = [bisect_left(starts, s[2]) for s in more]
+    add = [s for s, n in zip(more, before, strict=True) if not n or reach[n - 1] <= s[1]]
     return sorted([*base, *add], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
