@@ -1,7 +1,7 @@
 """Operator 3, license scans: an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines and, over line breaks, windows of words that overlap by the longest template's
-length, so that wording stands in one block however its lines are wrapped.  A block matches a template when it
+Blocks are lines of up to twice the longest template's length and, over line breaks and longer lines, windows of that
+many words that overlap by half, so that wording stands in one block however its lines are wrapped, and words that stand far apart don't.  A block matches a template when it
 holds at least `CONTAINMENT` of the template's distinct words.  The words of all templates are ordered by their
 frequency in the whole corpus, rarest first, and both sides are written in that order (a block without the words
 of no template, which can't be shared).  With need = ceil(c |T|), a matching block shares a word among the first
@@ -91,15 +91,17 @@ def matches(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINME
     order = global_order(vocabulary, frequencies(docs, vocabulary, text))
     index = prefix_index(order, templates, containment)
     # a constant table: as many rows as the templates' prefixes have words
-    entries = spark.createDataFrame(index, "token string, template int, label string, tokens array<string>, need int, i int")
+    names = ["token", "template", "label", "tokens", "need", "i"]
+    entries = spark.range(1).select(F.inline(F.array(*[F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row, strict=True))) for row in index])))
     prefix, least = sorted({r[0] for r in index}), min(r[4] for r in index)
     longest = max(len(t.split()) for _, t in templates)
     given = docs.filter(F.col(text).rlike(_any_word(prefix)))
     given = given.select(F.col(key).alias("key"), _mark(F.col(text)).alias("mark"), F.transform(F.split(text, "\n"), words).alias("lines"))
-    given = given.withColumn("w", F.when(F.size("lines") > 1, F.flatten("lines")).otherwise(F.array().cast("array<string>")))
+    wide = lambda w: F.size(w) > 2 * longest
+    given = given.withColumn("w", F.when((F.size("lines") > 1) | F.exists("lines", wide), F.flatten("lines")).otherwise(F.array().cast("array<string>")))
     windows = F.transform(F.sequence(F.lit(0), F.size("w"), F.lit(longest)), lambda i: F.slice("w", i + 1, F.lit(2 * longest)))
     blocks = (
-        given.select("key", "mark", F.posexplode(F.concat("lines", windows)).alias("block", "w"))
+        given.select("key", "mark", F.posexplode(F.concat(F.filter("lines", lambda w: ~wide(w)), windows)).alias("block", "w"))
         .filter(F.arrays_overlap("w", F.array(*map(F.lit, prefix))))
         .select("key", "mark", "block", F.array_intersect(F.array(*map(F.lit, order)), "w").alias("b"))  # in the order of the first
         .filter(F.size("b") >= least)

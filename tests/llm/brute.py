@@ -61,10 +61,15 @@ def op3(docs):
 
 def op3_labels(docs, templates, containment):
     out = defaultdict(set)
+    longest = max(len(w.split()) for _, w in templates)
     for d, t in docs:
-        for line in (t or "").split("\n"):
-            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
-            b = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low))
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        lines = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line) for line in low.split("\n")]
+        blocks = [w for w in lines if len(w) <= 2 * longest]
+        if len(lines) > 1 or len(blocks) < len(lines):
+            every = [w for line in lines for w in line]
+            blocks += [every[i : i + 2 * longest] for i in range(0, len(every), longest)]
+        for b in map(set, blocks):
             for label, wording in templates:
                 own = set(wording.split())
                 if len(b & own) >= containment * len(own) - 1e-9:
