@@ -195,7 +195,7 @@ def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str =
     todo = shared.select("owner.doc", "owner.mark", F.struct("h1", "h2", "size", F.col("owner.start").alias("start")).alias("p"))
     todo = todo.groupBy("doc", "mark").agg(F.collect_set("p").alias("parts"))
     # the filter is the inner join's own: stated for both joins, so that they read one exchange
-    texts = packed(given).filter("doc is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "mark")
+    texts = packed(given).filter("doc is not null and mark is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc", "mark")
     coded = texts.join(todo, ["doc", "mark"]).mapInArrow(_encode_chunks(tokenizer_file), "h1 long, h2 long, size long, ids binary, wide boolean")
     each = found.join(coded, ["h1", "h2", "size"]).groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "size", "ids", "wide")).alias("parts"))
     both = texts.join(each, ["doc", "mark"], "left").select("doc", "z", "parts").unionByName(unnamed.select("doc", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("z")), allowMissingColumns=True)
