@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlake.operators import actions, cache_hints, coaching, documents, inspect_tools, packs, payload, plans, receipts, security_log, turns, windows
+from meterlake.operators import actions, cache_hints, coaching, coverage, documents, inspect_tools, member_summary, packs, payload, plans, receipts, security_log, turns, windows
 from meterlake.plans.ratecard import card, priced
-from meterlake.queries import _CARD, _priced, ORACLES, QUERIES, _with, query
+from meterlake.queries import _CARD, _END, _PERIOD, _priced, _START, ORACLES, QUERIES, _with, query
 from meterlake.sources import views
 from meterlake.streaming import decisions, ingest
 from meterlake.tables import cut, shared_folder
@@ -352,3 +352,42 @@ query("upload_violations", f"SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id
 query("call_spans", _with(views.REQUESTS, "SELECT left(sha256('span ' || CAST(id AS VARCHAR)), 16) span_id, left(sha256(CASE WHEN session_id IS NOT NULL THEN 'session ' || session_id ELSE 'call ' || CAST(id AS VARCHAR) END), 32) trace_id, 'chat ' || model AS name, CAST(epoch_us(ts) * 1000 AS VARCHAR) started, CAST((epoch_us(ts) + coalesce(latency_ms, 0) * 1000) * 1000 AS VARCHAR) ended, CASE WHEN http_status = 0 OR http_status >= 400 THEN 2 ELSE 1 END AS code, CASE provider WHEN 'google' THEN 'gcp.gemini' ELSE provider END AS system, nano FROM p"))(
     lambda s, d: documents.spans(views.requests(s, d)).select("span_id", "trace_id", "name", F.col("start_time_unix_nano").alias("started"), F.col("end_time_unix_nano").alias("ended"), F.col("status.code").alias("code"), F.col("attributes")["gen_ai.system"].alias("system"), F.round(F.col("attributes")["meterlake.cost_usd"] * 1e9).cast("long").alias("nano"))
 )
+
+
+# ---------------------------------------------------------------- coverage of tools, members' periods
+
+_SEEN_AT = "2024-01-20 12:00:00"
+_INSTALLED = """SELECT concat('u', CAST(c_custkey AS VARCHAR(20))) AS owner, CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN 'claude' WHEN 1 THEN 'aider' WHEN 2 THEN 'opencode' WHEN 3 THEN 'elsewhere' ELSE 'codex' END AS tool,
+ CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN concat(chr(123), '"tokens":', chr(123), chr(125), chr(125)) WHEN 1 THEN concat(chr(123), '"OPENAI_API_KEY":"k"', chr(125)) WHEN 2 THEN concat(chr(123), '"tokens":null,"OPENAI_API_KEY":"k"', chr(125))
+ WHEN 3 THEN concat(chr(123), '"OPENAI_API_KEY":""', chr(125)) WHEN 4 THEN 'no json' WHEN 5 THEN NULL ELSE concat(chr(123), '"tokens":"t","OPENAI_API_KEY":7', chr(125)) END AS credentials FROM customer
+ UNION ALL SELECT concat('u', CAST(c_custkey AS VARCHAR(20))), 'codex', CASE WHEN c_custkey % 2 = 0 THEN concat(chr(123), '"tokens":', chr(123), '"a":"b"', chr(125), chr(125)) ELSE concat(chr(123), '"OPENAI_API_KEY":"k"', chr(125)) END FROM customer"""
+_PAIRS = ", ".join(f"('{t}', '{p}')" for t, ps in coverage.PROVIDERS.items() for p in ps)
+
+
+@query("tool_coverage", f"""WITH i AS (SELECT owner, tool, CASE WHEN NOT coalesce(json_valid(credentials), false) THEN NULL WHEN json_type(credentials, '$.tokens') = 'OBJECT' THEN 'login'
+ WHEN json_type(credentials, '$.OPENAI_API_KEY') = 'VARCHAR' AND json_extract_string(credentials, '$.OPENAI_API_KEY') <> '' THEN 'api_key' END AS mode FROM ({_INSTALLED})),
+ c AS (SELECT owner, provider, max(ts) ts FROM ({CALLS}) WHERE ts <= TIMESTAMP '{_SEEN_AT}' GROUP BY 1, 2), t AS (SELECT * FROM (VALUES {_PAIRS}) v(tool, provider)),
+ s AS (SELECT i.owner, i.tool, i.mode, (SELECT CAST(epoch(TIMESTAMP '{_SEEN_AT}') - floor(epoch(max(c.ts))) AS BIGINT) FROM t JOIN c USING (provider) WHERE t.tool = i.tool AND c.owner = i.owner) age FROM i)
+ SELECT owner, tool, mode, CASE WHEN tool = 'codex' AND mode = 'login' THEN 'bypasses' WHEN age <= 86400 THEN 'protected' ELSE 'installed_not_seen' END AS state,
+ CASE WHEN age <= 86400 AND NOT (tool = 'codex' AND coalesce(mode, '') = 'login') THEN age END AS since_s FROM s""")
+def tool_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.lit(_SEEN_AT).cast("timestamp_ntz")
+    return coverage.tool_coverage(views.view(spark, sf_dir, _INSTALLED, "customer"), views.view(spark, sf_dir, CALLS).filter(F.col("ts") <= at), at)
+
+
+_MICRO = f"m AS (SELECT *, CAST(round(coalesce(charged_cents, 0) * 1e6) AS BIGINT) micro FROM ({views.TEAM}) WHERE {_PERIOD})"
+query("member_models", f"WITH {_MICRO}, g AS (SELECT user_email, model, CAST(sum(micro) AS BIGINT) c, count(*) prompts FROM m GROUP BY 1, 2), w AS (SELECT *, CAST(sum(c) OVER (PARTITION BY user_email) AS BIGINT) total FROM g) SELECT user_email, CAST(row_number() OVER (PARTITION BY user_email ORDER BY c DESC, model) AS INTEGER) AS rank, model, c / 1e6 cents, prompts, CASE WHEN total <> 0 THEN round(CAST(c AS DOUBLE) / CAST(total AS DOUBLE), 4) ELSE 0.0::DOUBLE END AS share FROM w")(
+    lambda s, d: member_summary.model_shares(views.team_events(s, d), _START, _END)
+)
+query("member_top_prompts", f"WITH {_MICRO}, r AS (SELECT *, row_number() OVER (PARTITION BY user_email ORDER BY micro DESC, ts, id) place FROM m) SELECT user_email, id, ts, model, conversation_id, micro / 1e6 cents, cache_read_tokens FROM r WHERE place = 1")(
+    lambda s, d: member_summary.top_prompts(views.team_events(s, d), _START, _END)
+)
+#: Members of small limits, so that some reach them.
+_LIMITED = views.MEMBERS.replace("CAST(50 + c_custkey % 200 AS DOUBLE)", "CAST(CASE WHEN c_custkey % 6 = 0 THEN 0 ELSE c_custkey % 9 END AS DOUBLE)")
+query("member_limit_days", f"WITH {_MICRO}, g AS (SELECT user_email, day, CAST(sum(micro) AS BIGINT) c FROM m GROUP BY 1, 2), l AS (SELECT email AS user_email, CASE WHEN limit_dollars > 0 THEN limit_dollars END AS own FROM ({_LIMITED})), r AS (SELECT *, CAST(sum(c) OVER (PARTITION BY user_email ORDER BY day) AS BIGINT) running FROM g) SELECT user_email, CAST(sum(c) AS BIGINT) / 1e6 cents, coalesce(any_value(own), 200.0::DOUBLE) limit_dollars, min(day) FILTER (running / 1e8 >= coalesce(own, 200.0)) reached_on FROM r LEFT JOIN l USING (user_email) GROUP BY 1")(
+    lambda s, d: member_summary.limit_days(views.team_events(s, d), views.view(s, d, _LIMITED, "customer"), _START, _END)
+)
+_NOTICES = "SELECT event_id AS id, ts AS created_at, CASE WHEN event_id % 40 = 0 THEN '*' ELSE concat('U', CAST(user_id AS VARCHAR(20))) END AS target FROM events"
+query("member_notices", f"WITH n AS ({_NOTICES}), u AS (SELECT DISTINCT email AS user_email FROM ({views.MEMBERS})), r AS (SELECT user_email, id, CAST(row_number() OVER (PARTITION BY user_email ORDER BY created_at DESC, id DESC) AS INTEGER) AS rank FROM u JOIN n ON target = '*' OR lower(target) = user_email) SELECT user_email, rank, id FROM r WHERE rank <= 5")(
+    lambda s, d: member_summary.notices_for(views.members(s, d).select(F.col("email").alias("user_email")), views.view(s, d, _NOTICES))
+)
