@@ -21,13 +21,24 @@ def seconds() -> Column:
 
 def in_window(facts: DataFrame, amount: Column, span_s: int, *by: str) -> DataFrame:
     """``facts`` with the sum (``windowed``) and count (``windowed_n``) of ``amount`` over the
-    trailing ``span_s`` seconds, both ends included, optionally by keys."""
+    trailing ``span_s`` seconds, both ends included, optionally by keys.  ``amount`` is a whole number, never null.
+
+    A window that slides is summed anew at each time, so a dense bucket would cost the square of its rows.  Here a row
+    comes into its own bucket, stands in the next one from its start, and leaves it as the window passes: running sums alone."""
     span = span_s * 1_000_000
-    d = facts.withColumn("_t", seconds()).withColumn("_v", amount)
-    d = d.withColumn("_home", F.floor(F.col("_t") / span)).withColumn("_bucket", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    w = Window.partitionBy(*by, "_bucket").orderBy("_t").rangeBetween(-span, 0)
-    d = d.withColumn("windowed", F.sum("_v").over(w)).withColumn("windowed_n", F.count("*").over(w))
-    return d.filter("_bucket = _home").drop("_t", "_v", "_home", "_bucket")
+    d = facts.withColumn("_t", seconds()).withColumn("_v", amount).withColumn("_home", F.floor(F.col("_t") / span))
+    turn = lambda own, bucket, at: F.struct(F.lit(own).alias("own"), bucket.alias("bucket"), at.alias("at"))
+    d = d.withColumn("_e", F.explode(F.array(turn(True, F.col("_home"), F.col("_t")), turn(False, F.col("_home") + 1, F.col("_t") + span + 1))))
+    d = d.select("*", "_e.*").drop("_e").withColumnsRenamed({"own": "_own", "bucket": "_bucket", "at": "_at"})
+    w = Window.partitionBy(*by, "_bucket").orderBy("_at")
+    whole, so_far = w.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rangeBetween(Window.unboundedPreceding, 0)
+    own = F.col("_own")
+
+    def total(x: Column) -> Column:
+        return F.sum(F.when(own, F.lit(0)).otherwise(x)).over(whole) + F.sum(F.when(own, x).otherwise(-x)).over(so_far)
+
+    d = d.withColumns({"windowed": total(F.col("_v")), "windowed_n": total(F.lit(1))})
+    return d.filter("_own").drop("_t", "_v", "_home", "_own", "_bucket", "_at")
 
 
 def rolling_hour(facts: DataFrame) -> DataFrame:

@@ -1,12 +1,35 @@
 """Whole inputs, and steps whose work grows with their rows alone."""
 
+import datetime
+import random
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from meterlake.operators import windows
 from meterlake.queries import ORACLES, QUERIES
 
+START = datetime.datetime(2024, 1, 1)
+
+
 def test_hosts_of_address_and_page(spark, tmp_path):
     rows = [(1, "http://A.example/x", '<a href="https://b.example/y">'), (2, None, "see ftp://c.example:21/"), (3, "https://d.example", None), (4, "://", "x"), (5, None, None)]
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(tuple(r) for r in QUERIES["page_hosts"](spark, str(tmp_path)).collect())
     assert got == [(1, "a.example"), (1, "b.example"), (2, "c.example"), (3, "d.example")]
     assert got == sorted(duckdb.sql(ORACLES["page_hosts"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall())
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_dense_windows(spark, by):
+    """Equal times, both borders, buckets apart and rows without a time; no frame slides."""
+    rng = random.Random(3)
+    rows = [(i, START + datetime.timedelta(seconds=10 * rng.randrange(90)), rng.choice(["a", None]), rng.randrange(50)) for i in range(300)]
+    rows += [(i, START + datetime.timedelta(hours=i - 299), "a", i) for i in range(300, 303)] + [(303, None, "a", 5), (304, None, "a", 6)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, k string, v long")
+    d = windows.in_window(df, F.col("v"), 300, *by)
+    in_it = lambda a, b: (not by or a[2] == b[2]) and (b[1] is None if a[1] is None else b[1] is not None and datetime.timedelta(0) <= a[1] - b[1] <= datetime.timedelta(seconds=300))
+    want = {a[0]: (sum(b[3] for b in rows if in_it(a, b)), sum(in_it(a, b) for b in rows)) for a in rows}
+    assert {r["id"]: (r["windowed"], r["windowed_n"]) for r in d.collect()} == want
+    assert "-300000000" not in d._jdf.queryExecution().optimizedPlan().toString()
