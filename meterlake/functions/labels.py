@@ -30,9 +30,14 @@ def tags_of(header: Column) -> Column:
         return F.struct(at.alias("at"), F.left(key, F.lit(MAX_TAG_LENGTH)).alias("k"), F.left(value, F.lit(MAX_TAG_LENGTH)).alias("v"))
 
     pairs = F.filter(F.transform(F.split(header, ","), pair), lambda x: (x["at"] > 0) & (x["k"] != "") & (x["v"] != ""))
-    first = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda y: y["k"] == x["k"]))
-    kept = F.array_sort(F.transform(F.slice(first, 1, MAX_TAGS), lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"))))
-    return F.when(F.size(kept) > 0, F.map_from_entries(kept))
+
+    def keep(kept: Column, x: Column) -> Column:
+        known = (F.size(kept) >= MAX_TAGS) | F.map_contains_key(kept, x["k"])
+        return F.when(known, kept).otherwise(F.map_concat(kept, F.create_map(x["k"], x["v"])))
+
+    # one walk over the pairs: a lambda that names them would make them again for each pair
+    none = F.create_map().cast("map<string,string>")
+    return F.aggregate(pairs, none, keep, lambda kept: F.when(F.size(kept) > 0, F.map_from_entries(F.array_sort(F.map_entries(kept)))))
 
 
 def session_of(header: Column) -> Column:

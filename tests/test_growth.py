@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from meterlake.functions.labels import tags_of
 from meterlake.operators import windows
 from meterlake.queries import ORACLES, QUERIES
 
@@ -33,3 +34,11 @@ def test_dense_windows(spark, by):
     want = {a[0]: (sum(b[3] for b in rows if in_it(a, b)), sum(in_it(a, b) for b in rows)) for a in rows}
     assert {r["id"]: (r["windowed"], r["windowed_n"]) for r in d.collect()} == want
     assert "-300000000" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tags_of_long_headers(spark):
+    """Many pairs in a header: each is made once."""
+    pairs = [(f"k{i % 7}" if i < 3000 else "late", f"v{i}") for i in range(4000)]
+    df = spark.createDataFrame([(1, ",".join(f"{k.upper()} = {v}" for k, v in pairs)), (2, ",=,x"), (3, None)], "id int, header string").select("id", tags_of(F.col("header")).alias("t"))
+    assert {r["id"]: r["t"] for r in df.collect()} == {1: {f"k{i}": f"v{i}" for i in range(6)}, 2: None, 3: None}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
