@@ -1,12 +1,14 @@
 """Rate card: dollars per million tokens by model prefix, and its resolution for a fact table.
 
 A model takes the first entry, overrides first, whose key it equals or goes on from with ``-`` or
-``[``.  The card is a constant of a few dozen entries, so it is compiled into one CASE expression: facts are
+``[``.  The card is a constant of a few dozen entries, so it is compiled into one pattern and a constant map: facts are
 read once and not shuffled.  Costs are summed as whole billionths of a dollar, in any order the same.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +45,13 @@ def card(spark: SparkSession, overrides: list[tuple] = ()) -> DataFrame:
 def resolve(facts: DataFrame, overrides: list[tuple] = (), model: str = "model") -> DataFrame:
     """``facts`` with the four rates of each row's model; null where no entry fits."""
     given = sorted(((k, *(float(r or 0) for r in [*rates, *[0] * 4][:4])) for k, *rates in overrides), key=lambda r: -len(r[0]))
-    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    when = " ".join(
-        f"WHEN m = {quoted(k)} OR startswith(m, {quoted(k + '-')}) OR startswith(m, {quoted(k + '[')}) THEN named_struct({', '.join(f'{quoted(x)}, {r!r}D' for x, r in zip(RATES, rates, strict=True))})"
-        for k, *rates in [*given, *CARD]
-    )
-    hit = F.expr(f"CASE {when} END".replace("WHEN m =", f"WHEN `{model}` =").replace("startswith(m,", f"startswith(`{model}`,"))
+    rates = {}
+    for k, *own in [*given, *CARD]:
+        rates.setdefault(k, own)
+    # a branch for each entry would make a method that the JVM does not compile; of alternatives the first that fits is taken
+    key = F.regexp_extract(F.concat(F.lit("/"), F.col(f"`{model}`")), rf"^(/(?:{'|'.join(map(re.escape, rates))}))(?:[-\[]|\z)", 1)
+    entries = (x for k, own in rates.items() for x in (F.lit(f"/{k}"), F.struct(*(F.lit(r).alias(n) for n, r in zip(RATES, own, strict=True)))))
+    hit = F.try_element_at(F.create_map(*entries), key)
     return facts.withColumn("_r", hit).select(facts["*"], *[F.col(f"_r.{x}").alias(x) for x in RATES])
 
 

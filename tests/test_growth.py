@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meterlake.functions.labels import tags_of
 from meterlake.operators import windows
+from meterlake.plans.ratecard import resolve
 from meterlake.queries import ORACLES, QUERIES
 
 START = datetime.datetime(2024, 1, 1)
@@ -42,3 +43,13 @@ def test_tags_of_long_headers(spark):
     df = spark.createDataFrame([(1, ",".join(f"{k.upper()} = {v}" for k, v in pairs)), (2, ",=,x"), (3, None)], "id int, header string").select("id", tags_of(F.col("header")).alias("t"))
     assert {r["id"]: r["t"] for r in df.collect()} == {1: {f"k{i}": f"v{i}" for i in range(6)}, 2: None, 3: None}
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_rates_by_first_entry(spark):
+    """Keys that begin with one another, hold marks of patterns or nothing; the plan has no branch for each entry."""
+    models = ["gpt-5.5-pro", "gpt-5.5-pro-x", "gpt-5.5[1m]", "gpt-5.5", "gpt-5.5x", "gpt-5.5\n", "GPT-5.5", "a.b(", "axb(", "-x", "", None, "a.b(-1", "gpt-5.4-mini-x", "gpt-5.4-x"]
+    over = [("a.b(", 7, 0, 0, 0), ("gpt-5.5", 8, 0, 0, 0), ("", 9, 0, 0, 0)]
+    df = resolve(spark.createDataFrame([(m,) for m in models], "model string"), over)
+    want = [8.0, 8.0, 8.0, 8.0, None, None, None, 7.0, None, 9.0, 9.0, None, 7.0, 0.75, 2.5]
+    assert [(r["model"], r["rate_in"]) for r in df.collect()] == list(zip(models, want, strict=True))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("WHEN") == 0
