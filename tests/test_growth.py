@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlake.functions.labels import tags_of
-from meterlake.operators import windows
+from meterlake.operators import scan, windows
 from meterlake.plans.ratecard import resolve
 from meterlake.queries import ORACLES, QUERIES
 
@@ -53,3 +53,17 @@ def test_rates_by_first_entry(spark):
     want = [8.0, 8.0, 8.0, 8.0, None, None, None, 7.0, None, 9.0, 9.0, None, 7.0, 0.75, 2.5]
     assert [(r["model"], r["rate_in"]) for r in df.collect()] == list(zip(models, want, strict=True))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("WHEN") == 0
+
+
+def test_violations_searched_where_they_can_be(spark):
+    """Marks at both ends of a text and of a segment; patterns are tried only on texts that hold their fixed parts."""
+    texts = {
+        "x;rm -rf /": "destructive", "rm -rf /": "destructive", "a\nrm\u2028 -rf /": None, "/ -rf rm\u2028;": "destructive", "farm -rf /": None, "mkfs": "destructive", "xmkfs": None,
+        "DROP  table t": "destructive", "truncate": None, "no 123-45-6789": "ssn", "123-45-6789": "ssn", "1123-45-6789": None, "-123-45-6789": None, "900-45-6789": None, "666-45-6789": None,
+        "x" + "\u200b" * 8: "hidden_text", "\U000e0041" * 8: "hidden_text", "\ufeff" * 8: "hidden_text", "\u2066" * 4 + "a" + "\u2060" * 4: "hidden_text", "\u201c" * 9: None,
+        "AKIA" + "Q" * 16: "secret", "xAKIA" + "Q" * 16: None, "ghp_" + "a" * 36: "secret", "sk-" + "a" * 48: "secret", "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").select("text", scan.first_violation(F.col("text"), exfil=False).alias("v"))
+    assert {r["text"]: r["v"] for r in df.collect()} == {**texts, None: None}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"{part})" in plan for part in scan.HELD.values())
