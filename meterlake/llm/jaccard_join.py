@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -52,6 +52,10 @@ BITS = 8
 BLOCK, CELLS = 512, 1 << 18
 #: Orders by which tiles choose their leaders, and rounds of choosing.
 ORDERS, ROUNDS = 3, 3
+#: Bits of a tile's slot: its rows are sorted together, so slots are many and small.
+SLOTS = 12
+#: Bits of the bitmap of wanted documents: 2 MB, however many they are.
+MARKS = 1 << 24
 #: Columns of the member-by-shingle matrix held at once.
 COLUMNS = 4096
 
@@ -122,19 +126,52 @@ def _bands(n: int) -> list[int]:
     return [own, own // 2] if own > 1 and (n * PERCENT + 99) // 100 < own else [own]
 
 
-def tiles(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(tile, doc): the tiles of each class's representative, from (doc, text); only tile names move, no text."""
+def tiles(docs: DataFrame) -> DataFrame:
+    """(slot, low, doc): the tiles that documents, (doc, text), enter, dealt by slot, the first bits of a name; ``low`` is
+    the next 32, and names equal so far count as one tile.  Only names move, no text: a row for each slot of a batch, so
+    that their bytes don't depend on the number of partitions.  Of the rows of a batch with equal sets only the
+    one of smallest id enters: the others can't represent their class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.blocks(batches):
             v, at = tk.shingles(tk.words(b.column("text")), SHINGLE)
-            names = [_tiles_of(v[at[i] : at[i + 1]]) for i in range(b.num_rows)]
-            ends = np.cumsum([0, *map(len, names)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tk.signed(np.concatenate(names)))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), lists], ["doc", "tiles"])
+            doc, sums = b.column("doc").to_numpy(), np.stack([np.diff(at), *(x.view(np.int64) for x in _set_sums(v, at))])
+            order = np.lexsort((doc, *sums))
+            first = np.append(True, (sums[:, order[1:]] != sums[:, order[:-1]]).any(0))
+            rows = np.sort(order[first])
+            names = [_tiles_of(v[at[i] : at[i + 1]]) for i in rows]
+            owner, names = np.repeat(doc[rows], [*map(len, names)]), np.concatenate(names)
+            slot = (names >> np.uint64(64 - SLOTS)).astype(np.int32)
+            order = np.argsort(slot, kind="stable")
+            slot, owner, low = slot[order], owner[order], (names[order] >> np.uint64(32 - SLOTS)).astype(np.uint32).view(np.int32)
+            first = np.flatnonzero(np.diff(slot, prepend=-1))
+            ends = pa.array(np.append(first, len(slot)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot[first]), pa.ListArray.from_arrays(ends, pa.array(low)), pa.ListArray.from_arrays(ends, pa.array(owner))], ["slot", "lows", "docs"]
+            )
+
+    entered = docs.select("doc", "text").mapInArrow(run, "slot int, lows array<int>, docs array<bigint>").repartition("slot")
+    return entered.select("slot", F.inline(F.arrays_zip("lows", "docs")).alias("low", "doc"))
+
+
+def shared(entered: DataFrame) -> DataFrame:
+    """(tile, doc, m, w, x, y, z) of the tiles that hold two rows at least, where `tiles` dealt them.  Members are told by
+    their number and sums of two hashes (in halves, which can't overflow), so no tile is gathered."""
+    half = lambda h, k: F.sum(F.shiftrightunsigned(h, 32) if k else h.bitwiseAND(F.lit(0xFFFFFFFF)))
+    a, b = F.xxhash64("doc"), F.xxhash64("doc", F.lit(1))
+    told = {"m": F.count("*"), "w": half(a, 0), "x": half(a, 1), "y": half(b, 0), "z": half(b, 1)}
+    own = Window.partitionBy("slot", "low")
+    tile = F.shiftleft(F.col("slot").cast("long"), 32) + F.col("low")
+    return entered.select(tile.alias("tile"), "doc", *(c.over(own).alias(k) for k, c in told.items())).filter("m > 1")
 
-    entered = docs.select("doc", "text").mapInArrow(run, "doc long, tiles array<bigint>").filter(F.size("tiles") > 0)
-    return entered.join(reps.select("doc"), "doc", "left_semi").select(F.explode("tiles").alias("tile"), "doc")
+
+def crowded(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(tile, doc): the tiles in which two representatives at least meet; of those with the same members the least."""
+    met = cut(shared(tiles(docs)), "met")
+    least = met.groupBy("m", "w", "x", "y", "z").agg(F.min("tile").alias("tile")).select("tile")
+    named = met.select("tile", "doc").join(least, "tile", "left_semi").join(reps.select("doc"), "doc", "left_semi")
+    few = named.groupBy("tile").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("tile")
+    return named.join(few, "tile", "left_semi")
 
 
 def bounded(pairs: DataFrame, sig: DataFrame) -> DataFrame:
@@ -157,6 +194,17 @@ def bounded(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     return both.filter(100 * most >= PERCENT * (F.col("na") + F.col("nb") - most)).select("a", "b")
 
 
+def of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc is in ``wanted``, (doc,), distinct.  A bitmap of `MARKS` hashed ids, which every task gets,
+    drops nearly all others where they are read, so that their texts don't move; the join is exact (a semi join would be
+    put before the bitmap's)."""
+    mark = F.pmod(F.xxhash64("doc"), F.lit(MARKS))
+    word, bit = F.shiftright(mark, 6), F.expr("shiftleft(1L, cast(mark % 64 as int))")
+    words = wanted.select(word.alias("word"), mark.alias("mark")).groupBy("word").agg(F.bit_or(bit).alias("bits"))
+    marked = docs.withColumn("word", word).withColumn("mark", mark).join(F.broadcast(words), "word")
+    return marked.filter(F.col("bits").bitwiseAND(bit) != 0).select(*docs.columns).join(wanted, "doc")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that link, by exact intersection of sorted arrays.  ``sets``: (doc, text)."""
 
@@ -172,7 +220,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    held = cut(sets.join(wanted, "doc", "left_semi"), "texts")
+    held = cut(of(sets, wanted), "texts")
     one = held.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
     two = held.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     return pairs.join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
@@ -186,8 +234,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     sizes = cut(set_hashes(docs, "text", "doc"), "sets")
     reps = sizes.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"))
 
-    entered = tiles(docs, reps)
-    crowd = cut(entered.join(distinct_tiles(entered), "tile", "left_semi").select("tile", "doc"), "tiles")
+    crowd = cut(crowded(docs, reps), "tiles")
     sig = sizes.select("doc", "n", "bits").dropDuplicates(["doc"])
     sig = cut(sig.join(crowd.select("doc").distinct(), "doc", "left_semi"), "signatures")
 
@@ -218,15 +265,6 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def distinct_tiles(entered: DataFrame) -> DataFrame:
-    """(tile,): of the tiles with the same members, two at least, the least.  Members are told by their number
-    and sums of two hashes (in halves, which can't overflow), so no tile is gathered."""
-    half = lambda h, k: F.sum(F.shiftrightunsigned(h, 32) if k else h.bitwiseAND(F.lit(0xFFFFFFFF)))
-    a, b = F.xxhash64("doc"), F.xxhash64("doc", F.lit(1))
-    told = entered.groupBy("tile").agg(F.count("*").alias("m"), half(a, 0).alias("w"), half(a, 1).alias("x"), half(b, 0).alias("y"), half(b, 1).alias("z"))
-    return told.filter("m > 1").groupBy("m", "w", "x", "y", "z").agg(F.min("tile").alias("tile")).select("tile")
-
-
 def led(members: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b): each tile's leader, of the tile's largest component, with every member of another one."""
     order = F.struct(F.xxhash64("doc", F.pmod("tile", F.lit(ORDERS)), F.lit(turn)).alias("turn"), F.col("doc"))
@@ -256,7 +294,7 @@ def connecting(mixed: DataFrame, sig: DataFrame, docs: DataFrame) -> DataFrame:
     near = cut(lists.select("members").mapInArrow(_near, "docs array<bigint>, components array<bigint>"), "near")
     near = near.dropDuplicates(["docs"]).withColumn("g", F.struct(F.xxhash64("docs"), F.hash("docs")))
     one = near.select("g", F.explode(F.arrays_zip("docs", "components")).alias("x")).select("g", F.col("x.docs").alias("doc"), F.col("x.components").alias("component"))
-    sets = shingle_sets(docs.join(one.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]))
+    sets = shingle_sets(of(docs, one.select("doc").distinct()).dropDuplicates(["doc"]))
     held = one.join(sets, "doc").groupBy("g").agg(F.collect_list(F.struct("doc", "component", "v")).alias("members"))
     return held.select("members").mapInArrow(_links, "a long, b long").distinct()
 

@@ -120,3 +120,31 @@ def test_frequent_passages_beside_rare_ones(spark, monkeypatch, hot):
     want = brute.op10_kept(rows)
     assert {d: got[d] for d, x in want.items() if x is not None} == {d: x for d, x in want.items() if x is not None}
     assert len(got) == len(rows)
+
+
+def test_tiles_and_texts_move_once(spark, monkeypatch):
+    """Tiles take one exchange, a row for each slot of a batch; texts that aren't wanted stay where they are read."""
+    r = np.random.default_rng(8)
+    base = [[f"w{x}" for x in r.integers(0, 10**6, r.integers(6, 90))] for _ in range(60)]
+    rows = [(i, " ".join([f"x{i}", *w])) for i, w in enumerate(base + base)] + [(i + 500, " ".join(base[0])) for i in range(40)] + [(900, ""), (901, None)]
+    docs = spark.createDataFrame(rows, "doc long, text string").coalesce(1)
+    met = jaccard_join.shared(jaccard_join.tiles(docs))
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    tiles = {}
+    for x in met.collect():
+        tiles.setdefault(x["tile"], set()).add(x["doc"])
+    assert 500 in set().union(*tiles.values()) and not set(range(501, 540)) & set().union(*tiles.values())  # copies in a batch enter once
+    linked = {(d, c) for d, (_, c) in brute.op8(rows).items() if c != d and not 500 < d < 540}
+    assert linked and all(any({d, c} <= t for t in tiles.values()) for d, c in linked)
+
+    wanted = spark.createDataFrame([(3,), (77,), (901,), (5000,)], "doc long")
+    monkeypatch.setattr(jaccard_join, "MARKS", 128)  # most words hold several
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard_join.of(docs, wanted)
+        assert sorted(tuple(x) for x in kept.collect()) == [(d, dict(rows)[d]) for d in (3, 77, 901)]
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Inner") == 2 and "LeftSemi" not in plan  # a semi join would come before the bitmap's
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
