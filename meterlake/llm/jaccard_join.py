@@ -54,7 +54,7 @@ BLOCK, CELLS = 512, 1 << 18
 ORDERS, ROUNDS = 3, 3
 #: Bits of a tile's slot: its rows are sorted together, so slots are many and small.
 SLOTS = 12
-#: Bits of the bitmap of wanted documents: 2 MB, however many they are.
+#: Bits of the bitmap of wanted documents, however many they are: 2 MB, as rows of a word and its place 4 MB and more.
 MARKS = 1 << 24
 #: Columns of the member-by-shingle matrix held at once.
 COLUMNS = 4096
