@@ -24,6 +24,8 @@ _BYTES = _rng.integers(0, 2**64, (2, 256), np.uint64)
 _BASES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _WORD_BASES = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of words hashed at once: tables of powers that a worker holds reach as far; longer words are hashed alone.
+PIECE = 1 << 18
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +38,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, b, np.uint64))), dtype=np.uint64)
                 for b in (base, pow(base, -1, 2**64))
             )
-        _powers[base] = have
+        if size <= BLOCK:  # those of longer texts are not kept: an idle worker would hold them
+            _powers[base] = have
     return have
 
 
@@ -110,10 +113,18 @@ def word_hashes(w: Words, way: int = 0, lower: bool = False) -> np.ndarray:
     table = _BYTES[way].copy()
     if lower:
         table[65:91] = table[97:123]
-    up, down = powers(_BASES[way], len(w.data) + 1)
-    sums = np.zeros(len(w.data) + 1, np.uint64)
-    np.cumsum(table[w.data] * up[: len(w.data)], out=sums[1:])
-    return mix((sums[w.end] - sums[w.start]) * down[w.start] + (w.end - w.start).astype(np.uint64))
+    out, at = np.empty(len(w.start), np.uint64), 0
+    while at < len(out):  # a word's hash doesn't depend on where the word stands
+        base = w.start[at]
+        to = max(at + 1, int(np.searchsorted(w.end, base + PIECE, "right")))
+        start, end = w.start[at:to] - base, w.end[at:to] - base
+        data = w.data[base : base + end[-1]]
+        up, down = powers(_BASES[way], len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * up[: len(data)], out=sums[1:])
+        out[at:to] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        at = to
+    return out
 
 
 def window_hashes(h: np.ndarray, n: int, way: int = 0) -> np.ndarray:

@@ -2,13 +2,16 @@
 
 A unit ends where, whatever stands around, the tokenizer's pre-tokens end too, so the ids of a text
 are the ids of its units end to end.  Each distinct unit of a block is encoded once by the
-tokenizers library; a bounded memo keeps units between blocks.
+tokenizers library; a bounded memo keeps units between blocks.  Blocks and memo are small, since a worker
+that waits for its next task keeps what they took.
 
 Units are told apart by two 64-bit hashes and the memo by their bytes, so equal ids need equal bytes.
 """
 
 from __future__ import annotations
 
+import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,10 +20,10 @@ import pyarrow as pa
 
 from . import textkit as tk
 
-#: Entries of a worker's memo; it is emptied when full.
-MEMO = 400_000
+#: Entries of each half of a worker's memo: the newer units, and those that were the newer ones before.
+MEMO = 150_000
 #: Bytes of text encoded together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -85,6 +88,8 @@ def byte_level_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    # a task has one core: more threads take more CPU and memory for the same work
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
@@ -95,19 +100,26 @@ class Encoder:
     """A tokenizer with a memo of units."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo = tokenizer(path), {}
+        self.tokenizer, self.memo, self.older = tokenizer(path), {}, {}
 
     def ids_of(self, units: list[bytes]) -> list[bytes]:
         """Each unit's ids as little-endian 32-bit numbers."""
-        fresh = list(dict.fromkeys(u for u in units if u not in self.memo))
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
-            fresh = list(dict.fromkeys(units))
+        known = {}
+        for u in units:
+            ids = self.memo.get(u)
+            if ids is None:
+                ids = self.older.get(u)
+            known[u] = ids
+        fresh = [u for u, ids in known.items() if ids is None]
         for at in range(0, len(fresh), 4096):
             part = fresh[at : at + 4096]
             done = self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)
-            self.memo.update((u, np.array(e.ids, np.uint32).tobytes()) for u, e in zip(part, done, strict=True))
-        return [self.memo[u] for u in units]
+            known.update((u, array("I", e.ids).tobytes()) for u, e in zip(part, done, strict=True))
+        if len(self.memo) + len(known) > MEMO:
+            self.memo, self.older = {}, self.memo
+        if len(known) <= MEMO:  # those of one long text are not held
+            self.memo.update(known)
+        return [known[u] for u in units]
 
     def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units end to end, and each unit's border in them."""
