@@ -21,7 +21,7 @@ import pyarrow as pa
 from . import textkit as tk
 
 #: Entries of each half of a worker's memo: the newer units, and those that were the newer ones before.
-MEMO = 150_000
+MEMO = 300_000
 #: Bytes of text encoded together.
 TOGETHER = 1 << 20
 
